@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, packing
 from .common import crc_mod, table
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file of the packing contract, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
@@ -16,5 +23,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES = {"op9_language_id": op9_language_id}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+QUERIES = {"op2_packing": op2_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
