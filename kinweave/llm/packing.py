@@ -25,45 +25,104 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, text_bytes
-from .words import words
+from .words import LOWER, hashed, word_starts
 
-#: Words that a task remembers the ids of, and the bytes of the longest of these.
-KNOWN_WORDS, LONGEST_KNOWN = 400_000, 64
+#: Words that a task remembers the ids of, and the most bytes of one of these.
+KNOWN_WORDS, LONGEST_KNOWN = 1_000_000, 64
+#: What the regular expression of the tokenizer surely takes as one run: letters, or marks but for ' and <.
+_LETTER, _MARK, _OTHER = 0, 1, 2
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x30] = _KIND[0x3A:0x41] = _KIND[0x5B:0x61] = _KIND[0x7B:0x7F] = _MARK
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0xC3] = _LETTER
+_KIND[[0x27, 0x3C]] = _OTHER
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins what white space parts: each distinct word is encoded once."""
+    """Ids of whole texts by a tokenizer file whose words never cross white space: each distinct word is encoded once.
+
+    A word of letters (ASCII and U+00C0 to U+00FF) and marks alone is cut further into runs of either, in lower case,
+    which the tokenizer takes one by one; so many new runs go to it as one text, and an id whose token ends a word
+    closes each. Any other word goes to it as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of these words, and the ids."""
+        texts = [raw[a : a + n].decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        sizes, parts = np.zeros(len(texts), np.int64), [[]] * len(texts)
+        runs = np.flatnonzero(plain)
+        ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in runs]), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(runs):
+            raise ValueError("the tokenizer joins or splits runs of letters or marks; encode its words one by one")
+        sizes[runs] = np.diff(ends, prepend=0)
+        rest = np.flatnonzero(~plain).tolist()
+        for i, x in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            parts[i] = x.ids
+            sizes[i] = len(x.ids)
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        from_run = np.repeat(plain, sizes)
+        out[from_run] = ids
+        out[~from_run] = np.fromiter(chain.from_iterable(parts), np.uint32, int((~from_run).sum()))
+        return sizes, out
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the documents in them."""
-        starts, lengths, hashes, of_doc = words(data, offsets)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, known = distinct.tolist(), self.known
-        got = [known.get(k) for k in keys]
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            raw = data.tobytes()
-            spans = [(int(starts[first[i]]), int(lengths[first[i]])) for i in new]
-            made = self.tokenizer.encode_batch([raw[a : a + n].decode() for a, n in spans], add_special_tokens=False)
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-            for i, (_, n), x in zip(new, spans, made, strict=True):
-                got[i] = x.ids
-                if n <= LONGEST_KNOWN:
-                    known[keys[i]] = x.ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
-        n_ids = sizes[which]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        first, solid = word_starts(data, offsets)
+        kind, after = _KIND[data], np.zeros(len(data), bool)
+        after[1:] = data[:-1] == 0xC3
+        kind[after & (data >= 0x80) & (data < 0xC0) & (data != 0x97) & (data != 0xB7)] = _LETTER
+        whole = np.flatnonzero(first)
+        other = np.zeros(len(data), bool)
+        if len(whole):
+            odd = np.logical_or.reduceat((kind == _OTHER) & solid, whole)
+            other[whole[0] :] = np.repeat(odd, np.diff(whole, append=len(data)))
+        cut = np.zeros(len(data), bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        first |= cut & solid & ~other
+        data = np.where(other, data, LOWER[data])
+        starts = np.flatnonzero(first)
+        lengths, hashes = hashed(data, starts, solid)
+        hashes ^= other[starts].astype(np.uint64)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        begin, size, flat = self.lookup(data, distinct, starts[at], lengths[at], ~other[starts[at]])
+        n_ids = size[which]
         ends = np.concatenate(([0], np.cumsum(n_ids)))
         ids = flat[np.repeat(begin[which] - ends[:-1], n_ids) + np.arange(ends[-1])]
-        return ids, ends[of_doc]
+        return ids, ends[np.searchsorted(starts, offsets)]
+
+    def lookup(self, data: np.ndarray, distinct: np.ndarray, starts: np.ndarray, lengths: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of these distinct words begin, how many they are, and the ids."""
+        spot = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        known = self.hashes[spot] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        begin, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        begin[known], size[known] = self.begin[spot[known]], self.size[spot[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return begin, size, self.flat
+        size[new], ids = self.encoded(data.tobytes(), starts[new], lengths[new], plain[new])
+        begin[new] = np.cumsum(size[new]) - size[new] + len(self.flat)
+        flat = np.concatenate([self.flat, ids])
+        if len(self.hashes) + len(new) > KNOWN_WORDS:
+            self.forget()
+        else:
+            self.flat = flat
+            keep = new[lengths[new] <= LONGEST_KNOWN]
+            order = np.argsort(np.concatenate([self.hashes, distinct[keep]]), kind="stable")
+            self.hashes, self.begin, self.size = (np.concatenate([old, x[keep]])[order] for old, x in ((self.hashes, distinct), (self.begin, begin), (self.size, size)))
+        return begin, size, flat
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,17 +24,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than ASCII white space: their starts, lengths and hashes, and the offsets of documents in them."""
-    space = IS_SPACE[data]
-    first = ~space
-    first[1:] &= space[:-1]
-    inside = offsets[:-1][offsets[:-1] < offsets[1:]]
-    first[inside] = ~space[inside]
-    starts = np.flatnonzero(first)
-    of_doc = np.searchsorted(starts, offsets)
+def hashed(data: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and hashes of the words at these starts: to the next start, without what is not solid after them."""
     if not len(starts):
-        return starts, starts, np.zeros(0, np.uint64), of_doc
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     spans = np.diff(starts, append=len(data))
     where = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
     power = np.full(int(spans.max()), _BASE, np.uint64)
@@ -43,6 +36,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     value = _VALUE[data[starts[0] :]]
     value *= power[where]
     at = starts - starts[0]
-    hashes = np.add.reduceat(value, at)
-    lengths = np.add.reduceat((~space[starts[0] :]).astype(np.int32), at).astype(np.int64)
-    return starts, lengths, mix(hashes ^ lengths.astype(np.uint64)), of_doc
+    lengths = np.add.reduceat(solid[starts[0] :].astype(np.int32), at).astype(np.int64)
+    return lengths, mix(np.add.reduceat(value, at) ^ lengths.astype(np.uint64))
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a word begins at each byte, and whether the byte is in one; words end at documents' ends."""
+    space = IS_SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    inside = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[inside] = ~space[inside]
+    return first, ~space
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes other than ASCII white space: starts and hashes, and the offsets of documents in them."""
+    first, solid = word_starts(data, offsets)
+    starts = np.flatnonzero(first)
+    return starts, hashed(data, starts, solid)[1], np.searchsorted(starts, offsets)
