@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, ngram_join, packing
+from . import decontamination, fingerprints, language_id, ngram_join, packing
 from .common import crc_mod, table
 
 
@@ -35,5 +35,9 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
