@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, ngram_join, packing
+from . import decontamination, fingerprints, language_id, ngram_join, packing, pii
 from .common import crc_mod, table
 
 
@@ -39,5 +39,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = [name for name, _ in pii.FIELDS if name != "masked"]
+    return pii.find(docs, pii.train(pii.sample(docs)), fields=fields).drop("text")
+
+
+QUERIES = {"op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
