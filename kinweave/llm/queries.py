@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, ngram_join, packing, pii
+from . import decontamination, fingerprints, language_id, ngram_join, packing, pii, quality
 from .common import crc_mod, table
 
 
@@ -45,5 +45,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(pii.sample(docs)), fields=fields).drop("text")
 
 
-QUERIES = {"op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs.filter(~held_out).join(labels, "doc_id"))
+    scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), weights).drop("text")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+QUERIES = {"op4_quality": op4_quality, "op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
