@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, ngram_join, packing, pii, quality
+from . import decontamination, fingerprints, language_id, ngram_join, packing, pii, quality, wrappers
 from .common import crc_mod, table
 
 
@@ -54,5 +54,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
-QUERIES = {"op4_quality": op4_quality, "op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op6_html": op6_html, "op4_quality": op4_quality, "op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
