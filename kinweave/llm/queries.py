@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, ngram_join, packing, pii, quality, wrappers
-from .common import crc_mod, table
+from . import decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, token_counts, wrappers
+from .common import crc_mod, shared_dir, table
 
 
 def word_tokenizer() -> str:
@@ -58,5 +60,37 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op6_html": op6_html, "op4_quality": op4_quality, "op8_pii": op8_pii, "op1_decontamination": op1_decontamination, "op7_ngram_join": op7_ngram_join, "op10_fingerprints": op10_fingerprints, "op2_packing": op2_packing, "op9_language_id": op9_language_id}
-ORACLES: dict[str, str] = {}
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come; those of low quality are counted anew by another tokenizer version; toxic
+    ones go. The second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = docs.join(marks, "doc_id")
+    low = marked.filter("quality = 0")
+    toxic = marked.filter("toxic = 1").withColumn("now", F.coalesce(F.col("quality") == 0, F.lit(False)))
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    old, new = (lambda df: token_counts.counted(df, "words-1")), (lambda df: token_counts.counted(df, "pieces-2"))
+    rollup.commit("load", token_counts.changes(inserted=old(docs)))
+    for _ in range(2):
+        rollup.commit("recount", token_counts.changes(inserted=new(low), deleted=old(low)))
+    rollup.commit("takedown", token_counts.changes(deleted=new(toxic.filter("now")).unionByName(old(toxic.filter(~F.col("now"))))))
+    return rollup.totals()
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
+    "op6_html": op6_html,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_pii": op8_pii,
+    "op9_language_id": op9_language_id,
+    "op10_fingerprints": op10_fingerprints,
+}
+ORACLES: dict[str, str] = {"op3_token_counts": token_counts.ORACLE_SQL}
