@@ -1,0 +1,25 @@
+"""Connected components of a graph given as edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.store import stored
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b), root as text: rounds of contraction into the smallest neighbour
+    by a hash, each written to the shared folder."""
+    text = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    nodes = text.select(F.col("a").alias("node")).union(text.select("b")).distinct()
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    roots, left = stored(nodes.withColumn("root", F.col("node"))), stored(text.filter("a <> b").distinct())
+    while not left.isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("old")).agg(F.min(rank("b")).alias("m"))
+        step = stored(least.select("old", F.least(rank("old"), F.col("m"))["v"].alias("new")))
+        roots = stored(roots.join(step, roots["root"] == step["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
+        a, b = step.select(F.col("old").alias("a"), F.col("new").alias("x")), step.select(F.col("old").alias("b"), F.col("new").alias("y"))
+        left = stored(left.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return roots
