@@ -62,10 +62,11 @@ def pooled(data: np.ndarray, offsets: np.ndarray, filters: np.ndarray) -> tuple[
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + PART)))
-        last = starts[to - 1] + max(1, lengths[to - 1])
-        got = responses(wide[starts[at] : last + WIDTH - 1], filters)
-        # what lies between two documents belongs to the half before it; its bytes are zero, as those of short chunks
-        top[at:to] = np.maximum.reduceat(got, starts[at:to] - starts[at])
+        own = starts[at:to] - starts[at]
+        stop = own + np.maximum(1, lengths[at:to])
+        got = responses(wide[starts[at] : starts[at] + stop[-1] + WIDTH - 1], filters)
+        # from the start of each half to its end, and from there, unused, to the next start
+        top[at:to] = np.maximum.reduceat(got, np.stack([own, stop], 1).ravel()[:-1])[::2]
         at = to
     counts = np.diff(ends)
     chunks = np.maximum(1, counts - 1)
