@@ -94,7 +94,7 @@ def probabilities(data: np.ndarray, offsets: np.ndarray, w: dict) -> np.ndarray:
     return forward(chunk_inputs(top, size), ends, w)[0]
 
 
-def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 3) -> dict:
+def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, seed: int = 3) -> dict:
     """Weights from the chunks of each document and its label."""
     rng = np.random.default_rng(seed)
     w = {
@@ -106,6 +106,7 @@ def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 10, batc
     }
     m, v, step = {n: np.zeros_like(x) for n, x in w.items()}, {n: np.zeros_like(x) for n, x in w.items()}, 0
     long = 2 * HALF
+    share = len(labels) / (2 * np.maximum(1, np.bincount(labels, minlength=2)))  # either label weighs a half
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
@@ -124,7 +125,7 @@ def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 10, batc
             top = np.take_along_axis(got, best[:, None], 1)[:, 0]
             x = chunk_inputs(top, size)
             p, hidden, mean = forward(x, ends, w)
-            dz = ((p - labels[own]) / len(own)).astype(np.float32)
+            dz = ((p - labels[own]) * share[labels[own]] / len(own)).astype(np.float32)
             g = {"out": mean.T @ dz, "out0": dz.sum(keepdims=True)}
             dh = np.repeat(dz[:, None] * w["out"] / np.diff(ends)[:, None], np.diff(ends), 0) * (1 - hidden**2)
             g |= {"in": x.T @ dh, "in0": dh.sum(0)}
@@ -140,8 +141,10 @@ def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 10, batc
     return w
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> dict | None:
-    """Weights learnt from SAMPLE_DOCS documents of each label, the first in the order of a hash; None if one lacks."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> dict | None:
+    """Weights learnt from SAMPLE_DOCS documents of each label, the first in the order of a hash; None if one lacks.
+
+    The sample is drawn from the keys of `labels` alone, so that it can be broadcast to the texts, which stay in place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,16 +156,14 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
                 parts.append([data[a + x * HALF : min(b, a + (x + 2) * HALF)].tobytes() for x in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["h", "label", "parts"])
 
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.xxhash64(F.col(key)).alias("h"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(cut, "h long, label int, parts array<binary>")
-    texts, labels = [], []
-    for value in (0, 1):
-        own = [[bytes(c) for c in r["parts"]] for r in rows.filter(F.col("label") == value).orderBy("h", "parts").limit(SAMPLE_DOCS).collect()]
-        if not own:
-            return None
-        texts += own
-        labels += [value] * len(own)
-    return trained(texts, np.array(labels))
+    drawn = [labels.filter(F.col(label) == value).select(F.col(key).alias("k"), F.lit(value).alias("label")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS) for value in (0, 1)]
+    keys = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], f"k {labels.schema[key].dataType.simpleString()}, label int")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), F.col("id") == F.col("k")).select(F.xxhash64("id").alias("h"), "label", "text")
+    found = sorted(((r["h"], r["label"], [bytes(c) for c in r["parts"]]) for r in rows.mapInArrow(cut, "h long, label int, parts array<binary>").collect()), key=lambda r: r[:2])
+    marks = np.array([r[1] for r in found])
+    if len(set(marks.tolist())) < 2:
+        return None
+    return trained([r[2] for r in found], marks)
 
 
 def score(df: DataFrame, weights: dict | None, text: str = "text", column: str = "score") -> DataFrame:

@@ -50,8 +50,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    weights = quality.train(docs.filter(~held_out).join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    weights = quality.train(docs, labels)
     scored = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), weights).drop("text")
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
