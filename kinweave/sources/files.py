@@ -24,7 +24,7 @@ def listing(spark: SparkSession, *folders: str) -> DataFrame:
 
         for b in batches:
             for folder in b["folder"]:
-                found = [(e.path, e.stat().st_size, pd.Timestamp(e.stat().st_mtime, unit="s", tz="UTC")) for e in os.scandir(folder) if e.is_file()]
+                found = [(e.path, e.stat().st_size, pd.Timestamp(e.stat().st_mtime, unit="s", tz="UTC").floor("us")) for e in os.scandir(folder) if e.is_file()]
                 yield pd.DataFrame(found, columns=["path", "length", "modificationTime"])
 
     rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
