@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,15 @@ def crc_mod(col: str, mod: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
 
 
+def drawn(df: DataFrame, order: Column, n: int, *by: str, shares: int = 16) -> DataFrame:
+    """About n rows for each value of `by`: of each of 16 shares of a hash the first n / 16, in the order of that hash.
+
+    The rank filter lets a partition pass on so many rows at most; no value's rows meet in one task, none reach the driver."""
+    own = df.withColumn("_h", order).withColumn("_s", F.pmod("_h", F.lit(shares)))
+    nth = F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_h"))
+    return own.withColumn("_n", nth).filter(F.col("_n") <= -(-n // shares)).drop("_s", "_n")
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array, nulls as empty texts, and the offsets of its n + 1 ends."""
     if isinstance(texts, pa.ChunkedArray):

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, with_columns
+from .common import drawn, slices, text_bytes, with_columns
 
 #: The bounded training sample: documents of each language, code points from each, and bytes of each automaton.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 256, 240, 24_000
@@ -158,21 +158,13 @@ def model_of(texts: dict[str, list[str]]) -> LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learn from a sample of SAMPLE_DOCS documents of each language, the first in the order of a hash of their key.
-
-    The rank filter lets each partition pass on SAMPLE_DOCS rows a language at most, whatever the size of the table."""
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key)), F.xxhash64("part"))
+    """Learn from a sample of SAMPLE_DOCS documents of each language, the first in the order of a hash of their key."""
     middle = F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_CHARS // 2)
-    rows = (
-        labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-        .select(lang, key, F.substring(F.col(text), middle, F.lit(SAMPLE_CHARS)).alias("part"))
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= SAMPLE_DOCS)
-        .collect()
-    )
+    parts = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.substring(F.col(text), middle, F.lit(SAMPLE_CHARS)).alias("part"))
+    rows = drawn(parts, F.xxhash64("k", "part"), SAMPLE_DOCS, "lang").collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r[lang], r["nth"])):
-        texts.setdefault(r[lang], []).append(r["part"])
+    for r in sorted(rows, key=lambda r: (r["lang"], r["_h"])):
+        texts.setdefault(r["lang"], []).append(r["part"])
     return model_of(texts)
 
 

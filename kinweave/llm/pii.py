@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import drawn, with_columns
 from .tagger import best_path, scores, trained
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -108,8 +108,9 @@ def variants(text: str, spans: list[tuple[int, int, int]], rng: np.random.Genera
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text") -> list[str]:
     """SAMPLE windows round digits and @, two of a document at most, the first documents in the order of a hash."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"(?s)([^0-9@]{0,28}[0-9@].{0,43})"), 1)
-    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.xxhash64(F.col(key), F.length(text)).alias("h"), F.slice(found, 1, 2).alias("w"))
-    return [w for r in rows.orderBy("h", "w").limit(SAMPLE // 2).collect() for w in r["w"]]
+    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(key).alias("k"), F.slice(found, 1, 2).alias("w"))
+    taken = drawn(rows, F.xxhash64("k", "w"), SAMPLE // 2).collect()
+    return [w for r in sorted(taken, key=lambda r: (r["_h"], r["w"])) for w in r["w"]]
 
 
 def train(windows: list[str], seed: int = 11) -> dict | None:

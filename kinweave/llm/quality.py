@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, with_columns
+from .common import drawn, slices, text_bytes, with_columns
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 24, 12, 256
 #: The bounded sample: documents of each label, and chunks of each document.
@@ -156,8 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 parts.append([data[a + x * HALF : min(b, a + (x + 2) * HALF)].tobytes() for x in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["h", "label", "parts"])
 
-    drawn = [labels.filter(F.col(label) == value).select(F.col(key).alias("k"), F.lit(value).alias("label")).distinct().orderBy(F.xxhash64("k"), "k").limit(SAMPLE_DOCS) for value in (0, 1)]
-    keys = docs.sparkSession.createDataFrame([tuple(r) for d in drawn for r in d.collect()], f"k {labels.schema[key].dataType.simpleString()}, label int")
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).distinct()
+    taken = [(r["k"], r["label"]) for r in drawn(known, F.xxhash64("k"), SAMPLE_DOCS, "label").collect()]
+    keys = docs.sparkSession.createDataFrame(taken, f"k {labels.schema[key].dataType.simpleString()}, label int")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), F.col("id") == F.col("k")).select(F.xxhash64("id").alias("h"), "label", "text")
     found = sorted(((r["h"], r["label"], [bytes(c) for c in r["parts"]]) for r in rows.mapInArrow(cut, "h long, label int, parts array<binary>").collect()), key=lambda r: r[:2])
     marks = np.array([r[1] for r in found])
