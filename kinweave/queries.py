@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import capture_month, cosine_distance, file_name, is_live, nocase, person_label, set_key, stem, strip, suffix
-from .operators import assignment, gallery, neighbours, reconcile, relational, transitions
+from .operators import assignment, gallery, neighbours, reconcile, relational, sessions, transitions
 from .plans import exports
 from .sources.store import stored
 from .streaming import ingest
@@ -433,6 +433,23 @@ def remaining_items(spark: SparkSession, d: str) -> DataFrame:
     return ingest.remaining(read(spark, d, "documents").select("doc_id", "source"), read(spark, d, "labels").filter("quality = 1"), ["doc_id"])
 
 
+@query("WITH f AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_custkey % 10 AS session_id, count(*) AS n_items, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_failed, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_faces, CAST(coalesce(sum(n), 0) * 2 AS BIGINT) AS n_files FROM orders LEFT JOIN f ON l_orderkey = o_orderkey GROUP BY 1")
+def session_summary(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "orders").select((F.col("o_custkey") % 10).alias("session_id"), F.col("o_orderkey").alias("asset_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("succeeded").alias("status"))
+    return sessions.session_summary(items, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id")))
+
+
+@query("SELECT o_custkey AS id, o_orderstatus AS error FROM orders WHERE false")
+def result_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of each order as what a worker found on it: nothing is wrong with any."""
+    li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
+    face = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_extendedprice").alias("y2"), F.col("l_discount").alias("score"), F.array(F.col("l_tax").cast("float")).alias("vector"))
+    found = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(face).alias("faces"))
+    results = o.join(found, o["o_orderkey"] == found["k"], "left").select(F.col("o_orderkey").cast("string").alias("absolute_path"), F.lit("succeeded").alias("status"), "faces")
+    bad = sessions.result_errors(o.select(F.col("o_orderkey").cast("string").alias("absolute_path")), results)
+    return bad.select(F.col("absolute_path").cast("long").alias("id"), "error")
+
+
 @query()
 def plan_names(spark: SparkSession, d: str) -> DataFrame:
     """The plan of a template after a first preview of half of the assets and a second one of all of them."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import capture_month, file_name, iou, nocase, stem, strip, suffix
-from kinweave.operators import gallery, reconcile, relational, transitions
+from kinweave.operators import gallery, reconcile, relational, sessions, transitions
 from kinweave.plans import exports
 from kinweave.schemas import TABLES, violations
 from kinweave.sources import files
@@ -188,3 +188,16 @@ def test_store_and_stream(spark, tmp_path):
     first.coalesce(1).write.mode("append").parquet(inbox)
     go()
     assert spark.read.parquet(out).count() == 6
+
+
+def test_sessions(spark, tmp_path):
+    t = tables(spark)
+    check = lambda ids, name="n": sessions.template_error(t["persons"], t["templates"], name, "/out/", ids).first()
+    assert check(["c", "a"])["error"] is None and check(["c", "a"])["dedup_key"] == check(["a", "c"])["dedup_key"] == "a,c|/out"
+    assert [check(i)["error"] for i in (["a", "a"], ["b"], ["z"], [])] == ["the same person twice", "a person is inactive or has no name", "no such person", "no persons"]
+    assert check(["a"], " ")["error"] == "the name is blank"
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "absolute_path string")
+    results = spark.createDataFrame([("a", "succeeded", [(0.0, 0.0, 1.0, 1.0, 0.9, [1.0]), (1.0, 0.0, 1.0, 1.0, 0.9, [1.0])]), ("b", "failed", None), ("b", "failed", None), ("d", "succeeded", [])], "absolute_path string, status string, faces array<struct<x1:double,y1:double,x2:double,y2:double,score:double,vector:array<float>>>")
+    assert {(r[0], r[1]) for r in sessions.result_errors(items, results).collect()} == {("a", "no box"), ("b", "more than one result"), ("c", "no result"), ("d", "not asked for")}
+    made = sessions.write_artifacts(spark.createDataFrame([(1,), (2,)], "face_id long"), lambda: lambda row: b"jpg", str(tmp_path / "art"))
+    assert sorted(r["face_id"] for r in made.collect()) == [1, 2] and (tmp_path / "art" / "face_2.jpg").read_bytes() == b"jpg"
