@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that one numpy pass takes at a time inside a task.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one numpy pass takes at a time inside a task, and rows of a batch that goes to Python.
+SLICE_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/kinweave-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that this application stored, once no result that reads it is needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts lineage and outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, with batches for Python of BATCH_ROWS rows unless the session has set another size than Spark's own: whole
+    texts are long, and both the JVM and Python hold a batch at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of a key written as text, modulo mod; the split into folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
@@ -66,10 +86,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about `most` bytes; a longer document has a range of its own."""
+    """Ranges of documents of about `most` bytes and 50,000 documents at most; a longer document has a range of its own."""
     n, a = len(offsets) - 1, 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = min(a + 50_000, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
         yield a, b
         a = b
 
@@ -91,4 +111,4 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], make: Callable[[]
                 cols = [*batch.columns, *(pa.array(new[n]) if not isinstance(new[n], (pa.Array, pa.ChunkedArray)) else new[n] for n, _ in fields)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(n for n, _ in fields)])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return short_batches(df).select(*kept).mapInArrow(run, schema)

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import short_batches, slices, stored, text_bytes
 from .components import components
 from .words import LOWER, mix, words
 
 #: Bytes of text of a row block, entries of a column block, rows and entries of half a tile, and columns multiplied at once.
-ROW_BYTES, COLUMN_ENTRIES, TILE_ROWS, TILE_ENTRIES, TILE_COLUMNS = 4 << 20, 3_000_000, 1024, 1_500_000, 2048
+ROW_BYTES, COLUMN_ENTRIES, TILE_ROWS, TILE_ENTRIES, TILE_COLUMNS = 2 << 20, 3_000_000, 1024, 1_500_000, 2048
 _TIMES = np.random.default_rng(77).integers(1, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
@@ -80,7 +80,7 @@ def documents_of(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 _, ends, classes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), pa.array(classes.view(np.int64))], names=[key, "n_shingles", "class"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, class long")
+    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, class long")
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -127,19 +127,17 @@ def row_blocks(df: DataFrame, size: int, columns: int, text: str) -> DataFrame:
                 order = np.argsort(value)
                 entry_row, value = entry_row[order], value[order]
                 col = (value * np.uint64(columns) >> np.uint64(48)).astype(np.int64) if columns < 1 << 16 else (value // np.uint64(-(-(1 << 48) // columns))).astype(np.int64)
-                cuts = np.searchsorted(col, np.arange(columns + 1))
+                cuts = np.flatnonzero(np.diff(col, prepend=-1, append=columns))
                 own = classes[first]
                 out = [(-1, block, b"", b"", own.tobytes(), n[first].tobytes())]
-                for c in range(columns):
-                    x, y = cuts[c], cuts[c + 1]
-                    if x < y:
-                        there, at = np.unique(entry_row[x:y], return_inverse=True)
-                        out.append((c, block, pack_sorted(value[x:y]), at.astype(np.uint16).tobytes(), own[there].tobytes(), there.astype(np.uint16).tobytes()))
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    there, at = np.unique(entry_row[x:y], return_inverse=True)
+                    out.append((int(col[x]), block, pack_sorted(value[x:y]), at.astype(np.uint16).tobytes(), own[there].tobytes(), there.astype(np.uint16).tobytes()))
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["col", "block", "hashes", "rows", "keys", "others"])
                 block += 1
 
-    return df.select(text).mapInArrow(run, _BLOCK)
+    return short_batches(df).select(text).mapInArrow(run, _BLOCK)
 
 
 def column_group(parts: DataFrame):

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes
+from .common import short_batches, slices, stored, text_bytes
 from .words import LOWER, hashed, word_starts
 
 #: Words that a task remembers the ids of, and the most bytes of one of these.
-KNOWN_WORDS, LONGEST_KNOWN = 1_000_000, 64
+KNOWN_WORDS, LONGEST_KNOWN = 600_000, 64
 #: What the regular expression of the tokenizer surely takes as one run: letters, or marks but for ' and <.
 _LETTER, _MARK, _OTHER = 0, 1, 2
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -145,7 +145,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def filling(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, slices, text_bytes, with_columns
+from .common import drawn, short_batches, slices, text_bytes, with_columns
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 24, 12, 256
 #: The bounded sample: documents of each label, and chunks of each document.
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     taken = [(r["k"], r["label"]) for r in drawn(known, F.xxhash64("k"), SAMPLE_DOCS, "label").collect()]
     keys = docs.sparkSession.createDataFrame(taken, f"k {labels.schema[key].dataType.simpleString()}, label int")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), F.col("id") == F.col("k")).select(F.xxhash64("id").alias("h"), "label", "text")
-    found = sorted(((r["h"], r["label"], [bytes(c) for c in r["parts"]]) for r in rows.mapInArrow(cut, "h long, label int, parts array<binary>").collect()), key=lambda r: r[:2])
+    found = sorted(((r["h"], r["label"], [bytes(c) for c in r["parts"]]) for r in short_batches(rows).mapInArrow(cut, "h long, label int, parts array<binary>").collect()), key=lambda r: r[:2])
     marks = np.array([r[1] for r in found])
     if len(set(marks.tolist())) < 2:
         return None

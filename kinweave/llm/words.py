@@ -29,12 +29,12 @@ def hashed(data: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> tuple[np.
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     spans = np.diff(starts, append=len(data))
-    where = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
+    where = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
     power = np.full(int(spans.max()), _BASE, np.uint64)
     power[0] = 1
     np.cumprod(power, out=power)
     value = _VALUE[data[starts[0] :]]
-    value *= power[where]
+    value *= power.take(where)
     at = starts - starts[0]
     lengths = np.add.reduceat(solid[starts[0] :].astype(np.int32), at).astype(np.int64)
     return lengths, mix(np.add.reduceat(value, at) ^ lengths.astype(np.uint64))
