@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, token_counts, wrappers
-from .common import crc_mod, shared_dir, table
+from .common import crc_mod, session_dir, stored, table
 
 
 def word_tokenizer() -> str:
@@ -62,18 +62,21 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches: all documents come; those of low quality are counted anew by another tokenizer version; toxic
-    ones go. The second batch is sent twice."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    ones go. The second batch is sent twice. Texts are counted where they are read; only counts are joined."""
+    first, second = token_counts.VERSIONS
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", token_counts.tokens_of(text, first).alias("old"), token_counts.tokens_of(text, second).alias("new"))
+    docs = stored(docs, "counts")
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    marked = docs.join(marks, "doc_id")
-    low = marked.filter("quality = 0")
-    toxic = marked.filter("toxic = 1").withColumn("now", F.coalesce(F.col("quality") == 0, F.lit(False)))
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    old, new = (lambda df: token_counts.counted(df, "words-1")), (lambda df: token_counts.counted(df, "pieces-2"))
+    marked = docs.join(marks, "doc_id").withColumn("low", F.coalesce(F.col("quality") == 0, F.lit(False)))
+    low, toxic = marked.filter("low"), marked.filter("toxic = 1")
+    old = lambda df: df.select("source", "lang", F.lit(first).alias("version"), F.col("old").alias("tokens"))
+    new = lambda df: df.select("source", "lang", F.lit(second).alias("version"), F.col("new").alias("tokens"))
+    rollup = token_counts.Rollup(spark, f"{session_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("load", token_counts.changes(inserted=old(docs)))
     for _ in range(2):
         rollup.commit("recount", token_counts.changes(inserted=new(low), deleted=old(low)))
-    rollup.commit("takedown", token_counts.changes(deleted=new(toxic.filter("now")).unionByName(old(toxic.filter(~F.col("now"))))))
+    rollup.commit("takedown", token_counts.changes(deleted=new(toxic.filter("low")).unionByName(old(toxic.filter("NOT low")))))
     return rollup.totals()
 
 

@@ -12,7 +12,7 @@ all gone has no total; an empty batch is committed without rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "version"]
@@ -21,9 +21,9 @@ _ROWS = "source string, lang string, version string, docs long, tokens long, bat
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
 
-def counted(docs: DataFrame, version: str, text: str = "text") -> DataFrame:
-    """docs with version and tokens, the count of the whole text."""
-    return docs.withColumn("version", F.lit(version)).withColumn("tokens", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(VERSIONS[version])).cast("long"))
+def tokens_of(text: Column, version: str) -> Column:
+    """The count of a whole text by a tokenizer version; 0 for a null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(VERSIONS[version])).cast("long")
 
 
 def changes(inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
