@@ -439,11 +439,11 @@ def session_summary(spark: SparkSession, d: str) -> DataFrame:
     return sessions.session_summary(items, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id")))
 
 
-@query("SELECT o_custkey AS id, o_orderstatus AS error FROM orders WHERE false")
+@query("SELECT l_orderkey AS id, 'score out of range' AS error FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_discount > 0.085")
 def result_errors(spark: SparkSession, d: str) -> DataFrame:
-    """The lines of each order as what a worker found on it: nothing is wrong with any."""
+    """The lines of each order as what a worker found on it; large discounts give scores that cannot be."""
     li, o = read(spark, d, "lineitem"), read(spark, d, "orders")
-    face = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_extendedprice").alias("y2"), F.col("l_discount").alias("score"), F.array(F.col("l_tax").cast("float")).alias("vector"))
+    face = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_extendedprice").alias("y2"), (F.col("l_discount") * 12).alias("score"), F.array(F.col("l_tax").cast("float")).alias("vector"))
     found = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(face).alias("faces"))
     results = o.join(found, o["o_orderkey"] == found["k"], "left").select(F.col("o_orderkey").cast("string").alias("absolute_path"), F.lit("succeeded").alias("status"), "faces")
     bad = sessions.result_errors(o.select(F.col("o_orderkey").cast("string").alias("absolute_path")), results)
