@@ -262,6 +262,18 @@ def test_html_odd(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.extract(df).orderBy("page_id").collect()]
+
+
+def test_html_region_of_each_page(spark):
+    plain = "<body><div><p>Plain {}</p><ul><li><a>link {}</a></li></ul></div></body>"
+    pages = [(u, p) for u in ("http://m/a", "/relative", None) for p in ("<body><article><p>In one</p></article></body>", "<body><main><p>In main</p></main><p>x</p></body>", plain.format(u, u))]
+    want = [x for u in ("http://m/a", "/relative", None) for x in ("In one", "In main", f"Plain {u} link {u}")]
+    assert texts_of(spark, pages) == want
+
+
 def test_wrapper_is_inferred():
     assert wrappers.folded(["<li", "#", ">li", "<li", "#", ">li", "<p"]) == [["+", "<li", "#", ">li"], "<p"]
     assert wrappers.aligned(["<a", "#x", ">a"], ["<a", "#x", "<img", ">a"]) == ["<a", "#x", ["?", "<img"], ">a"]
