@@ -274,6 +274,19 @@ def test_html_region_of_each_page(spark):
     assert texts_of(spark, pages) == want
 
 
+def test_html_marks_are_whole_words_and_leave_articles(spark):
+    pages = [
+        "<body><div class='layout has-sidebar'><article><header class='entry-header'><h1>Title</h1></header><p>Body</p></article></div><div class='sidebar'>Side</div></body>",
+        "<body><div class='sidebar'><article><div class='article-header page-header'><h2>T</h2></div><p>Body</p><div class='ad-box'>Buy</div></article></div></body>",
+        "<body><header class=site-header>Top</header><div class='no-sidebar'><p>Plain</p></div><div class='widget nav'>Go</div></body>",
+        "<body><div id=search><p>All is marked</p></div></body>",
+        "<body><form><nav>Go</nav><p>All in a form</p></form></body>",
+        "<body><article>One</article><div class=related><article>Other</article></div></body>",
+        "<body><nav>Go</nav></body>",
+    ]
+    assert texts_of(spark, [(f"http://h{i}/", p) for i, p in enumerate(pages)]) == ["Title Body", "T Body", "Plain", "All is marked", "All in a form", "One", ""]
+
+
 def test_wrapper_is_inferred():
     assert wrappers.folded(["<li", "#", ">li", "<li", "#", ">li", "<p"]) == [["+", "<li", "#", ">li"], "<p"]
     assert wrappers.aligned(["<a", "#x", ">a"], ["<a", "#x", "<img", ">a"]) == ["<a", "#x", ["?", "<img"], ">a"]
