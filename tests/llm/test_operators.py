@@ -287,6 +287,16 @@ def test_html_marks_are_whole_words_and_leave_articles(spark):
     assert texts_of(spark, [(f"http://h{i}/", p) for i, p in enumerate(pages)]) == ["Title Body", "T Body", "Plain", "All is marked", "All in a form", "One", ""]
 
 
+def test_html_constant_text_is_template(spark):
+    page = "<body><div>Read <b>our</b> terms</div>{}<div>All of it</div></body>"
+    bodies = [f"<p>Text {i}, <b>and</b> more</p>" * (i + 1) for i in range(4)]
+    got = texts_of(spark, [("http://h/", page.format(b)) for b in bodies])
+    assert got == [" ".join([f"Text {i}, and more"] * (i + 1)) for i in range(4)]
+    # copies of one page are no evidence, nor are pages without a host
+    assert texts_of(spark, [("http://h/", page.format(""))] * 5) == ["Read our terms All of it"] * 5
+    assert texts_of(spark, [(None, page.format(b)) for b in bodies])[0] == "Read our terms Text 0, and more All of it"
+
+
 def test_wrapper_is_inferred():
     assert wrappers.folded(["<li", "#", ">li", "<li", "#", ">li", "<p"]) == [["+", "<li", "#", ">li"], "<p"]
     assert wrappers.aligned(["<a", "#x", ">a"], ["<a", "#x", "<img", ">a"]) == ["<a", "#x", ["?", "<img"], ">a"]
