@@ -1,8 +1,10 @@
 """Licence notices in documents by conditional compression.
 
-Candidate blocks are the lines of a text that speak of licences. A block is compressed alone and with each template as
-a zstandard raw dictionary; the templates are ranked by how much smaller that makes it. The best ones are confirmed by
-their wording: the words that the block and the template's nearest stretch do not share, counted exactly.
+Candidate blocks are the lines of a text that speak of licences; of lines that are no notice as a whole, the sentences;
+and of what is left, the stretches round each such word that follow a template's wording, across line breaks. A block is
+compressed alone and with each template as a zstandard raw dictionary; the templates are ranked by how much smaller that
+makes it. The best ones are confirmed by their wording: the words that the block and the template's nearest stretch do
+not share, counted exactly, and a word that no other template has. Neighbouring lines that are one notice count once.
 
 Defined results: a null or empty text has no blocks; equal texts have equal results; ties between templates go to fewer
 differing words, then to the first name; rows are neither dropped nor merged. Whole texts are read.
@@ -11,6 +13,7 @@ differing words, then to the first name; rows are neither dropped nor merged. Wh
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -30,9 +33,14 @@ TEMPLATES = {
     "MIT": 'Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-TRIGGER = re.compile(r"licen[sc]e|copyright|\(c\) ?[12][0-9]{3}|SPDX|permission is hereby|redistribution and use|all rights reserved", re.I)
+TRIGGER = re.compile(r"licen[sc]e|copyright|\(c\) ?[12][0-9]{3}|SPDX|permission\s+is\s+hereby|redistribution\s+and\s+use|all\s+rights\s+reserved", re.I)
 #: Templates whose wording is compared, least reduction of size, share of the block's words that may differ, remembered blocks.
 FINALISTS, LEAST_GAIN, MOST_DIFFERENT, KNOWN_BLOCKS = 3, 0.1, 0.25, 20_000
+#: Words that a stretch inside other text shares with a template at least, and words that may be skipped at a time.
+LEAST_WORDS, SKIP = 4, 3
+_SENTENCE = re.compile(r"[.!?;][\"')\]]*\s+|\n\s*\n")
+_DIGIT = re.compile(r"[0-9]")
+_GAPS = sorted((p + q, p, q) for p in range(SKIP + 1) for q in range(SKIP + 1) if p + q)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -49,12 +57,34 @@ def differing(block: list[str], template: list[str]) -> int:
     return len(block) - sum(m.size for m in spans) + inside
 
 
+def reach(text: list[str], template: list[str], own: frozenset[str]) -> tuple[int, int, int]:
+    """(words of the text, shared, differing) of the best common run from the first words on, over gaps of up to SKIP
+    words on either side in which the template has none of its own words."""
+    x = y = shared = apart = 0
+    best = (0, 0, 0)
+    while x < len(text) and y < len(template):
+        if text[x] == template[y]:
+            x, y, shared = x + 1, y + 1, shared + 1
+            if shared - apart >= best[1] - best[2]:
+                best = (x, shared, apart)
+            continue
+        for n, p, q in _GAPS:
+            if text[x + p : x + p + 2] == template[y + q : y + q + 2] != [] and not own & set(template[y : y + q]):
+                x, y, apart = x + p, y + q, apart + n
+                break
+        else:
+            break
+    return best
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard
 
         self.names = sorted(templates)
         self.words = {n: words_of(templates[n]) for n in self.names}
+        #: Words that only one of the templates has; all of its words where it has none.
+        self.own = {n: frozenset(self.words[n]).difference(*(self.words[m] for m in self.names if m != n)) or frozenset(self.words[n]) for n in self.names}
         self.alone = zstandard.ZstdCompressor(level=9)
         raw = zstandard.DICT_TYPE_RAWCONTENT
         self.given = {n: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=raw)) for n in self.names}
@@ -73,7 +103,7 @@ class Scanner:
         own, found = words_of(block), []
         for gain, name in self.gains(block)[:FINALISTS]:
             n = differing(own, self.words[name])
-            if gain >= LEAST_GAIN and own and n <= MOST_DIFFERENT * len(own):
+            if gain >= LEAST_GAIN and own and self.own[name] & set(own) and n <= MOST_DIFFERENT * len(own):
                 found.append((n, -gain, name))
         best = (min(found)[2], min(found)[0], -min(found)[1]) if found else None
         if len(self.known) >= KNOWN_BLOCKS:
@@ -82,12 +112,92 @@ class Scanner:
         return best
 
 
+    def lines(self, lines: list[str]) -> tuple[int, list[tuple[str, int, float]], list[str]]:
+        """The number of lines that speak of licences, those that are notices, and the texts between the notices."""
+        n, found, rest, own = 0, [], [], []
+        last: str | None = None
+        for line in lines:
+            speaks = bool(TRIGGER.search(line))
+            n += speaks
+            hit = self.scan(line) if speaks else None
+            if not hit:
+                own.append(line)
+                last = None
+                continue
+            both = self.scan(f"{last} {line}") if last is not None else None
+            if both and both[0] == hit[0] == found[-1][0] and both[1] <= hit[1] + found[-1][1]:
+                found[-1], last = both, f"{last} {line}"
+                continue
+            found.append(hit)
+            last = line
+            rest.append("\n".join(own))
+            own = []
+        return n, found, [*rest, "\n".join(own)]
+
+    def sentences(self, text: str) -> tuple[list[tuple[str, int, float]], list[str]]:
+        """The sentences of a text that are notices, and the texts between them."""
+        found, rest, at, first = [], [], 0, 0
+        for end in [*(m.end() for m in _SENTENCE.finditer(text)), len(text)]:
+            sentence = text[at:end]
+            hit = self.scan(sentence.strip()) if TRIGGER.search(sentence) else None
+            if hit:
+                found.append(hit)
+                rest.append(text[first:at])
+                first = end
+            at = end
+        return found, [*rest, text[first:]]
+
+    def stretches(self, text: str) -> list[tuple[str, int, float]]:
+        """The notices inside other words: round each word that speaks of licences the best stretch of a template."""
+        spans = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(text)]
+        words, starts = [w for _, _, w in spans], [a for a, _, _ in spans]
+        found, done = [], 0
+        for m in TRIGGER.finditer(text):
+            i = max(0, bisect_right(starts, m.start()) - 1)
+            if i < done or not words:
+                continue
+            best: tuple[int, int, int] | None = None
+            for name in self.names:
+                t, own = self.words[name], self.own[name]
+                for j in (j for j, w in enumerate(t) if w == words[i]):
+                    right = reach(words[i + 1 : i + 1 + 2 * len(t)], t[j + 1 :], own)
+                    left = reach(words[max(done, i - 2 * len(t)) : i][::-1], t[:j][::-1], own)
+                    a, b = i - left[0], i + 1 + right[0]
+                    shared, apart = left[1] + 1 + right[1], left[2] + right[2]
+                    if shared < LEAST_WORDS or apart > MOST_DIFFERENT * (b - a) or not own & set(words[a:b]):
+                        continue
+                    after = j + 1 + next((k for k in range(len(t) - j) if t[j + 1 : j + 1 + k] == words[i + 1 : i + 1 + k] and t[j + 1 + k : j + 2 + k] != words[i + 1 + k : i + 2 + k]), 0)
+                    # another number where the template has one is part of the notice
+                    if b < len(words) and after < len(t) and b == i + after - j and _DIGIT.search(words[b]) and _DIGIT.search(t[after]):
+                        b += 1
+                    if best is None or shared - apart > best[0]:
+                        best = (shared - apart, a, b)
+            hit = self.scan(text[spans[best[1]][0] : spans[best[2] - 1][1]]) if best else None
+            if best and hit:
+                found.append(hit)
+                done = best[2]
+        return found
+
+    def notices(self, text: str) -> tuple[int, list[tuple[str, int, float]]]:
+        """The number of lines that speak of licences, and all notices of a whole text."""
+        if not TRIGGER.search(text):
+            return 0, []
+        n, found, rest = self.lines(text.split("\n"))
+        for zone in rest:
+            if TRIGGER.search(zone):
+                more, left = self.sentences(zone)
+                found += more
+                for part in left:
+                    found += self.stretches(part) if TRIGGER.search(part) else []
+        return n, found
+
+
 FIELDS = [("n_blocks", "long"), ("licenses", "string"), ("n_exact", "long"), ("n_near", "long")]
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, text: str = "text") -> DataFrame:
-    """df with n_blocks (candidate blocks), licenses (confirmed, sorted, comma-joined), n_exact and n_near (confirmed
-    blocks without and with differing words)."""
+    """df with n_blocks (lines that speak of licences), licenses (confirmed, sorted, comma-joined), n_exact and n_near (confirmed
+    notices without and with differing words)."""
     chosen = templates or TEMPLATES
 
     def make() -> Callable[[pa.Array], dict]:
@@ -96,9 +206,8 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, text: str = "te
         def work(texts: pa.Array) -> dict:
             out: dict[str, list] = {n: [] for n, _ in FIELDS}
             for t in texts.to_pylist():
-                blocks = [b for b in t.split("\n") if TRIGGER.search(b)] if t and TRIGGER.search(t) else []
-                got = [x for x in map(scanner.scan, blocks) if x]
-                for name, value in zip(out, (len(blocks), ",".join(sorted({x[0] for x in got})), sum(x[1] == 0 for x in got), sum(x[1] > 0 for x in got)), strict=True):
+                n, got = scanner.notices(t or "")
+                for name, value in zip(out, (n, ",".join(sorted({x[0] for x in got})), sum(x[1] == 0 for x in got), sum(x[1] > 0 for x in got)), strict=True):
                     out[name].append(value)
             return {"licenses": pa.array(out.pop("licenses"), pa.string())} | {n: pa.array(v, pa.int64()) for n, v in out.items()}
 

@@ -189,6 +189,25 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_licenses_inside_other_text(spark):
+    prose = "we wrote this in a hurry and gave it away " * 30
+    cases = [
+        ("Copyright (c) 2020 Acme Corp. Released under the MIT License.", "MIT"),
+        (prose + "it is distributed under the MIT License and comes without any promise " + prose, "MIT"),
+        (prose + "this work is licensed under the GNU General\nPublic License, version 3 " + prose, "GPL-3.0"),
+        ("The text, licensed under the\nMIT License, is ours", "MIT"),
+        ("Dual. Released under the MIT License. Licensed under the Apache License, Version 2.0.", "Apache-2.0,MIT"),
+        (prose + "this album was released under the license of a label, and a license is a licence", ""),
+        ("Copyright 2020 by me, all rights reserved, ask for a license at the desk of the office", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = licenses.scan(df).orderBy("doc_id").toPandas()
+    assert got.licenses.tolist() == [x for _, x in cases]
+    assert got.n_exact.tolist()[:3] == [1, 1, 1]
+    wrapped = spark.createDataFrame([(0, "This work is licensed under the GNU General\nPublic License, version 3.")], "doc_id long, text string")
+    assert licenses.scan(wrapped).select("licenses", "n_exact", "n_near").first() == ("GPL-3.0", 1, 0)
+
+
 def test_licenses_query(spark, docs):
     got = run(spark, "op5_licenses").set_index("doc_id")
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
