@@ -4,8 +4,9 @@ For each language a suffix automaton of labelled text accepts exactly the substr
 parsed from left to right into the longest phrases that each automaton accepts; the language that needs the fewest
 phrases, weighted by the bits that address a phrase in its text, wins.
 
-The automata are flat transition tables, so that a task advances thousands of positions of its documents at a time.
-Texts are read whole. Letters are taken in lower case (A-Z) and every run of other ASCII bytes as one space.
+The automata are flat transition tables, so that a task advances thousands of positions of its documents at a time. A
+document begins at the root; where one is cut, what follows is parsed on until it meets the parse from the root, so that
+counts depend on the document alone. Texts are read whole. Letters are taken in lower case (A-Z) and every run of other ASCII bytes as one space.
 
 Defined results: a null text, or one without a letter, gives `und` and score 0; equal texts give equal results; ties
 between languages go to the first name in alphabetical order; with no language to learn from all rows give `und`.
@@ -26,7 +27,7 @@ from .common import drawn, slices, text_bytes, with_columns
 
 #: The bounded training sample: documents of each language, code points from each, and bytes of each automaton.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 256, 240, 24_000
-#: Positions that one stream of a task parses before the next stream takes over; a phrase ends there.
+#: Positions that one stream of a task parses before the next one takes over the state it ends in.
 STREAM = 1024
 SPACE, STOP = 0x20, 0x00
 
@@ -103,17 +104,36 @@ class LanguageModel:
         codes[:total] = self.column[text]
         codes = np.ascontiguousarray(codes.reshape(streams, STREAM).T)
         at = np.repeat(self.roots[:, None], streams, 1)
-        broke = np.empty((STREAM, langs, streams), bool)
+        states = np.empty((STREAM, langs, streams), np.int32)  # negative where a phrase ends
         for t in range(STREAM):
             at += codes[t]
-            got = self.table.take(at)
-            np.less(got, 0, out=broke[t])
-            at = got & 0x7FFFFFFF
-        broke = broke.transpose(1, 2, 0).reshape(langs, -1)[:, :total]
+            states[t] = self.table.take(at)
+            at = states[t] & 0x7FFFFFFF
+        self.mended(codes, states)
+        broke = (states < 0).transpose(1, 2, 0).reshape(langs, -1)[:, :total]
         sums = np.zeros((langs, total + 1), np.int64)
         np.cumsum(broke, axis=1, out=sums[:, 1:])
         return (sums[:, ends[1:]] - sums[:, ends[:-1]] + 1) * self.bits[:, None]
 
+    def mended(self, codes: np.ndarray, states: np.ndarray) -> None:
+        """Parse each stream on from the state that the one before ends in (the root after a STOP), until it meets the
+        parse from the root, and again what follows a stream that it does not meet in."""
+        langs, streams = states.shape[1:]
+        lang, stream = np.repeat(np.arange(langs), max(0, streams - 1)), np.tile(np.arange(1, streams), langs)
+        while len(stream):
+            at = states[STREAM - 1, lang, stream - 1] & 0x7FFFFFFF
+            k, s = lang, stream
+            for t in range(STREAM):
+                got = self.table.take(at + codes[t, s])
+                old = states[t, k, s]
+                states[t, k, s] = got
+                apart = np.flatnonzero((got ^ old) & 0x7FFFFFFF)
+                k, s, at = k[apart], s[apart], got[apart] & 0x7FFFFFFF
+                if not len(s):
+                    break
+            follow = s + 1 < streams
+            lang, stream = k[follow], s[follow] + 1
+
 
 def model_of(texts: dict[str, list[str]]) -> LanguageModel:
     """The automata of labelled texts by language, of the same number of bytes as far as there are so many."""

@@ -477,6 +477,25 @@ def test_automaton_accepts_substrings():
     assert all(accepts(s) for s in subs) and not any(accepts(bytes(s)) for s in (b"ac", b"bb" + b"c", b"aa", b"abcbcabbaa"))
 
 
+def test_language_counts_are_of_the_document_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["the", "house", "tree", "das", "haus", "baum", "wort", "word"]
+    ref = {k: [" ".join(rng.choice(words, 300))] for k in "abc"}
+    m = language_id.model_of(ref)
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 40, 0, 700, 3, 1500)] + [ref["a"][0] * 3]
+    encoded = [t.encode() for t in texts]
+
+    def costs(some):
+        return m.costs(np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])).T
+
+    monkeypatch.setattr(language_id, "STREAM", 1 << 14)
+    want = [costs([e])[0].tolist() for e in encoded]
+    for stream in (5, 64, 1024):
+        monkeypatch.setattr(language_id, "STREAM", stream)
+        assert costs(encoded).tolist() == want
+        assert costs(encoded[::-1]).tolist() == want[::-1]
+
+
 def test_language_query(spark, docs):
     got = run(spark, "op9_language_id").merge(docs, on="doc_id")
     held = got[got.held_out]
