@@ -21,20 +21,27 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a key of doc_id and text in the order of doc_id, rows without a doc_id last."""
+    least = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", least).alias("id"), F.xxhash64("text").alias("text"))
+    return docs.select(*COLUMNS).withColumn("_row", own)
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of the smallest doc_id stays; so do all without words. Of rows that
-    are equal in doc_id and text one stays, and documents without a doc_id stay."""
-    found = ngram_join.join(docs)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))
-    chosen = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("nth", nth).filter("nth = 1")
-    return chosen.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id IS NULL"))
+    """Of each component of linked documents the one of the smallest doc_id stays, one without a doc_id only where none
+    has any; so do all without words. Of rows that are equal in doc_id and text one stays."""
+    rows = keyed(docs)
+    kept = ngram_join.join(rows, key="_row").filter("_row = component_id").select("_row").distinct()
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("doc_id"))
+    return rows.join(kept, "_row", "left_semi").withColumn("nth", nth).filter("nth = 1").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words stands in benchmark passages go."""
-    judged = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(judged.filter("contaminated").select("doc_id"), "doc_id", "left_anti")
+    rows = keyed(docs)
+    judged = decontamination.judged(rows, table(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(judged.filter("contaminated").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,17 @@ def test_stages(spark, tmp_path):
     assert seen["packing"].groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_repeated_and_missing_ids(spark):
+    bench = pd.read_parquet(f"{DATA}/benchmark.parquet").text[0]
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two", "three"))
+    rows = [(1, one), (2, one + " end"), (2, two), (None, one), (None, three), (None, three + " end"), (5, bench), (5, three + " other words " + two), (None, bench)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = [(r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_duplicates(spark, docs, DATA).collect()]
+    assert len(near) == 5 and set(near) - {(None, three), (None, three + " end")} == {(1, one), (2, two), (5, bench), rows[7]}
+    clean = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, docs, DATA).collect()]
+    assert sorted(clean, key=str) == sorted((r for r in rows if r[1] != bench), key=str)
+
+
 def test_oracles(spark):
     c = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
