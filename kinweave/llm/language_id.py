@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import drawn, slices, text_bytes, with_columns
 
-#: The bounded training sample: documents of each language, code points from each, and bytes of each automaton.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_BYTES = 256, 240, 24_000
+#: The bounded training sample of each language: rows, and bytes of these rows' whole texts together.
+SAMPLE_DOCS, SAMPLE_BYTES = 96, 64_000
 #: Positions that one stream of a task parses before the next one takes over the state it ends in.
 STREAM = 1024
 SPACE, STOP = 0x20, 0x00
@@ -136,18 +136,18 @@ class LanguageModel:
 
 
 def model_of(texts: dict[str, list[str]]) -> LanguageModel:
-    """The automata of labelled texts by language, of the same number of bytes as far as there are so many."""
+    """The automata of labelled texts by language. Of each language texts are taken whole, in their order, as far as they
+    fit in SAMPLE_BYTES together; one that does not fit is no part of the sample."""
     names, refs = sorted(texts), []
     for name in names:
         parts, size = [], 0
-        for s in texts[name]:
+        for s in dict.fromkeys(texts[name]):
             raw = np.frombuffer(s.encode(), np.uint8)
             got, _ = normal(raw, np.array([0, len(raw)], np.int64))
-            parts.append(got.tobytes())
-            size += len(got)
-            if size >= SAMPLE_BYTES:
-                break
-        refs.append(b"".join(parts)[:SAMPLE_BYTES] or b"\0")
+            if size + len(got) <= SAMPLE_BYTES:
+                parts.append(got.tobytes())
+                size += len(got)
+        refs.append(b"".join(parts) or b"\0")
     seen = np.zeros(256, bool)
     for r in refs:
         seen[np.frombuffer(r, np.uint8)] = True
@@ -178,13 +178,16 @@ def model_of(texts: dict[str, list[str]]) -> LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learn from a sample of SAMPLE_DOCS documents of each language, the first in the order of a hash of their key."""
-    middle = F.greatest(F.lit(1), (F.length(text) / 2).cast("int") - SAMPLE_CHARS // 2)
-    parts = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(key).alias("k"), F.substring(F.col(text), middle, F.lit(SAMPLE_CHARS)).alias("part"))
-    rows = drawn(parts, F.xxhash64("k", "part"), SAMPLE_DOCS, "lang").collect()
+    """Learn from whole texts of a sample of SAMPLE_DOCS documents of each language, the first in the order of a hash of
+    their key and text among those of SAMPLE_BYTES at most. Hashes alone are ranked; then the chosen texts are read."""
+    fits = F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES) & F.col(text).rlike(r"\p{L}")
+    rows = labelled.filter(fits).select(F.col(lang).alias("lang"), F.xxhash64(key, text, lang).alias("own"), F.col(text).alias("text"))
+    chosen = [r["own"] for r in drawn(rows.select("lang", "own"), F.col("own"), SAMPLE_DOCS, "lang").select("own").collect()]
+    # repeated rows have one hash and count once
+    found = rows.filter(F.col("own").isin(chosen)).groupBy("lang", "own").agg(F.max("text").alias("text")).collect() if chosen else []
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["_h"])):
-        texts.setdefault(r["lang"], []).append(r["part"])
+    for r in sorted(found, key=lambda r: (r["lang"], r["own"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
     return model_of(texts)
 
 
