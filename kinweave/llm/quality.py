@@ -3,7 +3,7 @@
 Filters over WIDTH bytes read every byte of a document. Chunks of two halves overlap by one and cover the whole of it;
 in each chunk a filter's largest response counts, a small hidden layer takes these, and the mean of all its chunks gives
 one probability. Training (Adam, cross entropy) uses a bounded sample of labelled documents, as many of either label,
-and of each a bounded number of chunks spread over it; scoring uses every byte of every text.
+each of them whole; scoring uses every byte of every text.
 
 Defined results: a null or empty text is one empty chunk and has a score too; equal texts have equal scores; with no
 labelled row, or one label alone, every score is 0.5. Rows are neither dropped nor merged; the label, the key and any
@@ -12,18 +12,16 @@ other column are no inputs of a score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, short_batches, slices, text_bytes, with_columns
+from .common import drawn, slices, text_bytes, with_columns
 
 WIDTH, FILTERS, HIDDEN, HALF = 6, 24, 12, 256
-#: The bounded sample: documents of each label, and chunks of each document.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 1200, 6
+#: The bounded sample: documents of each label, and most bytes of one of these (longer ones are not sampled).
+SAMPLE_DOCS, SAMPLE_BYTES = 1200, 32 << 10
 #: Bytes that one convolution takes at a time.
 PART = 1 << 18
 
@@ -141,30 +139,27 @@ def trained(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 12, batc
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> dict | None:
-    """Weights learnt from SAMPLE_DOCS documents of each label, the first in the order of a hash; None if one lacks.
+def chunks_of(text: bytes) -> list[bytes]:
+    """The overlapping chunks that cover a text."""
+    return [text[x * HALF : (x + 2) * HALF] for x in range(max(1, -(-len(text) // HALF) - 1))]
 
-    The sample is drawn from the keys of `labels` alone, so that it can be broadcast to the texts, which stay in place."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            parts = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                last = max(0, -(-(b - a) // HALF) - 2)
-                at = sorted({round(i * last / (SAMPLE_CHUNKS - 1)) for i in range(SAMPLE_CHUNKS)})
-                parts.append([data[a + x * HALF : min(b, a + (x + 2) * HALF)].tobytes() for x in at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.binary()))], names=["h", "label", "parts"])
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label") -> dict | None:
+    """Weights learnt from SAMPLE_DOCS whole documents of each label, the first in the order of a hash, of SAMPLE_BYTES at
+    most; None if one label lacks. A null text is an empty one.
 
+    The sample is drawn from the keys of `labels` alone, so that it can be broadcast to the texts, which stay in place.
+    Where keys are repeated in `docs`, as many rows again are drawn from theirs."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).distinct()
+    sized = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
     taken = [(r["k"], r["label"]) for r in drawn(known, F.xxhash64("k"), SAMPLE_DOCS, "label").collect()]
     keys = docs.sparkSession.createDataFrame(taken, f"k {labels.schema[key].dataType.simpleString()}, label int")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), F.col("id") == F.col("k")).select(F.xxhash64("id").alias("h"), "label", "text")
-    found = sorted(((r["h"], r["label"], [bytes(c) for c in r["parts"]]) for r in short_batches(rows).mapInArrow(cut, "h long, label int, parts array<binary>").collect()), key=lambda r: r[:2])
+    rows = sized.join(F.broadcast(keys), "k").select("label", "text", F.xxhash64("k", "text").alias("own"))
+    found = sorted((r["own"], r["label"], r["text"]) for r in drawn(rows, F.col("own"), SAMPLE_DOCS, "label").select("own", "label", "text").collect())
     marks = np.array([r[1] for r in found])
     if len(set(marks.tolist())) < 2:
         return None
-    return trained([r[2] for r in found], marks)
+    return trained([chunks_of(r[2].encode()) for r in found], marks)
 
 
 def score(df: DataFrame, weights: dict | None, text: str = "text", column: str = "score") -> DataFrame:
