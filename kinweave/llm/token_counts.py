@@ -4,7 +4,9 @@ A change inserts a document's count, deletes it, or revises it (the old count go
 another version). A batch of changes becomes one table of signed sums for each key, summed inside each task before the
 shuffle, so that a source of a third of all rows moves as many rows as any other. The table is written under the id of
 its batch; a batch that is there already is left alone, so a batch may be sent again after a failure. Totals are the
-sums of all batches, and `compact` folds these into one.
+sums of all committed batches, and `compact` folds these into one that remembers their ids.
+
+A version is a regular expression of VERSIONS, counted by Spark itself, or a tokenizer file, counted by `counted`.
 
 Defined results: null source, language or version are keys of their own; null counts add 0; a key whose documents are
 all gone has no total; an empty batch is committed without rows.
@@ -12,11 +14,17 @@ all gone has no total; an empty batch is committed without rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 KEYS = ["source", "lang", "version"]
-_ROWS = "source string, lang string, version string, docs long, tokens long, batch string"
+_ROWS = "source string, lang string, version string, docs long, tokens long"
 #: Words, or runs of ASCII letters and digits and single other characters.
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
@@ -35,39 +43,68 @@ def changes(inserted: DataFrame | None = None, deleted: DataFrame | None = None)
     return out
 
 
+def counted(df: DataFrame, files: dict[str, str], text: str = "text") -> DataFrame:
+    """df with a column for each version: how many tokens its file (of the tokenizers library) finds in the whole text."""
+
+    def make() -> Callable[[pa.Array], dict]:
+        from tokenizers import Tokenizer
+
+        known = {version: Tokenizer.from_file(path) for version, path in files.items()}
+        return lambda texts: {v: pa.array([len(x.ids) for x in t.encode_batch([s or "" for s in texts.to_pylist()], add_special_tokens=False)], pa.int64()) for v, t in known.items()}
+
+    return with_columns(df, [(version, "long") for version in files], make, text)
+
+
 class Rollup:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share: a folder of signed sums for each batch, and, in a compacted rollup,
+    `base`, the sums of the batches whose ids are in `folded`. A folder counts once its writer has left _SUCCESS in it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _done(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.path}/{name}/_SUCCESS"))
+
+    def committed(self) -> list[str]:
+        """The folders of the batches that are committed here."""
+        found = self._fs.globStatus(self._path(f"{self.path}/batch=*/_SUCCESS")) or []
+        return sorted(f.getPath().getParent().getName() for f in found)
 
-    def _there(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    def taken(self, batch: str) -> bool:
+        """Whether a batch is committed, here or in a rollup that this one was compacted from."""
+        name = f"batch={quote(batch, safe='')}"
+        return self._done(name) or (self._done("folded") and not self.spark.read.schema("batch string").parquet(f"{self.path}/folded").filter(F.col("batch") == name).isEmpty())
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
-        """Add a batch; False if it is committed already. The writer's _SUCCESS file is the commit: what a failed write
-        left without one is overwritten."""
-        path = f"{self.path}/batch={batch}"
-        if self._there(f"{path}/_SUCCESS"):
+        """Add a batch; False if it is taken already. What a failed write left without _SUCCESS is overwritten."""
+        if self.taken(batch):
             return False
-        rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(path)
+        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.write.mode("overwrite").parquet(f"{self.path}/batch={quote(batch, safe='')}")
         return True
 
     def deltas(self) -> DataFrame:
-        if not self._there(self.path):
+        """The signed sums of all that is committed."""
+        names = self.committed() + (["base"] if self._done("base") and self._done("folded") else [])
+        if not names:
             return self.spark.createDataFrame([], _ROWS)
-        return self.spark.read.schema(_ROWS).option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        return self.spark.read.schema(_ROWS).parquet(*(f"{self.path}/{n}" for n in names))
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens)."""
         sums = self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 
-    def compact(self, path: str) -> "Rollup":
-        """A rollup elsewhere that has these totals as its only batch."""
+    def compact(self, path: str) -> Rollup:
+        """A rollup elsewhere that has these totals as its base; batches sent again to it are known by their ids."""
         new = Rollup(self.spark, path)
-        new.commit("compacted", self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")))
+        self.totals().select(*KEYS, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens")).write.mode("overwrite").parquet(f"{new.path}/base")
+        ids = self.spark.createDataFrame([(n,) for n in self.committed()], "batch string")
+        if self._done("folded"):
+            ids = ids.unionByName(self.spark.read.schema("batch string").parquet(f"{self.path}/folded"))
+        ids.write.mode("overwrite").parquet(f"{new.path}/folded")
         return new
 
 
