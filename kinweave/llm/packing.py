@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .words import LOWER, hashed, word_starts
 
 #: Words that a task remembers the ids of, and the most bytes of one of these.
 KNOWN_WORDS, LONGEST_KNOWN = 600_000, 64
+#: Values of the salt that pieces of one length are spread by.
+SALTS = 1 << 20
 #: What the regular expression of the tokenizer surely takes as one run: letters, or marks but for ' and <.
 _LETTER, _MARK, _OTHER = 0, 1, 2
 _KIND = np.full(256, _OTHER, np.uint8)
@@ -126,10 +129,11 @@ class WordTokenizer:
 
 
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces (key, start, length, ids_crc32, doc_tokens) of every document, whole windows first."""
+    """Pieces (key, start, length, ids_crc32, doc_tokens, salt) of every document, whole windows first. The salt counts on
+    inside a task, so that equal rows differ in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = WordTokenizer(tokenizer)
+        work, salt = WordTokenizer(tokenizer), TaskContext.get().partitionId() * 7919
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets):
@@ -142,10 +146,11 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str =
                         rows.append(a + i)
                         for c, v in zip(cols, (start, len(part), zlib.crc32(part), len(own)), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=[key, "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols), pa.array(np.arange(salt, salt + len(rows)) % SALTS)], names=[key, "start", "length", "ids_crc32", "doc_tokens", "_salt"])
+                salt += len(rows)
 
     kind = df.schema[key].dataType.simpleString()
-    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, _salt long")
 
 
 def filling(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -192,13 +197,12 @@ def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
 
 def ranked(parts: DataFrame, key: str) -> DataFrame:
     """parts with rank, from 0 among the pieces of a length: counts by salt, summed, and a rank inside each salt."""
-    spark = parts.sparkSession
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = Window.partitionBy("length", "salt").orderBy(key, "start", "ids_crc32", "doc_tokens")
-    return salted.withColumn("nth", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("base")).drop("salt", "nth", "base")
+    salts = max(8, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = parts.withColumn("_salt", F.pmod("_salt", F.lit(salts)))
+    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = salted.groupBy("length", "_salt").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    own = Window.partitionBy("length", "_salt").orderBy(key, "start", "ids_crc32", "doc_tokens")
+    return salted.withColumn("_nth", F.row_number().over(own) - 1).join(base, ["length", "_salt"]).withColumn("rank", F.col("_nth") + F.col("_base")).drop("_salt", "_nth", "_base")
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
