@@ -9,7 +9,7 @@ in BLOCKS - radius blocks at least; one table for each choice of so many blocks
 
 Defined results: a null text is an empty one, and an empty text has the fingerprint of the empty word; a text of fewer
 words than a shingle is one term; equal texts have equal fingerprints; rows of equal or null keys are rows of their own
-(null last, ties by text); of one row alone the next is itself; an empty table gives an empty result.
+(null last, ties by a hash of the text); of one row alone the next is itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SHINGLE, HEAVIEST = 5, 15
 BLOCKS = [(53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10)]
 #: The pairs of bits (j, j + 32) that one sum counts.
 _PAIR = (1 << 32) | 1
-_MOST_SPLITS, _FINE = 10_000, 100
+#: Bytes of text of a neighbourhood of adjacent keys.
+HOOD_BYTES = 32 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -72,27 +73,24 @@ def as_hex(bits: Column) -> Column:
 
 def in_neighbourhoods(df: DataFrame, key: str, text: str) -> DataFrame:
     """df by neighbourhoods of adjacent keys: place (descending keys) in its neighbourhood, and the text of the row next
-    in the whole table. `extra` marks copies of the row that follows a neighbourhood; after the last comes the first."""
-    order = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    docs = df.select(order.alias("okey"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    in the whole table. `extra` marks a copy of the row that follows a neighbourhood; after the last comes the first.
+
+    Neighbourhoods are the parts of a range partitioning of about HOOD_BYTES each, stored so that all steps see the same
+    ones. Of equal and null keys the hash of the text, and of equal rows their place in the scan, parts them further."""
+    docs = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(_MOST_SPLITS, max(4 * partitions, size >> 24))
-    splits = docs.agg(F.percentile_approx("okey", [i / n for i in range(1, n)], 100 * n if n < 1000 else 10_000)).first()[0] or []
-    splits = sorted(set(splits))
-    coarse = F.array(*(F.lit(s) for s in splits[_FINE - 1 :: _FINE])) if len(splits) >= _FINE else F.array().cast("array<long>")
-    fine = F.array(*(F.lit(s) for s in splits)) if splits else F.array().cast("array<long>")
-    block = F.size(F.filter(coarse, lambda s: s <= F.col("okey"))) * _FINE
-    docs = docs.withColumn("block", block).withColumn("hood", F.col("block") + F.size(F.filter(F.slice(fine, F.col("block") + 1, _FINE), lambda s: s <= F.col("okey")))).drop("block")
-    tops = sorted((r[0], r[1]) for r in docs.groupBy("hood").agg(F.max("okey")).collect())  # n rows at most
-    if not tops:
-        return docs.select("hood", F.lit(0).alias("extra"), F.lit(0).alias("place"), key, "text", F.col("text").alias("next"))
-    follow = [(hood, tops[i - 1][1]) for i, (hood, _) in enumerate(tops)]  # of the lowest it is the highest
-    after = df.sparkSession.createDataFrame(follow, "to long, okey long")
-    extras = docs.drop("hood").join(F.broadcast(after), "okey").select(F.col("to").cast("int").alias("hood"), F.lit(1).alias("extra"), "okey", key, "text")
-    rows = docs.select("hood", F.lit(0).alias("extra"), "okey", key, "text").unionByName(extras)
-    w = Window.partitionBy("hood").orderBy("extra", F.desc("okey"), "text")
-    return rows.select("hood", "extra", key, "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next"))
+    order = [F.desc_nulls_last(key), F.col("_by"), F.col("_nth")]
+    placed = docs.withColumn("_by", F.xxhash64("text")).withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(max(4 * partitions, -(-size // HOOD_BYTES)), *order)
+    rows = stored(placed.withColumn("hood", F.spark_partition_id()), "hoods")
+    first = F.min_by(F.struct(F.col(key), "text"), F.struct(F.col(key).isNull(), F.negative(key), "_by", "_nth"))
+    heads = stored(rows.groupBy("hood").agg(first.alias("head")), "heads")
+    ids = sorted(r[0] for r in heads.select("hood").collect())  # as many as neighbourhoods
+    after = df.sparkSession.createDataFrame([(ids[i - 1], hood) for i, hood in enumerate(ids)], "to int, hood int")
+    extras = heads.join(after, "hood").select(F.col("to").alias("hood"), F.lit(1).alias("extra"), f"head.{key}", "head.text", F.lit(0).cast("long").alias("_by"), F.lit(0).cast("long").alias("_nth"))
+    both = rows.select("hood", F.lit(0).alias("extra"), key, "text", "_by", "_nth").unionByName(extras)
+    w = Window.partitionBy("hood").orderBy("extra", *order)
+    return both.select("hood", "extra", key, "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("next"))
 
 
 def with_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
