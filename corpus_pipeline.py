@@ -38,10 +38,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words stands in benchmark passages go."""
-    rows = keyed(docs)
-    judged = decontamination.judged(rows, table(spark, sf_dir, "benchmark"), key="_row")
-    return rows.join(judged.filter("contaminated").select("_row"), "_row", "left_anti").select(*COLUMNS)
+    """Documents of which a twentieth of the words stands in benchmark passages go. Each row is judged by itself, whatever
+    its doc_id; null and empty texts are clean."""
+    named = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *COLUMNS)
+    judged = decontamination.judged(named, table(spark, sf_dir, "benchmark"), key="_id", text="_text", keep=tuple(COLUMNS))
+    return judged.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ from .common import stored
 
 #: Posting lists that are intersected before the words are compared.
 LISTS = 3
-#: Most rows of distinct test terms or windows that are broadcast; beyond these Spark joins by shuffle.
-SMALL_ROWS = 200_000
+#: Most rows of distinct test terms, or of places of these in windows, that are broadcast: numbers alone, of 40 bytes at
+#: most. Beyond these Spark joins by shuffle, the rows of a term dealt over SALTS parts.
+SMALL_ROWS, SALTS = 200_000, 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,36 +34,45 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), 1)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if it has so few rows, which are counted."""
+def by_term(left: DataFrame, right: DataFrame, n_right: int, spread: Column, how: str = "inner") -> DataFrame:
+    """left joined on term with right, which is broadcast if it has few rows; else a term's rows of left are dealt over
+    SALTS parts by `spread`, so that none has all rows of a frequent one."""
+    if n_right <= SMALL_ROWS:
+        return left.join(F.broadcast(right), "term", how)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(right.select("*", salts), ["term", "_salt"], how).drop("_salt")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has so few rows of numbers, which are counted."""
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def windows_of(items: DataFrame, size: int, item: str, text: str) -> DataFrame:
-    """(window, words, items) of the distinct windows: a hash of the words, the words, and the ids of its items."""
+def items_of(items: DataFrame, size: int, item: str, text: str) -> DataFrame:
+    """(item, window, words) of all windows of each item: a hash of the words, and the words."""
     split = items.select(F.col(item).cast("string").alias("item"), word_array(F.col(text)).alias("all")).filter(F.size("all") > 0)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1)))).alias("at")
-    rows = split.select("item", "all", at).select("item", F.slice("all", F.col("at"), size).alias("words"))
-    return rows.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("window", F.xxhash64("words"))
+    return split.select("item", "all", at).select("item", F.slice("all", F.col("at"), size).alias("words")).withColumn("window", F.xxhash64("words"))
 
 
-def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, text): row tells rows of different key or text apart; equal rows have equal results."""
-    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def rows_of(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(row, key, all): row tells rows of different key or text apart, equal rows have equal results; all: its words."""
+    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), word_array(F.col(text)).alias("all"), *more)
 
 
 def postings(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """(term, row, pos) of all places of the given terms (a hash of the word) in rows."""
-    placed = rows.select("row", F.posexplode(word_array(F.col("text"))).alias("pos", "word")).select(F.xxhash64("word").alias("term"), "row", "pos")
-    return placed.join(small(terms, n_terms), "term", "left_semi")
+    placed = rows.select("row", F.posexplode("all").alias("pos", "word")).select(F.xxhash64("word").alias("term"), "row", "pos")
+    return by_term(placed, terms, n_terms, F.col("row"), "left_semi")
 
 
-def rarest(places: DataFrame, counts: DataFrame, group: str) -> DataFrame:
+def rarest(places: DataFrame, counts: DataFrame, n_counts: int, group: str) -> DataFrame:
     """(group, rank, term, offset): the LISTS rarest terms of each group of places (group, term, offset), the rarest
     first. A group with a term that the index lacks occurs nowhere and is left out."""
     rank = Window.partitionBy(group).orderBy("n", "term", "offset")
     every = Window.partitionBy(group)
-    joined = places.join(counts, "term", "left").withColumn("lost", F.max(F.col("n").isNull()).over(every)).filter(~F.col("lost"))
+    joined = by_term(places, counts, n_counts, F.col(group), "left").withColumn("lost", F.max(F.col("n").isNull()).over(every)).filter(~F.col("lost"))
     return joined.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= LISTS).select(group, "rank", "term", "offset")
 
 
@@ -72,12 +82,12 @@ def intersected(index: DataFrame, rare: DataFrame, n_rare: int) -> DataFrame:
     for rank in range(1, LISTS + 1):
         terms = rare.filter(F.col("rank") == rank).select("window", "term", "offset")
         if found is None:
-            starts = index.join(small(terms, n_rare), "term").select("window", "row", (F.col("pos") - F.col("offset")).alias("start"))
+            starts = by_term(index, terms, n_rare, F.col("row")).select("window", "row", (F.col("pos") - F.col("offset")).alias("start"))
             found = starts.filter("start >= 0")
             continue
         # only lists of this rank's terms are moved; a window of fewer terms than lists stays as it is
-        lists = index.join(small(terms.select("term").distinct(), n_rare), "term", "left_semi")
-        longer = found.join(small(terms, n_rare), "window", "left")
+        lists = by_term(index, terms.select("term").distinct(), n_rare, F.col("row"), "left_semi")
+        longer = found.join(few(terms, n_rare), "window", "left")
         asked = longer.filter("term is not null").withColumn("pos", F.col("start") + F.col("offset"))
         kept = asked.join(lists, ["row", "term", "pos"], "left_semi").select("window", "row", "start")
         found = kept.unionByName(longer.filter("term is null").select("window", "row", "start"))
@@ -90,11 +100,11 @@ def near(index: DataFrame, rare: DataFrame, n_rare: int, span: int) -> DataFrame
     for rank in range(1, LISTS + 1):
         terms = rare.filter(F.col("rank") == rank).select("window", "term")
         if found is None:
-            found = index.join(small(terms, n_rare), "term").select("window", "row", "pos")
+            found = by_term(index, terms, n_rare, F.col("row")).select("window", "row", "pos")
             continue
         cell = F.floor(F.col("pos") / span)
-        lists = index.join(small(terms.select("term").distinct(), n_rare), "term", "left_semi").select("row", "term", F.col("pos").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-        longer = found.join(small(terms, n_rare), "window", "left")
+        lists = by_term(index, terms.select("term").distinct(), n_rare, F.col("row"), "left_semi").select("row", "term", F.col("pos").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        longer = found.join(few(terms, n_rare), "window", "left")
         asked = longer.filter("term is not null").withColumn("cell", cell)
         close = (asked["row"] == lists["row"]) & (asked["term"] == lists["term"]) & (asked["cell"] == lists["cell"]) & (F.abs(F.col("pos") - F.col("at")) <= span)
         kept = asked.join(lists, close, "left_semi").select("window", "row", "pos")
@@ -103,15 +113,19 @@ def near(index: DataFrame, rare: DataFrame, n_rare: int, span: int) -> DataFrame
 
 
 class Index:
-    """The stored postings of the terms of some windows, and the rarest terms of each window."""
+    """The stored words of the rows, the postings of those that occur in the items' windows, and each window's rarest."""
 
-    def __init__(self, rows: DataFrame, windows: DataFrame):
-        self.windows = stored(windows, "windows")
+    def __init__(self, rows: DataFrame, items: DataFrame):
+        self.rows = stored(rows, "words")
+        every = stored(items, "items")
+        self.items = every.select("window", "item")
+        self.windows = stored(every.select("window", "words").dropDuplicates(["window", "words"]), "windows")
         words = self.windows.select("window", F.posexplode("words").alias("offset", "word")).select("window", "offset", F.xxhash64("word").alias("term"))
         terms = stored(words.select("term").distinct(), "terms")
-        self.index = stored(postings(rows, terms, terms.count()), "postings")
-        self.rare = stored(rarest(words, self.index.groupBy("term").agg(F.count("*").alias("n")), "window"), "rare")
-        self.n_windows, self.n_rare = self.windows.count(), self.rare.count()
+        n_terms = terms.count()
+        self.index = stored(postings(self.rows, terms, n_terms), "postings")
+        self.rare = stored(rarest(words, self.index.groupBy("term").agg(F.count("*").alias("n")), n_terms, "window"), "rare")
+        self.n_rare = self.rare.count()
 
     def phrases(self) -> DataFrame:
         return intersected(self.index, self.rare, self.n_rare)
@@ -122,35 +136,43 @@ class Index:
 
 def proximity(docs: DataFrame, items: DataFrame, span: int = 26, size: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, pos): where the rarest terms of a window of an item stand within `span` words of the rarest one."""
-    rows = rows_of(docs, key, text)
-    found = Index(rows, windows_of(items, size, item, item_text))
-    places = found.proximity(span).join(small(found.windows, found.n_windows), "window").select("row", "pos", F.explode("items").alias("item"))
-    return rows.select("row", key).join(places.distinct(), "row").select(key, "item", "pos")
+    found = Index(rows_of(docs, key, text), items_of(items, size, item, item_text))
+    places = found.proximity(span).join(found.items, "window").select("row", "pos", "item")
+    return found.rows.select("row", key).join(places.distinct(), "row").select(key, "item", "pos")
 
 
-def judged(docs: DataFrame, items: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def judged(
+    docs: DataFrame, items: DataFrame, size: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Per row of docs: key, n_words, n_hit (words inside any match), n_items, items_sha256, contaminated (some word is
-    hit, and a twentieth of all), and the text."""
-    rows = rows_of(docs, key, text)
-    found = Index(rows, windows_of(items, size, item, item_text))
-    places = found.phrases().distinct().join(small(found.windows, found.n_windows), "window")
-    asked = places.groupBy("row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "words", "items")).alias("asked"))
-    read = rows.join(asked, "row", "left").select(F.col(key), "text", word_array(F.col("text")).alias("all"), "asked")
+    hit, and a twentieth of all), and the columns of `keep`, whose names must differ from these.
+
+    A row carries the places and the words of what is asked of it; items are joined to the windows that are confirmed."""
+    rows = rows_of(docs, key, text, *((F.struct(*keep).alias("kept"),) if keep else ()))
+    found = Index(rows, items_of(items, size, item, item_text))
+    places = found.phrases().distinct().join(found.windows, "window")
+    asked = places.groupBy("row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("asked"))
+    read = found.rows.join(asked, "row", "left")
     hits = F.filter(F.coalesce("asked", F.array().cast(read.schema["asked"].dataType)), lambda a: F.slice(F.col("all"), a["start"] + 1, a["length"]) == a["words"])
-    read = read.select(key, "text", F.size("all").cast("long").alias("n_words"), F.array_sort(hits).alias("hits"))
+    spots = F.transform(F.array_sort(hits), lambda a: F.struct(a["start"].alias("start"), a["length"].alias("length"), a["window"].alias("window")))
     # places of matches in order: each adds what lies beyond the end of those before it
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda acc, h: F.struct(
         (acc["n"] + F.greatest(F.lit(0), h["start"] + h["length"] - F.greatest(acc["end"], h["start"]))).alias("n"), F.greatest(acc["end"], h["start"] + h["length"]).alias("end")
     )
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    read = read.select(key, "text", "n_words", F.aggregate("hits", none, step)["n"].cast("long").alias("n_hit"), ids.alias("ids"))
-    return read.select(
+    others = ["kept"] if keep else []
+    read = read.select("row", key, *others, F.size("all").cast("long").alias("n_words"), spots.alias("hits"))
+    counted = stored(read.select("row", key, *others, "n_words", F.aggregate("hits", none, step)["n"].cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "judged")
+    # equal rows have the same windows, so that one of them stands for all
+    hit = counted.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("window")).distinct()
+    lists = hit.join(found.items, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    done = counted.join(lists, "row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return done.select(
         key,
         "n_words",
         "n_hit",
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"),
-        "text",
+        *(F.col(f"kept.{c}").alias(c) for c in keep),
     )

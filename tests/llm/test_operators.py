@@ -77,10 +77,10 @@ def test_decontamination_query(spark, docs):
     assert got.contaminated.any() and not got.contaminated.all()
 
 
-def test_decontamination_odd(spark, odd, none):
+def test_decontamination_odd(spark, odd, none, monkeypatch):
     items = [(1, "one two"), (1, "word1 of1 word2 of2"), (2, None), (3, "..."), (4, "a b c d e f g h i j k l m n o p"), (None, "wort é"), (5, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.judged(odd, bench).toPandas()
+    got = decontamination.judged(odd, bench, keep=("text",)).toPandas()
     want = judge(got.text, [(i, t) for i, t in items if i is not None] + [("", "wort é")])
     for row, exp in zip(got[COLS].itertuples(index=False, name=None), want, strict=True):
         if exp[2] and row[1] and exp[1] == row[1] and row[2] == exp[2] - 1:
@@ -88,6 +88,11 @@ def test_decontamination_odd(spark, odd, none):
         assert row == exp
     assert len(got) == odd.count()
     assert decontamination.judged(none, bench).count() == 0
+    # beyond the size that is broadcast, frequent terms are dealt over parts
+    monkeypatch.setattr(decontamination, "SMALL_ROWS", 0)
+    again = decontamination.judged(odd, bench, keep=("text",)).toPandas()
+    key = lambda d: sorted(d.astype(str).values.tolist())
+    assert key(again) == key(got)
     assert not decontamination.judged(odd, bench.limit(0)).toPandas().contaminated.any()
 
 
@@ -173,16 +178,26 @@ def test_rollup(spark, tmp_path):
     r.commit("3", token_counts.changes(inserted=rows.limit(0)))
     want = {("a", None, "v", 2, 3), ("a", None, "w", 1, 9)}
     assert {tuple(x) for x in r.totals().collect()} == want
-    assert {tuple(x) for x in r.compact(str(tmp_path / "c")).totals().collect()} == want
+    folded = r.compact(str(tmp_path / "c"))
+    assert {tuple(x) for x in folded.totals().collect()} == want
+    # a compacted rollup, and one compacted from it, know the batches that they hold
+    again = folded.compact(str(tmp_path / "d"))
+    for x in (folded, again):
+        assert not x.commit("1", token_counts.changes(inserted=rows)) and x.taken("3") and not x.taken("9")
+        assert {tuple(y) for y in x.totals().collect()} == want
+    assert again.commit("a/b=c", token_counts.changes(inserted=rows.filter("source = 'b'"))) and again.taken("a/b=c") and again.totals().count() == 3
     # what a failed write left is no commit
     (tmp_path / "r" / "batch=4").mkdir()
-    (tmp_path / "r" / "batch=4" / "part-x.tmp").write_text("?")
+    rows.write.mode("append").parquet(str(tmp_path / "r" / "batch=4" / "half"))
+    for f in (tmp_path / "r" / "batch=4" / "half").glob("*.parquet"):
+        f.rename(tmp_path / "r" / "batch=4" / f.name)
+    assert {tuple(x) for x in r.totals().collect()} == want
     assert r.commit("4", token_counts.changes(inserted=rows.filter("source = 'b'")))
     assert r.totals().count() == 3
 
 
 def test_licenses(spark, odd, none):
-    texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "Released under the MIT License.\nReleased under the MIT License.", "No licence to be silly here at all, my dear friends", "This work was licensed under the GNU General Public License, version 3.", None, ""]
+    texts = ["x\nLicensed under the Apache License, Version 2.0.\ny", "Released under the MIT License.\nReleased under the MIT License.", "No licence to be silly here at all, my dear friends", "This work is licensed under GNU's General Public License, version 3.", None, ""]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").toPandas()
     assert got.licenses.tolist() == ["Apache-2.0", "MIT", "", "GPL-3.0", "", ""]
     assert got.n_exact.tolist() == [1, 2, 0, 0, 0, 0] and got.n_near.tolist() == [0, 0, 0, 1, 0, 0]
@@ -208,6 +223,36 @@ def test_licenses_inside_other_text(spark):
     assert licenses.scan(wrapped).select("licenses", "n_exact", "n_near").first() == ("GPL-3.0", 1, 0)
 
 
+def test_licences_both_ways_and_places():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    full, mit = licenses.TEXTS["Apache-2.0"][1], licenses.TEXTS["MIT"][1]
+    for fragment in ("of the License", "this work is licensed under", "Permission is hereby granted", mit[:80], full[14:60]):
+        assert all(x[3] > 0 for x in s.found(fragment)[1])  # a part of a notice is no exact notice
+    assert not s.found("of the License")[1] and not s.found("this work is licensed under")[1]
+    wrapped = "x\n" + full.replace(" you", "\nyou") + "\n\nint main"
+    assert [x[:4] for x in s.found(wrapped)[1]] == [(2, 2 + len(full) - 1, "Apache-2.0", 0)]
+    assert [x[2:4] for x in s.found(mit.replace("Software", "Program"))[1]] == [("MIT", licenses.differing(licenses.words_of(mit), licenses.words_of(mit.replace("Software", "Program"))))]
+    # ranking and length bound drop no notice that a comparison with all of them would confirm
+    for block in (full, mit, "Licensed under CC BY 4.0.", "Released under the MIT License", "This work is licensed under GNU's General Public License, version 3", "we license a license", full[:150]):
+        words = licenses.words_of(block)
+        fits = [(licenses.differing(words, t), name) for _, name, t, _ in s.notices]
+        fits = [(n, name) for (n, name), (_, _, t, _) in zip(fits, s.notices, strict=True) if n == 0 or (n <= 0.25 * max(len(words), len(t)) and s.own[name] & set(words))]
+        got = s.scan(block)
+        assert (got[1] if got else None) == (min(fits)[0] if fits else None)
+    for text in ("license " * 50_000, full * 200, "x" * 10**6 + " license", mit[:300] * 300):
+        s.found(text)  # time in proportion to the text
+
+
+def test_counted_by_tokenizer_files(spark, docs):
+    from tokenizers import Tokenizer
+
+    files = {"word": queries.word_tokenizer(), "byte": queries.word_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")}
+    texts = [None, "", *docs.text[:20]]
+    got = token_counts.counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), files).orderBy("doc_id").toPandas()
+    for version, path in files.items():
+        assert got[version].tolist() == [len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
 def test_licenses_query(spark, docs):
     got = run(spark, "op5_licenses").set_index("doc_id")
     lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
@@ -248,6 +293,22 @@ def test_quality_reads_all_bytes():
             assert size[ends[i] + c] == min(len(t), (c + 2) * quality.HALF) - a
 
 
+def test_quality_chunks_cover_a_text():
+    for n in (0, 1, 255, 256, 257, 512, 513, 769, 3000):
+        text = bytes(i % 251 for i in range(n))
+        parts = quality.chunks_of(text)
+        assert len(parts) == max(1, -(-n // quality.HALF) - 1) and b"".join(p[: quality.HALF] for p in parts[:-1]) + parts[-1] == text
+
+
+def test_quality_query(spark):
+    got = queries.op4_quality(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all() and (got.predicted == (got.score >= 0.3)).all()
+    held = got[got.held_out & got.quality.notna()]
+    good, bad = held.score[held.quality == 1].to_numpy(), held.score[held.quality == 0].to_numpy()
+    auc = ((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean()
+    assert len(bad) >= 5 and auc > 0.95 and ((held.predicted == held.quality).mean() > 0.9)
+
+
 def test_quality_odd(odd, none):
     w = quality.trained([[b"good text here"], [b"### %%% ###"]] * 4, np.array([1, 0] * 4), epochs=2)
     got = quality.score(odd, w).toPandas()
@@ -496,6 +557,41 @@ def test_language_counts_are_of_the_document_alone(monkeypatch):
         assert costs(encoded[::-1]).tolist() == want[::-1]
 
 
+def test_language_costs_are_those_of_a_parse_from_the_start(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("abc é")
+    ref = {k: ["".join(rng.choice(letters, 400))] for k in "xy"}
+    m = language_id.model_of(ref)
+    data, offsets = np.frombuffer(ref["x"][0].encode(), np.uint8), np.array([0, len(ref["x"][0].encode())])
+    known = {k: language_id.normal(np.frombuffer(v[0].encode(), np.uint8), np.array([0, len(v[0].encode())]))[0].tobytes() for k, v in ref.items()}
+    texts = ["".join(rng.choice(letters, n)) for n in (10, 99, 1023, 1024, 1025, 5000)] + [ref["y"][0] * 5, "a" * 3000]
+    raw = [t.encode() for t in texts]
+    got = m.costs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])) / m.bits[:, None]
+    for i, r in enumerate(raw):
+        plain = language_id.normal(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0].tobytes()[:-1]
+        for k, name in enumerate(m.names):
+            n, at = 1, 0
+            while at < len(plain):
+                end = at
+                while end < len(plain) and plain[at : end + 1] in known[name]:
+                    end += 1
+                if end == len(plain):
+                    break
+                n, at = n + 1, max(end, at + 1) if end == at else end
+            assert got[k, i] == n
+    assert len(data) == offsets[1]
+
+
+def test_language_sample_is_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 60)
+    rows = [(i, f"text number {i} of this one", "en") for i in range(8)] + [(9, "x" * 61, "en"), (10, "kurz", "de")]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(language_id, "model_of", seen.update)
+    language_id.train(df)
+    assert set(seen) == {"en", "de"} and len(seen["en"]) == len(set(seen["en"])) == 8 and "x" * 61 not in seen["en"]
+
+
 def test_language_query(spark, docs):
     got = run(spark, "op9_language_id").merge(docs, on="doc_id")
     held = got[got.held_out]
