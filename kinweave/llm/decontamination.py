@@ -56,9 +56,14 @@ def items_of(items: DataFrame, size: int, item: str, text: str) -> DataFrame:
     return split.select("item", "all", at).select("item", F.slice("all", F.col("at"), size).alias("words")).withColumn("window", F.xxhash64("words"))
 
 
-def rows_of(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
-    """(row, key, all): row tells rows of different key or text apart, equal rows have equal results; all: its words."""
-    return docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key), word_array(F.col(text)).alias("all"), *more)
+def row_of(key: str, text: str) -> Column:
+    """Tells rows of different key or text apart; equal rows have equal results."""
+    return F.xxhash64(F.col(key), F.col(text)).alias("row")
+
+
+def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, n_words, all): the words of each row."""
+    return docs.select(row_of(key, text), word_array(F.col(text)).alias("all")).select("row", F.size("all").cast("long").alias("n_words"), "all")
 
 
 def postings(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -138,7 +143,7 @@ def proximity(docs: DataFrame, items: DataFrame, span: int = 26, size: int = 13,
     """(key, item, pos): where the rarest terms of a window of an item stand within `span` words of the rarest one."""
     found = Index(rows_of(docs, key, text), items_of(items, size, item, item_text))
     places = found.proximity(span).join(found.items, "window").select("row", "pos", "item")
-    return found.rows.select("row", key).join(places.distinct(), "row").select(key, "item", "pos")
+    return docs.select(row_of(key, text), key).join(places.distinct(), "row").select(key, "item", "pos")
 
 
 def judged(
@@ -148,11 +153,14 @@ def judged(
     hit, and a twentieth of all), and the columns of `keep`, whose names must differ from these.
 
     A row carries the places and the words of what is asked of it; items are joined to the windows that are confirmed."""
-    rows = rows_of(docs, key, text, *((F.struct(*keep).alias("kept"),) if keep else ()))
-    found = Index(rows, items_of(items, size, item, item_text))
+    found = Index(rows_of(docs, key, text), items_of(items, size, item, item_text))
     places = found.phrases().distinct().join(found.windows, "window")
     asked = places.groupBy("row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("asked"))
-    read = found.rows.join(asked, "row", "left")
+    # texts move once, and only those with places are split into words again
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    counts = found.rows.select("row", "n_words").dropDuplicates(["row"])
+    read = docs.select(row_of(key, text), F.col(key), F.col(text).alias("text"), *kept).join(asked, "row", "left").join(counts, "row")
+    every = F.when(F.col("asked").isNotNull(), word_array(F.col("text")))
     hits = F.filter(F.coalesce("asked", F.array().cast(read.schema["asked"].dataType)), lambda a: F.slice(F.col("all"), a["start"] + 1, a["length"]) == a["words"])
     spots = F.transform(F.array_sort(hits), lambda a: F.struct(a["start"].alias("start"), a["length"].alias("length"), a["window"].alias("window")))
     # places of matches in order: each adds what lies beyond the end of those before it
@@ -161,7 +169,7 @@ def judged(
         (acc["n"] + F.greatest(F.lit(0), h["start"] + h["length"] - F.greatest(acc["end"], h["start"]))).alias("n"), F.greatest(acc["end"], h["start"] + h["length"]).alias("end")
     )
     others = ["kept"] if keep else []
-    read = read.select("row", key, *others, F.size("all").cast("long").alias("n_words"), spots.alias("hits"))
+    read = read.withColumn("all", every).select("row", key, *others, "n_words", spots.alias("hits"))
     counted = stored(read.select("row", key, *others, "n_words", F.aggregate("hits", none, step)["n"].cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "judged")
     # equal rows have the same windows, so that one of them stands for all
     hit = counted.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("window")).distinct()
