@@ -37,7 +37,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The bounded sample: documents to learn from, and most characters of one (longer ones are not sampled).
 SAMPLE_DOCS, SAMPLE_CHARS = 120, 16_000
 #: Characters of a window to learn from and from one to the next, and of a window to be tagged.
-LEARN, LEARN_STRIDE, WINDOW, STRIDE = 128, 88, 320, 272
+LEARN, LEARN_STRIDE, WINDOW, STRIDE = 128, 88, 256, 216
 #: Characters of a part of a text, before it, and after it.
 PART, BACK, ON = 16_384, 64, 256
 #: Tags: 0 outside, then begin and inside of each kind.
@@ -234,7 +234,7 @@ def tag_units(units: list[np.ndarray], reader: Reader, block: int = 1024) -> lis
         for c, w in enumerate(some.tolist()):
             run = of_run[x + c]
             at = int(starts[w] - starts[runs[run][0]])
-            sums[run][at : at + WINDOW, :TAGS] += e[:, c]
+            sums[run][at : at + WINDOW, :TAGS] += e[:, :, c]
             sums[run][at : at + WINDOW, TAGS] += 1
     begins = [int(starts[own[0]] - starts[np.searchsorted(unit, unit[own[0]])]) for own in runs]
     means = [(total[:, :TAGS] / total[:, TAGS:])[: len(units[unit[own[0]]]) - a] for own, total, a in zip(runs, sums, begins, strict=True)]

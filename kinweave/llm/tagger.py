@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def new_weights(symbols: int, tags: int, embed: int = 12, hidden: int = 12, seed: int = 5) -> dict[str, np.ndarray]:
+def new_weights(symbols: int, tags: int, embed: int = 12, hidden: int = 10, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = {"embed": rng.normal(0, 0.3, (symbols, embed)), "out": rng.normal(0, 0.2, (2 * hidden, tags)), "bias": np.zeros(tags), "step": np.zeros((tags, tags))}
     for d in "fb":
@@ -100,53 +100,55 @@ class Reader:
         self.out, self.bias = w["out"].astype(np.float32), w["bias"].astype(np.float32)
 
     def states(self, codes: np.ndarray, d: str) -> np.ndarray:
+        """(T, hidden, B): windows lie side by side, so that all gates are contiguous."""
         n, (steps, batch) = self.hidden, codes.shape
-        h, c, out = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32), np.empty((steps, batch, n), np.float32)
-        given, kept = self.given[d], self.kept[d]
+        h, c, out = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32), np.empty((steps, n, batch), np.float32)
+        given, kept = self.given[d], self.kept[d].T
+        index = codes.astype(np.intp)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = given.take(codes[t].astype(np.intp), 0)
-            z += h @ kept
+            z = kept @ h
+            z += given.take(index[t], 0).T
             np.tanh(z, z)
-            z[:, : 3 * n] += 1  # twice the three gates
-            c *= z[:, n : 2 * n]
-            c += z[:, :n] * z[:, 3 * n :]
+            z[: 3 * n] += 1  # twice the three gates
+            c *= z[n : 2 * n]
+            c += z[:n] * z[3 * n :]
             c *= 0.5
             h = np.tanh(c)
-            h *= z[:, 2 * n : 3 * n]
+            h *= z[2 * n : 3 * n]
             h *= 0.5
             out[t] = h
         return out
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        """Scores (T, B, tags) of codes (T, B)."""
-        steps, batch = codes.shape
-        e = self.states(codes, "f").reshape(-1, self.hidden) @ self.out[: self.hidden]
-        e += self.states(codes, "b").reshape(-1, self.hidden) @ self.out[self.hidden :]
-        e += self.bias
-        return e.reshape(steps, batch, -1)
+        """Scores (T, tags, B) of codes (T, B)."""
+        e = self.out[: self.hidden].T @ self.states(codes, "f")
+        e += self.out[self.hidden :].T @ self.states(codes, "b")
+        e += self.bias[:, None]
+        return e
 
     def undecided(self, e: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The windows whose best path leaves the outside tag; symbol 0 is beyond the end. Scores are those over it.
 
         A bound with the best of all begin and of all inside tags settles most of them, the others take their best path."""
-        over = e - e[:, :, :1]
-        over[:, :, 1:][codes == 0] = -1e6
-        step = self.step - self.step[0, 0]
-        begin, inside = over[:, :, 1::2].max(2), over[:, :, 2::2].max(2)
-        first = np.maximum(begin, inside)
+        step, outer = self.step - self.step[0, 0], e[:, 0]
+        begin, inside = (np.maximum(np.maximum(e[:, k], e[:, k + 2]), np.maximum(e[:, k + 4], e[:, k + 6])) - outer if e.shape[1] == 9 else e[:, k::2].max(1) - outer for k in (1, 2))
+        gone = codes == 0
+        begin[gone] = inside[gone] = -1e6
         enter = np.maximum(begin + step[0, 1::2].max(), inside + step[0, 2::2].max())
         on = np.maximum(begin + step[1:, 1::2].max(), inside + step[1:, 2::2].max())
-        best = path = first[0]
-        for t in range(1, len(over)):
+        best = path = np.maximum(begin[0], inside[0])
+        for t in range(1, len(e)):
             path = np.maximum(enter[t], path + on[t])
             best = np.maximum(best, path)
         some = np.flatnonzero(best + max(0.0, float(step[1:, 0].max())) > 1e-3)
-        rest = over[:, some]
+        rest = e[:, :, some] - outer[:, None, some]
+        rest[:, 1:] -= 1e6 * (codes[:, None, some] == 0)
         best = rest[0]
         for t in range(1, len(rest)):
-            best = (best[:, :, None] + step).max(1) + rest[t]
+            best = (best[:, None] + step[:, :, None]).max(0)
+            best += rest[t]
         out = np.zeros(codes.shape[1], bool)
-        out[some] = best.max(1) > 1e-3
+        out[some] = best.max(0) > 1e-3
         return out
 
 
@@ -176,19 +178,19 @@ def best_paths(runs: list[np.ndarray], step: np.ndarray, most: int = 64) -> list
         some = order[x : x + most]
         size = np.array([len(runs[i]) for i in some])
         steps, each = int(size[-1]), np.arange(len(some))
-        e = np.zeros((steps, len(some), len(step)), np.float32)
+        e = np.zeros((steps, len(step), len(some)), np.float32)
         for c, i in enumerate(some):
-            e[: size[c], c] = runs[i]
-        back, at = np.zeros(e.shape, np.int8), e[0].copy() if steps else np.zeros((len(some), len(step)), np.float32)
+            e[: size[c], :, c] = runs[i]
+        back, at = np.zeros(e.shape, np.int8), e[0].copy() if steps else np.zeros((len(step), len(some)), np.float32)
         for t in range(1, steps):
-            options = at[:, :, None] + step
-            back[t] = options.argmax(1)
-            at = np.where((t < size)[:, None], options.max(1) + e[t], at)
-        tag = at.argmax(1)
+            options = at[:, None] + step[:, :, None]
+            back[t] = options.argmax(0)
+            at = np.where(t < size, options.max(0) + e[t], at)
+        tag = at.argmax(0)
         path = np.zeros((steps, len(some)), np.int64)
         for t in range(steps - 1, -1, -1):
             path[t] = tag
-            tag = np.where((t < size) & (t > 0), back[t, each, tag], tag)
+            tag = np.where((t < size) & (t > 0), back[t, tag, each], tag)
         for c, i in enumerate(some):
             out[i] = path[: size[c], c]
     return out

@@ -534,9 +534,9 @@ def test_reader_is_the_tagger(tagger_weights):
     codes[100:, :20] = 0
     reader = tagger.Reader(tagger_weights)
     e = reader.scores(codes)
+    assert (reader.undecided(e, codes) == [p.any() for p in tagger.best_paths([e[: 100 if i < 20 else 150, :, i] for i in range(300)], reader.step)]).mean() > 0.99
+    e = e.transpose(0, 2, 1)
     assert np.abs(e - tagger.scores(codes, tagger_weights)[0]).max() < 1e-3
-    paths = tagger.best_paths([e[: 100 if i < 20 else 150, i] for i in range(300)], reader.step)
-    assert (reader.undecided(e, codes) == [p.any() for p in paths]).mean() > 0.99
     for i in range(0, 300, 50):  # against all paths of a short run
         short = e[:4, i]
         best = max(itertools.product(range(pii.TAGS), repeat=4), key=lambda p: sum(short[t, k] for t, k in enumerate(p)) + sum(reader.step[a, b] for a, b in itertools.pairwise(p)))
