@@ -16,11 +16,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
+from ..sources.store import Store, stored
 from .graph import components
+from .neighbours import eps_pairs
+from .relational import orphan_rows, with_sets
 
 DISTANCE, FACES, NEIGHBOURS = 0.5, 3, 3
 
 
+def face_input(faces: DataFrame, assets: DataFrame, sources: DataFrame, embeddings: DataFrame, assignments: DataFrame, exclusions: DataFrame, variant: str = "main") -> DataFrame:
+    """(id, sort_key, person, excluded, vector) of the faces of assets that were read: what `assign` takes. Vector and
+    person are null where a face has none; the order is that of source path, file path and face."""
+    a, s = assets.filter("processing_status = 'succeeded'"), sources.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"))
+    placed = a.select(F.col("id").alias("asset_id"), "source_id", "absolute_path").join(s, "source_id")
+    rows = faces.select("id", "asset_id", "face_index").join(placed, "asset_id")
+    rows = rows.join(embeddings.filter(F.col("variant") == variant).select(F.col("face_id").alias("id"), "vector"), "id", "left")
+    rows = rows.join(assignments.filter("active").select(F.col("face_id").alias("id"), F.col("person_id").alias("person")), "id", "left")
+    rows = with_sets(rows, exclusions.select(F.col("face_id").alias("id"), "person_id"), "id", "person_id", "excluded")
+    return rows.select("id", F.struct("source_path", "absolute_path", "face_index").alias("sort_key"), "person", "excluded", "vector")
+
+
 def candidates(faces: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each face without a person: its order, exclusions, and its neighbours by distance.
 
@@ -127,3 +142,35 @@ def committed(decisions: DataFrame, assignments: DataFrame, persons: DataFrame,
     every = persons.unionByName(fresh)
     after = every.join(up, every["id"] == up["person"], "left").withColumn("write_revision", F.col("write_revision") + F.coalesce("up", F.lit(0))).drop("up", "person")
     return assignments.unionByName(rows), after
+
+
+def run(store: Store, session: int, distance: float = DISTANCE, dimension: int = 512, **params: object) -> dict:
+    """One run over a store: its row is written first, then faces are loaded, decided and committed together with the
+    counts; a failure leaves a failed row with the reason, no assignment, and is raised again. Gives the run's row."""
+    spark = store.spark
+    number = (store.read("assignment_runs").agg(F.max("id")).first()[0] or 0) + 1
+    row = {"id": number, "session_id": session, "status": "running", "params": json.dumps({"distance": distance, "dimension": dimension, **params}, sort_keys=True), "orphan_embeddings": None, "failure_reason": None}
+
+    def with_row(**values: object) -> DataFrame:
+        old = store.read("assignment_runs")
+        now = spark.createDataFrame([tuple({**row, **values}.get(c) for c in old.columns if not c.endswith("_at"))], old.drop("started_at", "completed_at").schema)
+        done = F.current_timestamp() if values else F.lit(None).cast("timestamp")
+        before = old.filter(F.col("id") == number).agg(F.coalesce(F.max("started_at"), F.current_timestamp()).alias("started_at"))
+        return old.filter(F.col("id") != number).unionByName(now.crossJoin(before).withColumn("completed_at", done))  # one row each
+
+    store.commit({"assignment_runs": with_row()})
+    try:
+        faces, embeddings = store.read("faces"), store.read("embeddings")
+        loaded = stored(face_input(faces, store.read("assets"), store.read("sources"), embeddings, store.read("assignments"), store.read("exclusions")))
+        bad = loaded.filter(F.coalesce(F.size("vector"), F.lit(-1)) != dimension).take(1)
+        if bad:
+            raise ValueError(f"face {bad[0]['id']} has no vector of {dimension} numbers")
+        orphans = orphan_rows(embeddings.select(F.col("face_id").alias("id")), faces, "id").count()
+        decided = stored(assign(loaded.drop("vector"), stored(eps_pairs(loaded, loaded, distance)), run_id=f"run-{number}", **params))
+        assignments, persons = committed(decided, store.read("assignments"), store.read("persons"), number)
+        counts = run_counts(decided).first().asDict()
+        store.commit({"assignments": assignments, "persons": persons, "assignment_runs": with_row(status="completed", orphan_embeddings=orphans, **counts)})
+    except Exception as e:
+        store.commit({"assignment_runs": with_row(status="failed", failure_reason=str(e)[:1000])})
+        raise
+    return store.read("assignment_runs").filter(F.col("id") == number).first().asDict()

@@ -60,3 +60,12 @@ def delete_faces(gone: DataFrame, faces: DataFrame, embeddings: DataFrame, assig
         "faces": faces.join(ids.withColumnRenamed("face_id", "id"), "id", "left_anti"),
         "persons": flagged.join(empty, "id", "left_anti"),
     }
+
+
+def face_state(assets: DataFrame, faces: DataFrame, embeddings: DataFrame, assignments: DataFrame) -> DataFrame:
+    """What is known of the faces of these assets (asset_id): box, image, vector of the main variant and active owner,
+    null where there is none."""
+    own = faces.join(assets.select("asset_id").distinct(), "asset_id", "left_semi")
+    main = embeddings.filter("variant = 'main'").select(F.col("face_id").alias("id"), "dimension", "vector")
+    owner = assignments.filter("active").select(F.col("face_id").alias("id"), "person_id")
+    return own.join(main, "id", "left").join(owner, "id", "left").select("id", "asset_id", "x1", "y1", "x2", "y2", "image_width", "image_height", "dimension", "vector", "person_id")

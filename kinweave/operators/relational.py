@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def orphan_rows(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     """Rows whose owner is not there."""
@@ -30,26 +32,41 @@ def latest_open_parent(parents: DataFrame, children: DataFrame, key: str, done:
 
 def all_of(rows: DataFrame, wanted: DataFrame, group: str, member: str, n: int) -> DataFrame:
     """Groups that have every one of n wanted members (relational division)."""
-    found = rows.join(F.broadcast(wanted), member, "left_semi").select(group, member).distinct()
+    found = rows.join(wanted, member, "left_semi").select(group, member).distinct()
     return found.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") == n).select(group)
 
 
-def batches(rows: DataFrame, order: list[str], size: int, label: str = "batch") -> DataFrame:
-    """Rows with 1-based batch_index and item_index in an order over the whole table.
+def ranked(rows: DataFrame, order: list[Column | str], group: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
+    """Rows with their 1-based rank in an order, over the whole table or inside each group.
 
-    Ranks are those inside ranges of the first order column plus the rows of the ranges before, so no task sorts it all."""
+    The table is range-partitioned by group and order and stored, so that all steps see the same parts; a rank is that
+    inside the part plus the group's rows in the parts before, so no task sorts a whole table or a large group."""
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = F.xxhash64(*order) if dict(rows.dtypes)[order[0]] == "string" else F.col(order[0]).cast("double")
-    if dict(rows.dtypes)[order[0]] == "string":
-        # strings: ranges by the leading characters
-        key = F.conv(F.substring(F.hex(F.rpad(F.substring(order[0], 1, 6), 6, "\0")), 1, 12), 16, 10).cast("double")
-    splits = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    part = sum((F.when(key > s, 1).otherwise(0) for s in sorted(set(splits))), F.lit(0))
-    parted = rows.withColumn("_part", part)
-    counts = parted.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before") - 1
-    out = parted.join(F.broadcast(counts), "_part").withColumn("_rank", rank)
-    return out.withColumn(f"{label}_index", (F.floor(F.col("_rank") / size) + 1).cast("long")).withColumn("item_index", (F.col("_rank") % size + 1).cast("long")).drop("_part", "_before", "_rank")
+    parted = stored(rows.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("_part", *group).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "_before")
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    nth = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    return parted.withColumn("_nth", nth).join(counts, same).select(*rows.columns, (F.col("_nth") + F.col("_before")).cast("long").alias(name))
+
+
+def batches(rows: DataFrame, order: list[str], size: int, label: str = "batch") -> DataFrame:
+    """Rows with 1-based batch_index and item_index in an order over the whole table."""
+    at = F.col("_rank") - 1
+    return ranked(rows, order, name="_rank").withColumn(f"{label}_index", (F.floor(at / size) + 1).cast("long")).withColumn("item_index", (at % size + 1).cast("long")).drop("_rank")
+
+
+def in_nested(rows: DataFrame, key: str, *levels: tuple[DataFrame, str, str | None]) -> DataFrame:
+    """Rows whose key is one of the first level's (table, key, pointer) with a pointer among the next level's keys, and
+    so on; the last level has no pointer. A chain of semi joins."""
+    below: DataFrame | None = None
+    for table, own, points in reversed(levels):
+        chosen = table if below is None or points is None else table.join(below, F.col(points) == F.col("_k"), "left_semi")
+        below = chosen.select(F.col(own).alias("_k"))
+    return rows.join(below, F.col(key) == F.col("_k"), "left_semi")
 
 
 def next_index(parents: DataFrame, rows: DataFrame, key: str, index: str) -> DataFrame:

@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import set_key
 
 
-def active_sources(sources: DataFrame) -> DataFrame:
-    return sources.filter("active").orderBy("id")
+def list_sources(sources: DataFrame) -> DataFrame:
+    return sources.select("id", "path", "label", "active").orderBy("id")
+
+
+def active_sources(sources: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """The active sources by id; with the folders that can be read (path), those that cannot fail the job."""
+    rows = sources.filter("active")
+    if folders is not None:
+        there = rows.join(folders.select("path", F.lit(True).alias("_there")), "path", "left")
+        fail = F.raise_error(F.concat(F.lit("a source cannot be read: "), F.col("path"))).cast("boolean")
+        rows = there.filter(F.when(F.col("_there").isNull(), fail).otherwise(True)).select(*sources.columns)
+    return rows.orderBy("id")
 
 
 def session_summary(items: DataFrame, faces: DataFrame) -> DataFrame:
@@ -28,7 +38,7 @@ def session_summary(items: DataFrame, faces: DataFrame) -> DataFrame:
 
 def with_batch_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Batch items with the path and label of their source."""
-    return items.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"), "label")), "source_id")
+    return items.join(sources.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"), "label"), "source_id")
 
 
 def result_errors(items: DataFrame, results: DataFrame) -> DataFrame:
@@ -44,6 +54,12 @@ def result_errors(items: DataFrame, results: DataFrame) -> DataFrame:
     return sets.unionByName(face.select("absolute_path", shape.alias("error"))).filter("error IS NOT NULL")
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What workers gave back, as JSON lines of the schema that `result_errors` takes; a line that is none fails the job."""
+    face = "struct<x1:double,y1:double,x2:double,y2:double,score:double,vector:array<float>>"
+    return spark.read.schema(f"absolute_path string, status string, faces array<{face}>").option("mode", "FAILFAST").json(path)
+
+
 def template_error(persons: DataFrame, templates: DataFrame, name: str, root: str, ids: list[str]) -> DataFrame:
     """One row (error, dedup_key): why a template of these persons cannot be made, or null."""
     rows = persons.filter(F.col("id").isin(ids)).agg(F.count("*").alias("n"), F.count_if((F.col("status") != "active") | F.col("display_name").isNull()).alias("unfit"))

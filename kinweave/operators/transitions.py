@@ -51,6 +51,11 @@ def unfit_for_templates(persons: DataFrame) -> DataFrame:
     return persons.filter("status <> 'active' OR display_name IS NULL")
 
 
+def invalidate_if_unfit(templates: DataFrame, members: DataFrame, persons: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of these persons (id) the ones that are inactive or have no name make their templates invalid."""
+    return invalidate_templates(templates, members, unfit_for_templates(persons.join(ids.select("id"), "id", "left_semi")).select("id"))
+
+
 def close_stale_runs(runs: DataFrame) -> DataFrame:
     return set_where(runs, F.col("status") == "running", status=F.lit("failed"))
 
@@ -172,3 +177,14 @@ def name_change(persons: DataFrame, person: str, name: str) -> DataFrame:
     error = F.when(F.col("n") == 0, "no such person").when(F.col("new_name") == "", "the name is blank").when((F.col("taken") > 0) & ~F.coalesce(F.col("old") == F.col("new_name"), F.lit(False)), "the name is taken")
     event = F.when(F.coalesce(F.col("named") & (F.col("old") == F.col("new_name")), F.lit(False)), None).when(F.col("named"), "person_renamed").otherwise("person_named")
     return row.select(error.alias("error"), "old", "new_name", F.when(error.isNull(), event).alias("event_type"))
+
+
+def apply_name(tables: dict[str, DataFrame], person: str, name: str) -> dict[str, DataFrame]:
+    """Tables after a person got a name: the person is named and of one revision more, and an event says so. Nothing
+    changes where the name cannot be given, or is the person's own already."""
+    given = name_change(tables["persons"], person, name).filter("event_type IS NOT NULL").select(F.lit(person).alias("id"), F.col("old").alias("_old"), F.col("new_name").alias("_new"), F.col("event_type").alias("_event"))
+    persons = tables["persons"].join(given, "id", "left")
+    persons = set_where(persons, F.col("_new").isNotNull(), display_name=F.col("_new"), is_named=F.lit(True), write_revision=F.col("write_revision") + 1)
+    top = tables["person_name_events"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    event = given.crossJoin(top).select((F.col("top") + 1).cast("long").alias("id"), F.col("id").alias("person_id"), F.col("_event").alias("event_type"), F.col("_old").alias("old_name"), F.col("_new").alias("new_name"), F.current_timestamp().alias("created_at"))  # one row each
+    return tables | {"persons": persons.select(*tables["persons"].columns), "person_name_events": tables["person_name_events"].unionByName(event)}

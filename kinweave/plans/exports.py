@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import area
-from ..operators.relational import all_of
+from ..operators.relational import ranked
 
 #: A face counts beside the chosen people if it is at least this share of the smallest of their largest faces.
 SHARE = 0.25
@@ -21,7 +21,7 @@ def bucketed(faces: DataFrame, chosen: DataFrame, n_chosen: int, share: float =
     faces: (asset_id, person, area), person null for a face that nobody owns; chosen: (person). The bucket is `group` if
     any face from the threshold on belongs to nobody or to somebody else, else `only`. One shuffle by asset: its faces
     are summed up for each chosen person first, and once more for the asset."""
-    picked = F.broadcast(chosen.select("person").distinct().withColumn("mine", F.lit(True)))
+    picked = chosen.select("person").distinct().withColumn("mine", F.lit(True))
     marked = faces.join(picked, "person", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
     # of an asset, each person's largest face; of all others the largest one
     who = F.when(F.col("mine"), F.col("person"))
@@ -46,7 +46,7 @@ def month_of(capture_month: Column) -> Column:
 def preview(assets: DataFrame, faces: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFrame:
     """(asset_id, month, bucket, file_name, cover_id): cover is the assignment of the first face of the smallest chosen person."""
     found = bucketed(faces, chosen, n_chosen)
-    first = F.broadcast(chosen.agg(F.min("person").alias("person")))
+    first = chosen.agg(F.min("person").alias("person"))
     cover = faces.filter("assignment_id IS NOT NULL").join(first, "person").groupBy("asset_id").agg(F.min_by("assignment_id", "face_id").alias("cover_id"))
     rows = found.join(assets.select(F.col("id").alias("asset_id"), month_of(F.col("capture_month")).alias("month"), "file_name"), "asset_id")
     return rows.join(cover, "asset_id", "left").select("asset_id", "month", "bucket", "file_name", "cover_id")
@@ -59,9 +59,8 @@ def month_totals(rows: DataFrame) -> DataFrame:
 
 
 def month_listing(rows: DataFrame) -> DataFrame:
-    """Per month and bucket the assets in the order of file names."""
-    listed = F.array_sort(F.collect_list(F.struct("file_name", "asset_id")))
-    return rows.groupBy("month", "bucket").agg(F.count("*").alias("n"), F.transform(listed, lambda s: s["asset_id"]).alias("assets"))
+    """The assets of each month and bucket with their 1-based place in the order of file names."""
+    return ranked(rows, ["file_name", "asset_id"], ("month", "bucket"), "place").select("month", "bucket", "place", "asset_id", "file_name")
 
 
 def renamed(name: str, label: str, taken: set[str], seen_labels: set[str]) -> str:
@@ -104,16 +103,27 @@ def plan_names(rows: Iterable[tuple], known: Iterable[str]) -> list[tuple]:
     return out
 
 
+def family(name: Column) -> Column:
+    """What names that can meet have in common: all before the first two underscores of the stem, and the ending."""
+    end = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    return F.concat_ws("/", F.substring_index(F.substring(name, F.lit(1), F.length(name) - F.length(end)), "__", 1), end)
+
+
+def labelled(assets: DataFrame, sources: DataFrame) -> DataFrame:
+    """Assets with the label of their source, `unknown` where it is not there."""
+    named = assets.join(sources.select(F.col("id").alias("source_id"), F.col("label").alias("source_label")), "source_id", "left")
+    return named.withColumn("source_label", F.coalesce("source_label", F.lit("unknown")))
+
+
 def plan_additions(found: DataFrame, assets: DataFrame, sources: DataFrame, plan: DataFrame, template: str) -> DataFrame:
     """Rows for the plan of a template that it lacks: (template_id, asset_id, bucket, month, file_name, mov_file_name,
-    source_label). Rows of the plan stay as they are; names depend on those given before, so a folder of bucket and
-    month is named in one ordered pass by itself."""
+    source_label). Rows of the plan stay as they are; names depend on those given before, so the names of one family in a
+    folder of bucket and month are given in one ordered pass; names of two families never meet."""
     own = plan.filter(F.col("template_id") == template)
-    named = assets.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("label").alias("source_label"))), "source_id", "left")
-    rows = found.join(named.select(F.col("id").alias("asset_id"), F.coalesce("source_label", F.lit("unknown")).alias("source_label"), "live_photo_mov_path"), "asset_id")
+    rows = found.join(labelled(assets, sources).select(F.col("id").alias("asset_id"), "source_label", "live_photo_mov_path"), "asset_id")
     rows = rows.join(own.select("asset_id", F.lit(True).alias("planned")), "asset_id", "left")
-    todo = rows.select("bucket", "month", "asset_id", "file_name", "source_label", "live_photo_mov_path", F.coalesce("planned", F.lit(False)).alias("planned"))
-    known = own.select("bucket", "month", "file_name")
+    todo = rows.select("bucket", "month", "asset_id", "file_name", "source_label", "live_photo_mov_path", F.coalesce("planned", F.lit(False)).alias("planned"), family(F.col("file_name")).alias("family"))
+    known = own.select("bucket", "month", "file_name", family(F.col("file_name")).alias("family"))
 
     def name(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         new = new.astype({"live_photo_mov_path": object}).where(new.notna(), None)
@@ -122,15 +132,20 @@ def plan_additions(found: DataFrame, assets: DataFrame, sources: DataFrame, plan
         kept = new[["asset_id", "bucket", "month", "source_label"]]
         return out.merge(kept, on="asset_id")[["bucket", "month", "asset_id", "file_name", "mov_file_name", "source_label"]]
 
-    named_rows = todo.groupBy("bucket", "month").cogroup(known.groupBy("bucket", "month")).applyInPandas(name, "bucket string, month string, asset_id long, file_name string, mov_file_name string, source_label string")
+    keys = ["bucket", "month", "family"]
+    named_rows = todo.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(name, "bucket string, month string, asset_id long, file_name string, mov_file_name string, source_label string")
     return named_rows.withColumn("template_id", F.lit(template))
 
 
+def plan_sources(plan: DataFrame, assets: DataFrame) -> DataFrame:
+    """Planned files with the paths that they are copied from."""
+    return plan.join(assets.select(F.col("id").alias("asset_id"), "absolute_path", "live_photo_mov_path"), "asset_id")
+
+
 def deliver(plan: DataFrame, assets: DataFrame, root: str, run_id: int) -> DataFrame:
     """Copy every planned file to root/bucket/month/name on a file system that all executors see, unless it is there, and
     the paired MOV beside it; one row for each planned file. All of the plan is copied, whether or not it still matches."""
-    rows = plan.join(assets.select(F.col("id").alias("asset_id"), "absolute_path", "live_photo_mov_path"), "asset_id")
-    rows = rows.select("id", "bucket", "month", "file_name", "mov_file_name", "absolute_path", "live_photo_mov_path")
+    rows = plan_sources(plan, assets).select("id", "bucket", "month", "file_name", "mov_file_name", "absolute_path", "live_photo_mov_path")
 
     def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -174,4 +189,8 @@ def run_history(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
     return rows.select("id", "template_id", "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_copied", "n_skipped", "n_failed"))).orderBy(F.desc("id"))
 
 
-__all__ = ["all_of", "bucketed", "deliver", "face_rows", "month_listing", "month_totals", "plan_additions", "preview", "run_history"]
+def run_details(runs: DataFrame, deliveries: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every delivery of every run with the run and the name of its template; a run without any has one row."""
+    r, d, t = runs.alias("r"), deliveries.alias("d"), templates.alias("t")
+    rows = r.join(t, F.col("r.template_id") == F.col("t.id"), "left").join(d, F.col("d.run_id") == F.col("r.id"), "left")
+    return rows.select(F.col("r.id").alias("run_id"), F.col("r.status").alias("status"), F.col("t.name").alias("template_name"), F.col("d.id").alias("delivery_id"), F.col("d.target_path").alias("target_path"), F.col("d.result").alias("result"), F.col("d.mov_result").alias("mov_result"))

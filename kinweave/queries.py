@@ -4,13 +4,17 @@ Stand-ins: a customer is a person, an order an asset or a sample of its customer
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import capture_month, cosine_distance, file_name, is_live, nocase, person_label, set_key, stem, strip, suffix
+from .functions import capture_month, cosine_distance, file_name, is_live, nocase, person_label, set_key, stable_id, stem, strip, suffix
 from .operators import assignment, gallery, neighbours, reconcile, relational, sessions, transitions
 from .plans import exports
-from .sources.store import stored
+from .schemas import TABLES, violations
+from .sources import files
+from .sources.store import Store, shared_dir, stored
 from .streaming import ingest
 
 QUERIES: dict = {}
@@ -98,9 +102,9 @@ def export_preview_assets(spark: SparkSession, d: str) -> DataFrame:
     return previewed(spark, d)
 
 
-@query(_PREVIEW + "SELECT month, bucket, count(*) AS n, string_agg(CAST(asset_id AS VARCHAR), ',' ORDER BY file_name, asset_id) AS assets FROM p GROUP BY 1, 2")
+@query(_PREVIEW + "SELECT month, bucket, row_number() OVER (PARTITION BY month, bucket ORDER BY file_name, asset_id) AS place, asset_id, file_name FROM p")
 def export_month_listing(spark: SparkSession, d: str) -> DataFrame:
-    return exports.month_listing(previewed(spark, d)).withColumn("assets", F.concat_ws(",", F.col("assets").cast("array<string>")))
+    return exports.month_listing(previewed(spark, d))
 
 
 @query("SELECT l_orderkey AS asset_id FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2")
@@ -129,18 +133,16 @@ def eligible_persons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH top AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
-    "SELECT o.o_orderkey AS assignment_id, l.l_orderkey * 8 + l.l_linenumber AS face_id, o.o_orderkey AS asset_id, p.p_name AS file_name, p.p_size % 2 = 0 AS is_live "
-    "FROM orders o JOIN top ON o.o_custkey = top.k JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey WHERE o.o_orderstatus <> 'F' ORDER BY 1, 2, 4, 5 LIMIT 10 OFFSET 5"
+    "SELECT o_orderkey AS assignment_id, o_orderkey AS face_id, o_custkey AS asset_id, c_name AS file_name, c_nationkey % 2 = 0 AS is_live FROM orders JOIN customer ON c_custkey = o_custkey "
+    "WHERE o_orderstatus <> 'F' AND o_custkey % 7 = 3 ORDER BY 1 LIMIT 10 OFFSET 10"
 )
 def detail_page(spark: SparkSession, d: str) -> DataFrame:
-    top = samples(spark, d).filter("active").groupBy("person_id").count().orderBy(F.desc("count"), F.col("person_id").cast("long")).limit(1)
-    own = samples(spark, d).filter("active").join(F.broadcast(top), "person_id", "left_semi")
-    li, part = read(spark, d, "lineitem"), read(spark, d, "part")
-    rows = own.join(li, own["id"] == li["l_orderkey"]).join(part, li["l_partkey"] == part["p_partkey"])
-    mov = F.when(F.col("p_size") % 2 == 0, F.lit("x.MOV")).otherwise(F.lit(""))
-    rows = rows.select(F.col("id").alias("assignment_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("face_id"), F.col("l_orderkey").alias("asset_id"), F.col("p_name").alias("file_name"), is_live(mov).alias("is_live"))
-    return rows.orderBy("assignment_id", "face_id", "file_name", "is_live").offset(5).limit(10)
+    """The second page of ten of the person that owns a seventh of all orders, one face each, on its customer's photo."""
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    owned = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("face_id"), (F.col("o_custkey") % 7).cast("string").alias("person_id"), (F.col("o_orderstatus") != "F").alias("active"))
+    mov = F.when(F.col("c_nationkey") % 2 == 0, "x.MOV").otherwise("")
+    photos = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_name"), mov.alias("live_photo_mov_path"))
+    return gallery.detail_page(owned, o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("asset_id")), photos, "3", 2, 10)
 
 
 @query(f"SELECT a.id AS assignment_id, 'ctx/' || CAST(a.id AS VARCHAR) AS context_path FROM {_SAMPLE} a JOIN {_PERSON} p ON p.id = a.person_id WHERE a.active AND p.status = 'active'")
@@ -168,9 +170,9 @@ def latest_open_parent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, count(*) AS n, min(l_orderkey) AS first_order FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)) GROUP BY 1")
 def nested_in_semi(spark: SparkSession, d: str) -> DataFrame:
-    c = read(spark, d, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("o_custkey"))
-    o = read(spark, d, "orders").join(c, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
+    chosen = read(spark, d, "customer").filter("c_nationkey = 7")
+    rows = relational.in_nested(read(spark, d, "lineitem"), "l_orderkey", (read(spark, d, "orders"), "o_orderkey", "o_custkey"), (chosen, "c_custkey", None))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
 
 
 @query("SELECT s_suppkey AS id FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49 AND l.l_returnflag = 'A')")
@@ -306,23 +308,45 @@ def iou_theta(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.overlaps(boxes(spark, d, False), boxes(spark, d, True)).withColumn("overlap", F.round("overlap", 4))
 
 
-@query()
+_MATCHES = _BOXES.replace("WITH b AS", "WITH RECURSIVE b AS") + """
+, l AS (SELECT asset_id, list({'n': new_index, 'o': old_id} ORDER BY new_index, old_id) AS ps FROM r WHERE overlap > 0.5 GROUP BY 1),
+g AS (SELECT asset_id, ps, 0 AS i, ps[1:0] AS taken FROM l
+      UNION ALL SELECT asset_id, ps, i + 1, CASE WHEN list_contains([t.n FOR t IN taken], ps[i + 1].n) OR list_contains([t.o FOR t IN taken], ps[i + 1].o) THEN taken ELSE list_append(taken, ps[i + 1]) END
+      FROM g WHERE i < len(ps)),
+m AS (SELECT asset_id, x.o AS old_id, x.n AS new_index FROM (SELECT asset_id, unnest(taken) AS x FROM g WHERE i = len(ps)))
+"""
+
+
+@query(_MATCHES + "SELECT asset_id, old_id, new_index FROM m")
 def redetection_matches(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.matched(reconcile.overlaps(boxes(spark, d, False), boxes(spark, d, True)))
 
 
+@query(
+    _MATCHES + "SELECT asset_id, k AS face_index, 'added' AS class FROM b n WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.asset_id = n.asset_id AND m.new_index = n.k) "
+    "UNION ALL SELECT asset_id, k, 'gone' FROM b o WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.asset_id = o.asset_id AND m.old_id = o.asset_id * 8 + o.k) "
+    "UNION ALL SELECT m.asset_id, o.k, 'kept' FROM m JOIN b o ON o.asset_id = m.asset_id AND o.asset_id * 8 + o.k = m.old_id JOIN b n ON n.asset_id = m.asset_id AND n.k = m.new_index"
+)
+def redetection_classes(spark: SparkSession, d: str) -> DataFrame:
+    old = boxes(spark, d, False).withColumn("face_index", (F.col("id") - F.col("asset_id") * 8).cast("int"))
+    new = boxes(spark, d, True).withColumn("score", F.lit(0.9)).withColumn("crop_path", F.lit("c")).withColumn("context_path", F.lit("x"))
+    kept, added, gone = reconcile.reconciled(old, new)
+    part = lambda df, name: df.select("asset_id", "face_index", F.lit(name).alias("class"))
+    return part(added, "added").unionByName(part(gone, "gone")).unionByName(part(kept, "kept"))
+
+
 # ---- files, text ----
 
 
 @query(
     "SELECT CAST(p_size AS VARCHAR) AS dir, p_partkey AS id, 'P' || CAST(p_partkey % 100 AS VARCHAR) AS stem, "
-    "(SELECT min('.P' || CAST(q.p_partkey % 1000 AS VARCHAR) || '.MOV') FROM part q WHERE q.p_size = p.p_size AND q.p_brand <> p.p_brand || 'x' AND q.p_partkey % 4 = 0 "
+    "(SELECT min('.P' || CAST(q.p_partkey % 1000 AS VARCHAR) || '.MOV') FROM part q WHERE q.p_size = p.p_size "
     "AND starts_with('.P' || CAST(q.p_partkey % 1000 AS VARCHAR) || '.MOV', '.P' || CAST(p.p_partkey % 100 AS VARCHAR))) AS mov FROM part p"
 )
 def prefix_pair(spark: SparkSession, d: str) -> DataFrame:
     part = read(spark, d, "part")
     photos = part.select(F.col("p_size").cast("string").alias("dir"), F.col("p_partkey").alias("id"), F.concat(F.lit("P"), F.col("p_partkey") % 100).alias("stem"))
-    movs = part.filter("p_partkey % 4 = 0").select(F.col("p_size").cast("string").alias("dir"), F.concat(F.lit(".P"), F.col("p_partkey") % 1000, F.lit(".MOV")).alias("name"))
+    movs = part.select(F.col("p_size").cast("string").alias("dir"), F.concat(F.lit(".P"), F.col("p_partkey") % 1000, F.lit(".MOV")).alias("name"))
     return relational.prefix_pairs(photos, movs)
 
 
@@ -446,17 +470,309 @@ def result_errors(spark: SparkSession, d: str) -> DataFrame:
     face = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_extendedprice").alias("y2"), (F.col("l_discount") * 12).alias("score"), F.array(F.col("l_tax").cast("float")).alias("vector"))
     found = li.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(face).alias("faces"))
     results = o.join(found, o["o_orderkey"] == found["k"], "left").select(F.col("o_orderkey").cast("string").alias("absolute_path"), F.lit("succeeded").alias("status"), "faces")
-    bad = sessions.result_errors(o.select(F.col("o_orderkey").cast("string").alias("absolute_path")), results)
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    results.write.json(path)
+    bad = sessions.result_errors(o.select(F.col("o_orderkey").cast("string").alias("absolute_path")), sessions.read_results(spark, path))
     return bad.select(F.col("absolute_path").cast("long").alias("id"), "error")
 
 
 @query()
 def plan_names(spark: SparkSession, d: str) -> DataFrame:
     """The plan of a template after a first preview of half of the assets and a second one of all of them."""
-    sources = spark.createDataFrame([(i, f"Phone{i % 3}") for i in range(4)], "id long, label string")
+    sources = phones(spark)
     found, own = previewed(spark, d), assets(spark, d)
     empty = spark.createDataFrame([], "template_id string, asset_id long, bucket string, month string, file_name string")
     first = exports.plan_additions(found.filter("asset_id % 2 = 0"), own, sources, empty, "t")
     first = stored(first)
     second = exports.plan_additions(found, own, sources, first, "t")
     return first.unionByName(second)
+
+
+@query(
+    _PREVIEW.rstrip() + ", a AS (SELECT asset_id, p.month, bucket, file_name, o_orderkey, CASE WHEN o_custkey % 5 = 4 THEN 'unknown' ELSE 'Phone' || CAST(o_custkey % 5 % 3 AS VARCHAR) END AS label FROM p JOIN orders ON o_orderkey = asset_id), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY bucket, month, file_name ORDER BY asset_id) AS nth, row_number() OVER (PARTITION BY bucket, month, file_name, label ORDER BY asset_id) AS kth FROM a), "
+    "w AS (SELECT *, substr(file_name, 1, 8) || CASE WHEN nth = 1 THEN '' WHEN kth = 1 THEN '__' || label ELSE '__' || label || '-' || CAST(kth AS VARCHAR) END AS stem FROM n) "
+    "SELECT asset_id, bucket, month, stem || '.jpg' AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN '.' || stem || '.MOV' END AS mov_file_name, label AS source_label FROM w"
+)
+def plan_first_names(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of a template after one preview, where the rule of names is one of ranks."""
+    empty = spark.createDataFrame([], "template_id string, asset_id long, bucket string, month string, file_name string")
+    return exports.plan_additions(previewed(spark, d), assets(spark, d), phones(spark), empty, "t").drop("template_id")
+
+
+def phones(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, f"Phone{i % 3}") for i in range(4)], "id long, label string")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 4 THEN 'unknown' ELSE 'Phone' || CAST(o_custkey % 5 % 3 AS VARCHAR) END AS source_label FROM orders")
+def labelled_assets(spark: SparkSession, d: str) -> DataFrame:
+    return exports.labelled(assets(spark, d), phones(spark)).select("id", "source_label")
+
+
+# ---- scans and runs ----
+
+_PHOTO = "(SELECT c_custkey AS id, c_nationkey AS source_id, c_name AS absolute_path, CASE WHEN c_mktsegment = 'BUILDING' THEN 'failed' ELSE 'succeeded' END AS processing_status FROM customer)"
+
+
+def order_faces(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Orders as faces on their customer's photo, vectors by number, and owners of those that are F."""
+    o, c = read(spark, d, "orders"), read(spark, d, "customer")
+    one = F.lit(0.0)
+    return {
+        "faces": o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("asset_id"), (F.col("o_orderkey") % 100).cast("int").alias("face_index"), one.alias("x1"), one.alias("y1"), F.col("o_totalprice").alias("x2"), F.lit(2.0).alias("y2"), F.lit(640).alias("image_width"), F.lit(480).alias("image_height")),
+        "assets": c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("source_id"), F.col("c_name").alias("absolute_path"), F.lit(None).cast("string").alias("live_photo_mov_path"), F.when(F.col("c_mktsegment") == "BUILDING", "failed").otherwise("succeeded").alias("processing_status")),
+        "sources": read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("path"), F.col("n_name").alias("label"), (F.col("n_regionkey") != 2).alias("active")),
+        "embeddings": read(spark, d, "embeddings").select(F.col("vec_id").alias("face_id"), F.when(F.col("label") % 5 == 0, "other").otherwise("main").alias("variant"), F.size("embedding").alias("dimension"), F.col("embedding").alias("vector")),
+        "assignments": o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("face_id"), (F.col("o_custkey") % 50).cast("string").alias("person_id"), (F.col("o_orderpriority") != "1-URGENT").alias("active")),
+        "exclusions": read(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("face_id"), F.col("l_linestatus").alias("person_id")),
+    }
+
+
+_OWNER = "CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN CAST(o_custkey % 50 AS VARCHAR) END"
+
+
+@query(
+    f"SELECT o_orderkey AS id, n_name AS source_path, absolute_path, CAST(o_orderkey % 100 AS INTEGER) AS face_index, {_OWNER} AS person, coalesce((SELECT string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A'), '') AS excluded, "
+    f"vec_id IS NOT NULL AS has_vector FROM orders JOIN {_PHOTO} a ON a.id = o_custkey JOIN nation ON n_nationkey = source_id LEFT JOIN embeddings ON vec_id = o_orderkey AND label % 5 <> 0 WHERE processing_status = 'succeeded'"
+)
+def assignment_input(spark: SparkSession, d: str) -> DataFrame:
+    rows = assignment.face_input(**order_faces(spark, d))
+    return rows.select("id", "sort_key.*", "person", set_key(F.col("excluded")).alias("excluded"), F.col("vector").isNotNull().alias("has_vector"))
+
+
+@query(f"SELECT o_orderkey AS id, o_custkey AS asset_id, len(embedding) AS dimension, {_OWNER} AS person_id FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey AND label % 5 <> 0 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 9)")
+def existing_face_state(spark: SparkSession, d: str) -> DataFrame:
+    t = order_faces(spark, d)
+    again = t["assets"].filter("source_id < 9").select(F.col("id").alias("asset_id"))
+    return reconcile.face_state(again, t["faces"], t["embeddings"], t["assignments"]).select("id", "asset_id", F.col("dimension").cast("long").alias("dimension"), "person_id")
+
+
+@query(f"SELECT o_custkey AS asset_id, o_orderkey AS face_id, {_OWNER} AS person, CASE WHEN {_OWNER} IS NOT NULL THEN o_orderkey END AS assignment_id, o_totalprice * 2 AS area FROM orders")
+def face_owners(spark: SparkSession, d: str) -> DataFrame:
+    t = order_faces(spark, d)
+    return exports.face_rows(t["faces"], t["assignments"])
+
+
+@query("SELECT o_orderkey AS id, c_name AS absolute_path FROM orders JOIN customer ON c_custkey = o_custkey")
+def plan_with_paths(spark: SparkSession, d: str) -> DataFrame:
+    plan = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("asset_id"))
+    return exports.plan_sources(plan, order_faces(spark, d)["assets"]).select("id", "absolute_path")
+
+
+@query("SELECT o_orderkey AS id, n_name AS source_path FROM orders JOIN nation ON n_nationkey = o_custkey % 30")
+def batch_sources(spark: SparkSession, d: str) -> DataFrame:
+    items = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 30).alias("source_id"))
+    return sessions.with_batch_sources(items, order_faces(spark, d)["sources"]).select("id", "source_path")
+
+
+@query("SELECT n_nationkey AS id, n_name AS path FROM nation WHERE n_regionkey <> 2 ORDER BY 1")
+def active_sources(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.active_sources(order_faces(spark, d)["sources"], read(spark, d, "nation").select(F.col("n_name").alias("path"))).select("id", "path")
+
+
+@query("SELECT n_nationkey AS id, n_name AS path, n_name AS label, n_regionkey <> 2 AS active FROM nation ORDER BY 1")
+def all_sources(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.list_sources(order_faces(spark, d)["sources"])
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('O', 'F') THEN 'failed' ELSE 'completed' END AS status FROM orders")
+def stale_runs(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "failed").otherwise("completed")
+    return transitions.close_stale_runs(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50) THEN 'completed' ELSE o_orderstatus END AS status FROM orders")
+def keyed_update(spark: SparkSession, d: str) -> DataFrame:
+    batches = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    done = read(spark, d, "lineitem").filter("l_quantity = 50").select(F.col("l_orderkey").alias("id"))
+    return transitions.set_where(transitions.flagged(batches, done, "id", "_done"), F.col("_done"), status=F.lit("completed")).select("id", "status")
+
+
+@query(
+    "SELECT s_suppkey AS id, CASE WHEN EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey = s_suppkey AND l_quantity > 45 AND p_size = 7 AND (p_brand LIKE '%1' OR p_type LIKE '%S%')) THEN 'invalid' ELSE 'active' END AS status FROM supplier"
+)
+def invalidate_if_unfit(spark: SparkSession, d: str) -> DataFrame:
+    templates = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("active").alias("status"))
+    members = read(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("template_id"), F.col("l_partkey").alias("person_id"))
+    part = read(spark, d, "part")
+    people = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_brand").endswith("1"), "inactive").otherwise("active").alias("status"), F.when(~F.col("p_type").contains("S"), F.col("p_name")).alias("display_name"))
+    return transitions.invalidate_if_unfit(templates, members, people, part.filter("p_size = 7").select(F.col("p_partkey").alias("id")))
+
+
+@query(
+    "WITH p AS (SELECT CAST(c_custkey % 1000 AS VARCHAR) AS id, c_mktsegment || CAST(c_nationkey AS VARCHAR) AS name, c_acctbal > 0 AS named, CASE WHEN c_mktsegment = 'BUILDING' THEN 'odd' ELSE 'active' END AS status FROM customer) "
+    "SELECT 'allowed status' AS rule, status AS detail, count(*) AS rows FROM p WHERE status = 'odd' GROUP BY 2 UNION ALL SELECT 'key id', id, count(*) FROM p GROUP BY 2 HAVING count(*) > 1 "
+    "UNION ALL SELECT 'key display_name', name, count(*) FROM p WHERE status = 'active' AND named GROUP BY 2 HAVING count(*) > 1"
+)
+def broken_rules(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    rows = c.select((F.col("c_custkey") % 1000).cast("string").alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("display_name"), (F.col("c_acctbal") > 0).alias("is_named"), F.when(F.col("c_mktsegment") == "BUILDING", "odd").otherwise("active").alias("status"))
+    return violations(rows, TABLES["persons"])
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as decided faces: those that are O join a customer, those that are P a person of their own."""
+    kind = F.col("o_orderstatus")
+    person = F.when(kind == "O", F.col("o_custkey").cast("string")).when(kind == "P", F.concat(F.lit("new-"), F.col("o_orderkey")))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(person.isNotNull(), "assigned").otherwise("skipped").alias("decision"), person.alias("person"), (kind == "P").alias("is_new"), (F.col("o_orderkey") % 4 == 0).alias("was_deferred"), F.lit("[]").alias("evidence"))
+
+
+@query("SELECT count(*) AS candidates, count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS assigned, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS new_persons, count(CASE WHEN o_orderkey % 4 = 0 THEN 1 END) AS deferred, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS skipped FROM orders")
+def decision_counts(spark: SparkSession, d: str) -> DataFrame:
+    return assignment.run_counts(decisions(spark, d))
+
+
+def after_commit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    given = spark.createDataFrame([], TABLES["assignments"].schema)
+    return assignment.committed(decisions(spark, d), given, persons(spark, d).withColumn("created_at", F.current_timestamp()), 1)
+
+
+@query("SELECT o_orderkey AS face_id, CASE WHEN o_orderstatus = 'O' THEN CAST(o_custkey AS VARCHAR) ELSE 'new-' || CAST(o_orderkey AS VARCHAR) END AS person_id, 'auto' AS source, true AS active, count(*) OVER () AS numbers FROM orders WHERE o_orderstatus <> 'F'")
+def commit_assignments(spark: SparkSession, d: str) -> DataFrame:
+    rows = after_commit(spark, d)[0]
+    numbers = rows.agg(F.count_distinct("id").alias("numbers"))
+    return rows.select("face_id", "person_id", "source", "active").crossJoin(numbers)  # one row
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS write_revision FROM customer UNION ALL SELECT 'new-' || CAST(o_orderkey AS VARCHAR), 1 FROM orders WHERE o_orderstatus = 'P'")
+def commit_persons(spark: SparkSession, d: str) -> DataFrame:
+    return after_commit(spark, d)[1].select("id", "write_revision")
+
+
+@query("SELECT l_orderkey AS asset_id, l_linenumber AS was, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS face_index FROM lineitem")
+def first_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.col("l_linenumber").alias("was"), F.lit(0).cast("long").alias("face_index"))
+    return relational.continued(rows, rows.limit(0), "asset_id", "face_index", ["was"])
+
+
+@query("SELECT doc_id, sha256(text) AS file_fingerprint FROM documents")
+def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.fingerprints(rows).select("doc_id", "file_fingerprint")
+
+
+@query(
+    "SELECT file_name, path, row_number() OVER (ORDER BY lower(upper(path)), path) AS place FROM (SELECT path, substr(path, 5) AS file_name FROM (SELECT '/in/' || p_name || CAST(p_partkey AS VARCHAR) || CASE p_size % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.Heic' ELSE '.txt' END AS path FROM part)) WHERE NOT path LIKE '%.txt'"
+)
+def photos_in_order(spark: SparkSession, d: str) -> DataFrame:
+    end = F.when(F.col("p_size") % 4 == 0, ".jpg").when(F.col("p_size") % 4 == 1, ".PNG").when(F.col("p_size") % 4 == 2, ".Heic").otherwise(".txt")
+    found = files.photos(read(spark, d, "part").select(F.concat(F.lit("/in/"), "p_name", F.col("p_partkey").cast("string"), end).alias("path")))
+    return relational.ranked(found, [files.folded(F.col("path")), F.col("path")], name="place").select("file_name", "path", "place")
+
+
+@query("SELECT o_orderkey AS run_id, o_orderstatus AS status, c_name AS template_name, l_orderkey * 8 + l_linenumber AS delivery_id, CASE WHEN l_orderkey IS NOT NULL THEN CASE WHEN l_returnflag = 'A' THEN 'copied' ELSE 'failed' END END AS result FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey")
+def run_details(spark: SparkSession, d: str) -> DataFrame:
+    runs = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("template_id"), F.col("o_orderstatus").alias("status"))
+    given = read(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("run_id"), F.lit("p").alias("target_path"), F.when(F.col("l_returnflag") == "A", "copied").otherwise("failed").alias("result"), F.lit("copied").alias("mov_result"))
+    return exports.run_details(runs, given, read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).drop("target_path", "mov_result")
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS template_id, s_name AS status, n_name AS template_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_members, coalesce((SELECT string_agg(c_name, ',' ORDER BY lower(c_name), c_custkey) FROM customer WHERE c_nationkey = n_nationkey), '') AS names FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def run_headers(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    runs = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("template_id"), F.col("s_name").alias("status"))
+    templates = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("created_at"))
+    return gallery.run_headers(runs, templates, c.select(F.col("c_nationkey").alias("template_id"), F.col("c_custkey").alias("person_id")), c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name")))
+
+
+# ---- changes of persons ----
+
+
+def person_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    empty = {n: spark.createDataFrame([], TABLES[n].schema) for n in ("merge_operations", "merge_members", "exclusions", "person_name_events")}
+    members = read(spark, d, "customer").select((F.col("c_custkey") % 100).cast("string").alias("template_id"), F.col("c_custkey").cast("string").alias("person_id"))
+    templates = members.select(F.col("template_id").alias("id")).distinct().withColumn("status", F.lit("active"))
+    return empty | {"persons": persons(spark, d), "assignments": samples(spark, d), "templates": templates, "template_persons": members}
+
+
+#: The two active persons of the most samples, the winner first.
+_TWO = (
+    f"h AS (SELECT p.id, p.is_named, count(a.id) AS samples FROM {_PERSON} p JOIN {_SAMPLE} a ON a.person_id = p.id AND a.active WHERE p.status = 'active' GROUP BY 1, 2), "
+    "t AS (SELECT * FROM h ORDER BY samples DESC, id LIMIT 2), two AS (SELECT id, row_number() OVER (ORDER BY is_named DESC, samples DESC, id) AS rank FROM t)"
+)
+
+
+def top_two(t: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    headers = gallery.person_headers(t["persons"], t["assignments"])
+    return headers, [r["id"] for r in headers.filter("status = 'active' AND samples > 0").orderBy(F.desc("samples"), "id").limit(2).collect()]
+
+
+@query(f"WITH {_TWO} SELECT p.id, CASE WHEN rank = 2 THEN 'inactive' ELSE status END AS status, CAST(CASE WHEN rank IS NULL THEN 0 ELSE 1 END AS BIGINT) AS write_revision FROM {_PERSON} p LEFT JOIN two ON two.id = p.id")
+def merged_persons(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    return transitions.merge(t, headers, two, 1)["persons"].select("id", "status", "write_revision")
+
+
+@query(f"WITH {_TWO} SELECT a.id, CASE WHEN two.rank = 2 AND active THEN (SELECT id FROM two WHERE rank = 1) ELSE person_id END AS person_id, active FROM {_SAMPLE} a LEFT JOIN two ON two.id = a.person_id")
+def merged_samples(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    return transitions.merge(t, headers, two, 1)["assignments"].select("id", "person_id", "active")
+
+
+@query(f"WITH {_TWO} SELECT p.id, p.display_name, p.status, CAST(CASE WHEN rank IS NULL THEN 0 ELSE 2 END AS BIGINT) AS write_revision FROM {_PERSON} p LEFT JOIN two ON two.id = p.id")
+def undone_persons(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    merged = {k: stored(v) for k, v in transitions.merge(t, headers, two, 1).items()}
+    return transitions.undo_merge(merged)["persons"].select("id", "display_name", "status", "write_revision")
+
+
+@query(f"WITH {_TWO} SELECT (SELECT id FROM two WHERE rank = 1) AS winner_id, (SELECT id FROM two WHERE rank = 2) AS loser_id, true AS can_undo")
+def undo_flag(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    return transitions.undo_state({k: stored(v) for k, v in transitions.merge(t, headers, two, 1).items()}).select("winner_id", "loser_id", "can_undo")
+
+
+@query(f"WITH {_TWO} SELECT a.id, a.person_id, a.active AND NOT (a.person_id = (SELECT id FROM two WHERE rank = 1) AND a.id IN (SELECT x.id FROM {_SAMPLE} x WHERE x.active AND x.person_id = (SELECT id FROM two WHERE rank = 1) ORDER BY x.id LIMIT 2)) AS active FROM {_SAMPLE} a")
+def excluded_samples(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    first = transitions.merge_winner(t["persons"], headers, two).filter("rank = 1").first()["id"]
+    own = [r["id"] for r in t["assignments"].filter(F.col("active") & (F.col("person_id") == first)).orderBy("id").limit(2).collect()]
+    return transitions.exclude(t, first, own)["assignments"].select("id", "person_id", "active")
+
+
+@query(f"SELECT id, CASE WHEN id = '1' THEN 'A new name' ELSE display_name END AS display_name, is_named OR id = '1' AS is_named, CAST(CASE WHEN id = '1' THEN 1 ELSE 0 END AS BIGINT) AS write_revision FROM (SELECT id, display_name, is_named, status FROM {_PERSON}) WHERE (SELECT status FROM {_PERSON} WHERE id = '1') = 'active' UNION ALL SELECT id, display_name, is_named, 0 FROM {_PERSON} WHERE (SELECT status FROM {_PERSON} WHERE id = '1') <> 'active'")
+def named_persons(spark: SparkSession, d: str) -> DataFrame:
+    return transitions.apply_name(person_tables(spark, d), "1", "  A new name ")["persons"].select("id", "display_name", "is_named", "write_revision")
+
+
+@query(f"WITH {_TWO} SELECT 'one' AS request, 'two persons are needed' AS error UNION ALL SELECT 'twice', 'the same person twice' UNION ALL SELECT 'strange', 'no such person' UNION ALL SELECT 'good', NULL FROM two WHERE rank = 1 UNION ALL SELECT 'inactive', 'a person is inactive'")
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    t = person_tables(spark, d)
+    headers, two = top_two(t)
+    out = t["persons"].filter("status = 'inactive'").orderBy("id").first()["id"]
+    asked = {"one": two[:1], "twice": [two[0]] * 2, "strange": [two[0], "?"], "good": two, "inactive": [two[0], out]}
+    found = [transitions.merge_error(t["persons"], headers, ids).select(F.lit(name).alias("request"), "error") for name, ids in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4])
+
+
+# ---- sinks ----
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
+def logged_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines in a log, appended in two writes and read back."""
+    e, path = read(spark, d, "events").select("event_id", "event_type", "user_id"), f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for rows in (e.filter("value > 50"), e.filter("value <= 50 OR value IS NULL")):
+        ingest.append_log(rows, path)
+    return spark.read.schema("event_id long, event_type string, user_id long").json(path).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("SELECT c_custkey AS id, c_name AS path, c_acctbal > 0 AS active FROM customer UNION ALL SELECT 1000000000 + s_suppkey, s_name, true FROM supplier")
+def appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as sources of a store, to which suppliers are appended."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    named = lambda df: df.withColumn("label", F.col("path")).withColumn("created_at", F.current_timestamp())
+    store.append({"sources": named(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"), (F.col("c_acctbal") > 0).alias("active")))})
+    store.append({"sources": named(s.select((F.lit(1_000_000_000) + F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("path"), F.lit(True).alias("active")))})
+    return store.read("sources").select("id", "path", "active")
+
+
+@query("SELECT c_custkey AS id, substr(sha256(c_name || chr(1) || c_mktsegment), 1, 32) AS stable FROM customer")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), stable_id(F.col("c_name"), F.col("c_mktsegment")).alias("stable"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ PHOTO_SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif")
 
 
 def listing(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, length, modificationTime) of the regular files right inside folders that all executors see; hidden ones,
+    """(path, length, modificationTime, mtime_ns, inode) of the regular files right inside folders that all executors see; hidden ones,
     which Spark's own file sources leave out, included."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -24,11 +25,11 @@ def listing(spark: SparkSession, *folders: str) -> DataFrame:
 
         for b in batches:
             for folder in b["folder"]:
-                found = [(e.path, e.stat().st_size, pd.Timestamp(e.stat().st_mtime, unit="s", tz="UTC").floor("us")) for e in os.scandir(folder) if e.is_file()]
-                yield pd.DataFrame(found, columns=["path", "length", "modificationTime"])
+                found = [(e.path, s.st_size, pd.Timestamp(s.st_mtime_ns // 1000, unit="us", tz="UTC"), s.st_mtime_ns, s.st_ino) for e in os.scandir(folder) if e.is_file() for s in [e.stat()]]
+                yield pd.DataFrame(found, columns=["path", "length", "modificationTime", "mtime_ns", "inode"])
 
     rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
-    return rows.mapInPandas(run, "path string, length long, modificationTime timestamp")
+    return rows.mapInPandas(run, "path string, length long, modificationTime timestamp, mtime_ns long, inode long")
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,10 +37,15 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", "content")
 
 
+def folded(c: Column) -> Column:
+    """Sort key that folds case, sharp s and its like too."""
+    return F.lower(F.upper(c))
+
+
 def photos(files: DataFrame) -> DataFrame:
     """The files that have a photo's suffix in any case, in the order of their paths without and then with case."""
     name = file_name(F.col("path"))
-    return files.filter(F.lower(suffix(name)).isin(*PHOTO_SUFFIXES)).withColumn("file_name", name).orderBy(F.lower("path"), "path")
+    return files.filter(F.lower(suffix(name)).isin(*PHOTO_SUFFIXES)).withColumn("file_name", name).orderBy(folded(F.col("path")), "path")
 
 
 def with_movs(files: DataFrame) -> DataFrame:
@@ -54,12 +60,76 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return files.withColumn("file_fingerprint", F.sha2("content", 256))
 
 
-def plan_fingerprint(files: DataFrame) -> DataFrame:
-    """One text for what a scan will read: a hash over the files' own hashes, whatever their order; these are added up,
-    so no task holds the whole list."""
-    own = F.sha2(F.to_json(F.struct("path", "length", "modificationTime")), 256)
+def fallback_fingerprints(files: DataFrame) -> DataFrame:
+    """For files whose content cannot be read: SHA-256 of path, length, time in nanoseconds and inode."""
+    return files.withColumn("file_fingerprint", F.sha2(F.concat_ws("|", "path", "length", "mtime_ns", "inode"), 256))
+
+
+PLANNED = ["source_id", "absolute_path", "file_fingerprint", "capture_month", "live_photo_mov_path"]
+
+
+def plan_fingerprint(candidates: DataFrame, batch_size: int) -> DataFrame:
+    """One text for what a scan will read (the columns PLANNED) and in which batches: a hash over the candidates' own
+    hashes, whatever their order; these are added up, so no task holds the whole list."""
+    own = F.sha2(F.to_json(F.struct(*PLANNED), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring(own, i * 15 + 1, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    return files.agg(F.sha2(F.concat_ws(",", F.count("*"), *parts), 256).alias("plan_fingerprint"))
+    return candidates.agg(F.sha2(F.concat_ws(",", F.lit(batch_size), F.count("*"), *(F.coalesce(p, F.lit(0)) for p in parts)), 256).alias("plan_fingerprint"))
+
+
+def exif_tags(content: bytes) -> dict[int, object]:
+    """The numbers and texts of the EXIF tags of a JPEG (of its main and EXIF directories), empty where there are none."""
+    at = content.find(b"Exif\0\0", 0, 1 << 17)
+    if content[:2] != b"\xff\xd8" or at < 0:
+        return {}
+    tiff, out = content[at + 6 :], {}
+    order = "<" if tiff[:2] == b"II" else ">"
+
+    def directory(start: int, depth: int) -> None:
+        for i in range(struct.unpack_from(f"{order}H", tiff, start)[0]):
+            tag, kind, n, raw = struct.unpack_from(f"{order}HHI4s", tiff, start + 2 + 12 * i)
+            if kind == 2:
+                a = struct.unpack(f"{order}I", raw)[0] if n > 4 else None
+                out.setdefault(tag, (raw[:n] if a is None else tiff[a : a + n]).split(b"\0")[0].decode("latin-1"))
+            elif kind in (3, 4):
+                value = struct.unpack(f"{order}{'H2x' if kind == 3 else 'I'}", raw)[0]
+                if tag == 34665 and depth == 0:
+                    directory(value, 1)
+                else:
+                    out.setdefault(tag, value)
+
+    try:
+        directory(struct.unpack_from(f"{order}I", tiff, 4)[0], 0)
+    except struct.error:  # a directory that points beyond the file
+        pass
+    return out
+
+
+def with_exif(rows: DataFrame, content: str = "content") -> DataFrame:
+    """rows without the content, with the times that its EXIF tags tell, in the order in which they count (original,
+    digitised, changed), and the orientation."""
+    tags = {"exif_original": 36867, "exif_digitized": 36868, "exif_changed": 306, "orientation": 274}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [exif_tags(bytes(x)) if x is not None else {} for x in b[content]]
+            yield b.drop(columns=[content]).assign(**{name: [f.get(tag) for f in found] for name, tag in tags.items()}).astype({"orientation": "Int32"})
+
+    kept = [f for f in rows.schema.fields if f.name not in (content, *tags)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {'int' if n == 'orientation' else 'string'}" for n in tags)])
+    return rows.select(*(f.name for f in kept), content).mapInPandas(run, schema)
+
+
+def upright(image: np.ndarray, orientation: int | None) -> np.ndarray:
+    """A picture (rows, columns, colours) as its EXIF orientation wants it shown."""
+    flipped = {2: image[:, ::-1], 3: image[::-1, ::-1], 4: image[::-1]}
+    turned = image.transpose(1, 0, *range(2, image.ndim))
+    flipped |= {5: turned, 6: turned[:, ::-1], 7: turned[::-1, ::-1], 8: turned[::-1]}
+    return flipped.get(orientation or 1, image)
+
+
+def upright_loader(decode: Callable[[bytes], np.ndarray]) -> Callable[[bytes], np.ndarray]:
+    """A loader for detectors: the picture that `decode` makes of a file's bytes, turned as its EXIF tag says."""
+    return lambda content: upright(decode(content), exif_tags(content).get(274))
 
 
 def decoded(rows: DataFrame, blob: str, dimension: int = 512, strict: bool = True) -> DataFrame:

@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 
 from kinweave.operators import assignment, neighbours
+from kinweave.schemas import TABLES
+from kinweave.sources.store import Store
 
 
 def naive(faces, distance, wanted=3, least=3, two_passes=True):
@@ -98,3 +100,33 @@ def test_counts_and_commit(spark):
     rows, people = assignment.committed(decided, assignments, persons, 1)
     assert sorted(r["id"] for r in rows.collect()) == [1, 2, 3]
     assert [r["write_revision"] for r in people.collect()] == [3]
+
+
+def test_run_over_a_store(spark, tmp_path):
+    rows = lambda name, *rows: spark.createDataFrame([tuple(r.get(n) for n in TABLES[name].schema.fieldNames()) for r in rows], TABLES[name].schema)
+    store = Store(spark, str(tmp_path / "store"))
+    vectors = [{"face_id": i, "variant": "main", "dimension": 2, "vector": [1.0, 0.01 * i]} for i in range(5)]
+    store.commit({
+        "sources": rows("sources", {"id": 1, "path": "/in", "active": True}),
+        "assets": rows("assets", {"id": 1, "source_id": 1, "absolute_path": "/in/a.jpg", "processing_status": "succeeded"}, {"id": 2, "source_id": 1, "absolute_path": "/in/b.jpg", "processing_status": "failed"}),
+        "faces": rows("faces", *({"id": i, "asset_id": 1, "face_index": i} for i in range(3)), {"id": 3, "asset_id": 2, "face_index": 0}),
+        "embeddings": rows("embeddings", *vectors),
+    })
+    done = assignment.run(store, 7, distance=0.05, dimension=2)
+    assert {k: done[k] for k in ("id", "session_id", "status", "candidates", "assigned", "new_persons", "orphan_embeddings")} == {"id": 1, "session_id": 7, "status": "completed", "candidates": 3, "assigned": 3, "new_persons": 1, "orphan_embeddings": 1}
+    assert done["started_at"] is not None and done["completed_at"] is not None and store.read("assignments").count() == 3 and store.read("persons").first()["write_revision"] == 3
+    # faces of failed assets take no part; with nothing to do a second run completes
+    assert assignment.run(store, 8, distance=0.05, dimension=2)["candidates"] == 0
+    # a vector of another length fails the run, whose row says so, and assigns nothing
+    store.commit({"embeddings": rows("embeddings", {**vectors[0], "vector": [1.0]}, *vectors[1:])})
+    with pytest.raises(ValueError, match="no vector of 2 numbers"):
+        assignment.run(store, 9, distance=0.05, dimension=2)
+    last = store.read("assignment_runs").orderBy("id").collect()[-1]
+    assert (last["id"], last["status"]) == (3, "failed") and "no vector" in last["failure_reason"] and store.read("assignments").count() == 3
+
+
+def test_component_sizes(spark):
+    faces = make(3, 30)
+    df = spark.createDataFrame(faces, "id long, sort_key string, person string, excluded array<string>, vector array<double>")
+    sizes = assignment.component_sizes(assignment.candidates(df.drop("vector"), neighbours.eps_pairs(df, df, 0.15)))
+    assert sizes.agg({"faces": "sum"}).first()[0] == sum(f["person"] is None for f in faces)

@@ -1,14 +1,18 @@
 import datetime
+import hashlib
+import os
+import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import capture_month, file_name, iou, nocase, stem, strip, suffix
 from kinweave.operators import gallery, reconcile, relational, sessions, transitions
 from kinweave.plans import exports
-from kinweave.schemas import TABLES, violations
+from kinweave.schemas import TABLES, missing_columns, violations
 from kinweave.sources import files
-from kinweave.sources.store import Store, migrate
+from kinweave.sources.store import Store, migrate, missing_tables
 from kinweave.streaming import ingest
 
 NOW = datetime.datetime(2024, 5, 6, 7, 8, 9)
@@ -72,6 +76,13 @@ def test_exclude_and_rename(spark):
     assert change("a", "Cy")[0] == "the name is taken"
     assert change("a", " \t")[0] == "the name is blank"
     assert change("a", "Al")[2] == "person_renamed"
+    t["person_name_events"] = frame(spark, "person_name_events", [{"id": 4}])
+    named = transitions.apply_name(t, "b", "  Bo ")
+    assert dicts(named["persons"], "id", "display_name", "is_named", "write_revision") == {"a": ("Ann", True, 1), "b": ("Bo", True, 2), "c": ("Cy", True, 1)}
+    assert dicts(named["person_name_events"], "id", "event_type", "old_name", "new_name")[5] == ("person_named", None, "Bo")
+    for person, name in (("a", "Cy"), ("a", "Ann"), ("a", " ")):  # taken, the same, blank: nothing changes
+        same = transitions.apply_name(t, person, name)
+        assert dicts(same["persons"], "id", "write_revision")["a"] == (1,) and same["person_name_events"].count() == 1
 
 
 def test_reconcile(spark):
@@ -127,8 +138,12 @@ def test_files(spark, tmp_path):
     found = files.with_movs(files.listing(spark, str(tmp_path)))
     got = {r["file_name"]: (r["live_photo_mov_path"] or "").rsplit("/", 1)[-1] for r in found.collect()}
     assert got == {"IMG_1.JPG": ".IMG_10.MOV", "IMG_10.heic": ".IMG_10.MOV", "a.png": ""}  # the prefix rule pairs IMG_1 too
-    listing = files.listing(spark, str(tmp_path))
-    assert files.plan_fingerprint(listing).first() == files.plan_fingerprint(listing.repartition(3)).first()
+    plan = found.select(F.lit(1).alias("source_id"), F.col("path").alias("absolute_path"), F.lit("f").alias("file_fingerprint"), F.lit("2024-01").alias("capture_month"), "live_photo_mov_path")
+    prints = [files.plan_fingerprint(p, n).first()[0] for p, n in ((plan, 200), (plan.repartition(3), 200), (plan, 100), (plan.withColumn("capture_month", F.lit("2024-02")), 200), (plan.withColumn("file_fingerprint", F.lit("g")), 200), (plan.drop("live_photo_mov_path").withColumn("live_photo_mov_path", F.lit("x")), 200), (plan.limit(0), 200))]
+    assert prints[0] == prints[1] and len(set(prints)) == 6
+    fallback = files.fallback_fingerprints(files.listing(spark, str(tmp_path))).first()
+    stat = os.stat(fallback["path"])
+    assert fallback["file_fingerprint"] == hashlib.sha256(f"{fallback['path']}|{stat.st_size}|{stat.st_mtime_ns}|{stat.st_ino}".encode()).hexdigest()
     blobs = spark.createDataFrame([(1, bytearray(8)), (2, bytearray(3))], "id long, blob binary")
     assert dicts(files.decoded(blobs, "blob", 2, strict=False), "id", "vector") == {1: ([0.0, 0.0],), 2: (None,)}
     with pytest.raises(Exception, match="have not 2 numbers"):
@@ -141,6 +156,38 @@ def test_files(spark, tmp_path):
     assert dicts(files.detected(images, load), "asset_id", "face_index", "failure_reason") == {1: (0, None), 2: (None, "division by zero")}
 
 
+def exif(entries, order="<"):
+    """A JPEG's first bytes with an EXIF directory of texts and numbers, the original time in its own directory."""
+    texts, head, own = b"", [], []
+    at = 8 + 2 + 12 * (len([e for e in entries if e[0] < 36000]) + 1) + 4
+    inner = [e for e in entries if e[0] > 36000]
+    base = at + 2 + 12 * len(inner) + 4
+    for tag, value in entries:
+        if isinstance(value, int):
+            row = struct.pack(f"{order}HHIH2x", tag, 3, 1, value)
+        else:
+            raw = value.encode() + b"\0"
+            row = struct.pack(f"{order}HHII", tag, 2, len(raw), base + len(texts))
+            texts += raw
+        (own if tag > 36000 else head).append(row)
+    head.append(struct.pack(f"{order}HHII", 34665, 4, 1, at))
+    body = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}I", 8)
+    for rows in (head, own):
+        body += struct.pack(f"{order}H", len(rows)) + b"".join(rows) + b"\0\0\0\0"
+    return b"\xff\xd8\xff\xe1\0\0Exif\0\0" + body + texts + b"rest"
+
+
+def test_exif(spark):
+    cases = [exif([(274, 6), (306, "2020:01:02 03:04:05"), (36867, "2019:12:31 00:00:00")], o) for o in "<>"] + [exif([(306, "2020:01:02 03:04:05")]), b"\xff\xd8 none", b"", exif([(274, 3)])[:40], None]
+    df = spark.createDataFrame([(i, bytearray(c) if c is not None else None, NOW) for i, c in enumerate(cases)], "id long, content binary, modified timestamp")
+    got = files.with_exif(df).withColumn("month", capture_month(F.col("exif_original"), F.col("exif_digitized"), F.col("exif_changed"), modified=F.col("modified")))
+    assert dicts(got, "id", "month", "orientation") == {0: ("2019-12", 6), 1: ("2019-12", 6), 2: ("2020-01", None), 3: ("2024-05", None), 4: ("2024-05", None), 5: ("2024-05", 3), 6: ("2024-05", None)}
+    image = np.arange(6).reshape(2, 3, 1)
+    assert files.upright(image, 6)[:, :, 0].tolist() == [[3, 0], [4, 1], [5, 2]] and files.upright(image, 8)[:, :, 0].tolist() == [[2, 5], [1, 4], [0, 3]]
+    assert files.upright(image, 3)[:, :, 0].tolist() == [[5, 4, 3], [2, 1, 0]] and files.upright(image, None) is image
+    assert files.upright_loader(lambda content: image)(cases[0]).shape == (3, 2, 1)
+
+
 def test_functions(spark):
     r = spark.range(1).select(
         nocase(F.lit("ÄbC")), strip(F.lit("  a b\t")), stem(F.lit(".a")), suffix(F.lit("x.tar.gz")), file_name(F.lit("/a/b.c")),
@@ -178,6 +225,17 @@ def test_store_and_stream(spark, tmp_path):
     assert migrate(store, {1: {"persons": lambda df: df.limit(0)}}) == 1
     assert {r["write_revision"] for r in store.read("persons").collect()} == {5}
 
+    more = people.withColumn("id", F.concat(F.lit("x"), "id")).withColumn("display_name", F.concat(F.lit("x"), F.coalesce("display_name", "id")))
+    assert store.append({"persons": more}) and store.read("persons").count() == 6
+    for bad in (more, more.withColumn("id", F.concat(F.lit("y"), "id"))):  # a key, and a name among active named ones, that are there
+        with pytest.raises(ValueError, match="persons"):
+            store.append({"persons": bad})
+    assert store.read("persons").count() == 6 and len(missing_tables(store)) == len(TABLES) - 2
+    assert missing_columns(people.drop("status"), TABLES["persons"]) == ["status"]
+    store.commit({"sources": frame(spark, "sources", [])})
+    store.prune(1)
+    assert store.read("persons").count() == 6
+
     inbox, out = str(tmp_path / "inbox"), str(tmp_path / "seen")
     first = spark.range(3).withColumn("x", F.lit(1))
     first.coalesce(1).write.parquet(inbox)
@@ -199,5 +257,15 @@ def test_sessions(spark, tmp_path):
     items = spark.createDataFrame([("a",), ("b",), ("c",)], "absolute_path string")
     results = spark.createDataFrame([("a", "succeeded", [(0.0, 0.0, 1.0, 1.0, 0.9, [1.0]), (1.0, 0.0, 1.0, 1.0, 0.9, [1.0])]), ("b", "failed", None), ("b", "failed", None), ("d", "succeeded", [])], "absolute_path string, status string, faces array<struct<x1:double,y1:double,x2:double,y2:double,score:double,vector:array<float>>>")
     assert {(r[0], r[1]) for r in sessions.result_errors(items, results).collect()} == {("a", "no box"), ("b", "more than one result"), ("c", "no result"), ("d", "not asked for")}
+    (tmp_path / "r.json").write_text('{"absolute_path": "a", "status": "succeeded", "faces": [{"x1": 0, "y1": 0, "x2": 2, "y2": 1, "score": 1.5, "vector": [1]}]}\n')
+    assert [r["error"] for r in sessions.result_errors(items.filter("absolute_path = 'a'"), sessions.read_results(spark, str(tmp_path / "r.json"))).collect()] == ["score out of range"]
+    (tmp_path / "bad.json").write_text('{"absolute_path": \n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        sessions.read_results(spark, str(tmp_path / "bad.json")).collect()
+    sources = frame(spark, "sources", [{"id": 2, "path": "/b", "active": True}, {"id": 1, "path": "/a", "active": True}, {"id": 3, "path": "/c", "active": False}])
+    folders = spark.createDataFrame([("/a",)], "path string")
+    assert [r["id"] for r in sessions.active_sources(sources).collect()] == [1, 2] and [r["id"] for r in sessions.list_sources(sources).collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="cannot be read: /b"):
+        sessions.active_sources(sources, folders).collect()
     made = sessions.write_artifacts(spark.createDataFrame([(1,), (2,)], "face_id long"), lambda: lambda row: b"jpg", str(tmp_path / "art"))
     assert sorted(r["face_id"] for r in made.collect()) == [1, 2] and (tmp_path / "art" / "face_2.jpg").read_bytes() == b"jpg"
