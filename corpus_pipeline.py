@@ -1,6 +1,8 @@
 """The corpus pipeline: language, near duplicates, benchmark passages, personal data, and packing, in this order.
 
-Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept."""
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept. Decisions are on rows, not on
+doc_ids: a null or repeated doc_id is a document of its own. Columns beside those of documents are dropped; an empty table
+gives an empty result in each stage."""
 
 from __future__ import annotations
 
@@ -15,7 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some learned language stay; those without a letter go."""
+    """Documents in some learned language stay; null texts and those without a letter go, and all where no row has a
+    language to learn from. Repeated rows stay."""
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = language_id.train(docs.filter(~held_out))
     return language_id.identify(docs.select(*COLUMNS), model).filter("lang_pred <> 'und'").select(*COLUMNS)
@@ -46,13 +49,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with personal data masked by its kind."""
+    """All rows stay, with personal data masked by its kind and n_chars that of the masked text; a null text becomes an
+    empty one."""
     found = pii.find(docs.select(*COLUMNS), pii.train(pii.sample(docs)), fields=["masked"])
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all rows in sequences of 4096 tokens; a null or empty text is the end token alone."""
     return packing.pack(docs, word_tokenizer())
 
 
