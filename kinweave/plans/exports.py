@@ -118,12 +118,15 @@ def labelled(assets: DataFrame, sources: DataFrame) -> DataFrame:
 def plan_additions(found: DataFrame, assets: DataFrame, sources: DataFrame, plan: DataFrame, template: str) -> DataFrame:
     """Rows for the plan of a template that it lacks: (template_id, asset_id, bucket, month, file_name, mov_file_name,
     source_label). Rows of the plan stay as they are; names depend on those given before, so the names of one family in a
-    folder of bucket and month are given in one ordered pass; names of two families never meet."""
+    folder of bucket and month are given in one ordered pass; names of two families never meet, so the families of a folder
+    are dealt over an eighth as many passes as there are shuffle partitions."""
+    passes = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    dealt = F.pmod(F.xxhash64(family(F.col("file_name"))), F.lit(passes)).alias("dealt")
     own = plan.filter(F.col("template_id") == template)
     rows = found.join(labelled(assets, sources).select(F.col("id").alias("asset_id"), "source_label", "live_photo_mov_path"), "asset_id")
     rows = rows.join(own.select("asset_id", F.lit(True).alias("planned")), "asset_id", "left")
-    todo = rows.select("bucket", "month", "asset_id", "file_name", "source_label", "live_photo_mov_path", F.coalesce("planned", F.lit(False)).alias("planned"), family(F.col("file_name")).alias("family"))
-    known = own.select("bucket", "month", "file_name", family(F.col("file_name")).alias("family"))
+    todo = rows.select("bucket", "month", "asset_id", "file_name", "source_label", "live_photo_mov_path", F.coalesce("planned", F.lit(False)).alias("planned"), dealt)
+    known = own.select("bucket", "month", "file_name", dealt)
 
     def name(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         new = new.astype({"live_photo_mov_path": object}).where(new.notna(), None)
@@ -132,7 +135,7 @@ def plan_additions(found: DataFrame, assets: DataFrame, sources: DataFrame, plan
         kept = new[["asset_id", "bucket", "month", "source_label"]]
         return out.merge(kept, on="asset_id")[["bucket", "month", "asset_id", "file_name", "mov_file_name", "source_label"]]
 
-    keys = ["bucket", "month", "family"]
+    keys = ["bucket", "month", "dealt"]
     named_rows = todo.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(name, "bucket string, month string, asset_id long, file_name string, mov_file_name string, source_label string")
     return named_rows.withColumn("template_id", F.lit(template))
 
