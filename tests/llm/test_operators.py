@@ -479,7 +479,7 @@ def tagger_weights(spark):
 
 
 def planted(n, seed=99):
-    """Documents of another sample with one thing set in: (text, start, kind or -1, end)."""
+    """Documents, few of them learnt from, with one thing of the training's own generator set in: (text, start, kind or -1, end)."""
     rng, out = np.random.default_rng(seed), []
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text
     for i in range(n):
