@@ -4,8 +4,9 @@ The matrix has a row for each distinct set of shingles (a class: all documents w
 shingle. Tasks hold blocks of it as sorted arrays, by rows where texts are read and by columns where shingles are counted:
 
 1. Column blocks find the shingles that one class alone has. A class in which these are so many that no other can reach
-   the similarity is done; for most documents this is the end.
-2. For the classes left, column blocks give each entry the number of classes that have its shingle, and one of them.
+   the similarity is done; for most documents this is the end. A row block sends two entries of a shingle at most.
+2. For the classes left, column blocks count for each shingle the classes that have it, and name one of them; a row block
+   sends each of its shingles once, with its own count, so that a frequent one costs an entry for 2 MB of text.
    Ordered by that number, the first n - ceil(similarity n) + 1 shingles of a class (its prefix) meet those of every
    partner, so classes that share a prefix shingle are joined into candidate groups.
 3. Inside each candidate group tiles of two row blocks are multiplied, column block by column block, adding up overlap
@@ -21,7 +22,7 @@ are documents of their own; a null key counts as a document but gives no compone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -102,38 +103,77 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 _BLOCK = "col int, block long, hashes binary, rows binary, keys binary, others binary"
 
 
-def row_blocks(df: DataFrame, size: int, columns: int, text: str) -> DataFrame:
-    """The matrix of the distinct classes of each row block, cut by columns: sorted hashes with the row of each, and for
-    each row its place in the block (in `others`) and its class. The part of column -1 lists all rows with their sizes."""
+def matrix(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct classes of a row block with their sizes, and its entries in the order of shingles: row and shingle."""
+    flat, ends, classes = shingle_sets(data, offsets, size)
+    n = np.diff(ends)
+    _, first = np.unique(classes, return_index=True)
+    first = np.sort(first[n[first] > 0])
+    chosen = np.zeros(len(n), bool)
+    chosen[first] = True
+    row = np.full(len(n), -1, np.int64)
+    row[first] = np.arange(len(first))
+    keep = np.repeat(chosen, n)
+    entry_row, value = np.repeat(row, n)[keep], flat[keep] >> np.uint64(16)
+    order = np.argsort(value, kind="stable")
+    return classes[first], n[first], entry_row[order], value[order]
+
+
+def begins(value: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal values."""
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    return new
+
+
+def column_cuts(value: np.ndarray, columns: int) -> list[tuple[int, int, int]]:
+    """(column block, from, to) of sorted shingles; column blocks are ranges of these."""
+    if columns < 1 << 16:
+        col = (value * np.uint64(columns) >> np.uint64(48)).astype(np.int64)
+    else:
+        col = (value // np.uint64(-(-(1 << 48) // columns))).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(col, prepend=-1, append=columns))
+    return [(int(col[x]), x, y) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def sparse_parts(block: int, own: np.ndarray, n: np.ndarray, row: np.ndarray, value: np.ndarray, columns: int) -> list[tuple]:
+    """What tells which shingles one class alone has: of each shingle two entries of the block at most, as any two say
+    that it is no class's alone. For each column block sorted shingles with the row of each, and for each row its class
+    and its place in the block (in `others`). The part of column -1 lists all classes with their sizes."""
+    keep = begins(value)
+    keep[1:] |= keep[:-1].copy()
+    row, value = row[keep], value[keep]
+    out = [(-1, block, b"", b"", own.tobytes(), n.tobytes())]
+    for col, x, y in column_cuts(value, columns):
+        there, at = np.unique(row[x:y], return_inverse=True)
+        out.append((col, block, pack_sorted(value[x:y]), at.astype(np.uint16).tobytes(), own[there].tobytes(), there.astype(np.uint16).tobytes()))
+    return out
+
+
+def counted_parts(block: int, own: np.ndarray, n: np.ndarray, row: np.ndarray, value: np.ndarray, columns: int) -> list[tuple]:
+    """What counts the classes of each shingle: for each column block the block's shingles once each, with the number (in
+    `rows`) and the smallest (in `keys`) of its classes that have it. The part of column -1 has all entries and classes."""
+    runs = np.flatnonzero(begins(value))
+    count, least, once = np.diff(runs, append=len(value)).astype(np.uint16), np.minimum.reduceat(own[row], runs), value[runs]
+    out = [(-1, block, pack_sorted(value), row.astype(np.uint16).tobytes(), own.tobytes(), b"")]
+    for col, x, y in column_cuts(once, columns):
+        out.append((col, block, pack_sorted(once[x:y]), count[x:y].tobytes(), least[x:y].tobytes(), b""))
+    return out
+
+
+def row_blocks(df: DataFrame, size: int, columns: int, text: str, parts: Callable[..., list[tuple]]) -> DataFrame:
+    """The parts that a function gives of the matrix of the distinct classes of each row block. df must give a repeated
+    task the same rows in the same order, as files do: a block is named by its task and its number there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in slices(offsets, ROW_BYTES):
-                flat, ends, classes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                n = np.diff(ends)
-                _, first = np.unique(classes, return_index=True)
-                first = np.sort(first[n[first] > 0])
-                if not len(first):
+                found = matrix(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                if not len(found[0]):
                     continue
-                chosen = np.zeros(len(n), bool)
-                chosen[first] = True
-                row = np.full(len(n), -1, np.int64)
-                row[first] = np.arange(len(first))
-                entry_row, value = np.repeat(row, n), flat >> np.uint64(16)
-                keep = np.repeat(chosen, n)
-                entry_row, value = entry_row[keep], value[keep]
-                order = np.argsort(value)
-                entry_row, value = entry_row[order], value[order]
-                col = (value * np.uint64(columns) >> np.uint64(48)).astype(np.int64) if columns < 1 << 16 else (value // np.uint64(-(-(1 << 48) // columns))).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(col, prepend=-1, append=columns))
-                own = classes[first]
-                out = [(-1, block, b"", b"", own.tobytes(), n[first].tobytes())]
-                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                    there, at = np.unique(entry_row[x:y], return_inverse=True)
-                    out.append((int(col[x]), block, pack_sorted(value[x:y]), at.astype(np.uint16).tobytes(), own[there].tobytes(), there.astype(np.uint16).tobytes()))
-                cols = list(zip(*out, strict=True))
+                cols = list(zip(*parts(block, *found, columns), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["col", "block", "hashes", "rows", "keys", "others"])
                 block += 1
 
@@ -153,19 +193,15 @@ def entries(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(classes), lengths, np.concatenate(([0], np.cumsum(lengths)))
 
 
-def distinct_classes(hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: how many classes have its shingle, and the smallest of these."""
+def alone(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """For each entry: whether no other class has its shingle."""
     order = np.lexsort((classes, hashes))
     h, c = hashes[order], classes[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    other = new.copy()
-    other[1:] |= c[1:] != c[:-1]
-    runs = np.flatnonzero(new)
-    count, which = np.add.reduceat(other.astype(np.int64), runs), np.cumsum(new) - 1
-    df, least = np.empty(len(h), np.int64), np.empty(len(h), np.uint64)
-    df[order], least[order] = count[which], c[runs][which]
-    return df, least
+    runs = np.flatnonzero(begins(h))
+    last = np.append(runs[1:], len(h)) - 1
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(c[runs] == c[last], np.diff(runs, append=len(h)))
+    return out
 
 
 def undecided(parts: DataFrame, percent: int) -> DataFrame:
@@ -175,10 +211,10 @@ def undecided(parts: DataFrame, percent: int) -> DataFrame:
         if part["col"].iloc[0] < 0:
             return part[["block", "keys"]].assign(counts=part["others"])
         hashes, classes, _, ends = entries(part)
-        alone = distinct_classes(hashes, classes)[0] == 1
+        lonely = alone(hashes, classes)
         counts = []
         for i, rows in enumerate(part["rows"]):
-            at = np.frombuffer(rows, np.uint16)[alone[ends[i] : ends[i + 1]]]
+            at = np.frombuffer(rows, np.uint16)[lonely[ends[i] : ends[i + 1]]]
             counts.append(np.bincount(at, minlength=len(part["keys"].iloc[i]) // 8).astype(np.uint32).tobytes())
         return pd.DataFrame({"block": part["block"], "keys": part["others"], "counts": counts})
 
@@ -186,10 +222,10 @@ def undecided(parts: DataFrame, percent: int) -> DataFrame:
         full = [len(k) == len(c) for k, c in zip(part["keys"], part["counts"], strict=True)]
         head = part[full].iloc[0]
         n = np.frombuffer(head["counts"], np.int64)
-        alone = np.zeros(len(n), np.int64)
+        own = np.zeros(len(n), np.int64)
         for k, c in zip(part["keys"][~np.array(full)], part["counts"][~np.array(full)], strict=True):
-            alone[np.frombuffer(k, np.uint16)] += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"class": np.frombuffer(head["keys"], np.int64)[n - alone >= needed(n, percent)]})
+            own[np.frombuffer(k, np.uint16)] += np.frombuffer(c, np.uint32)
+        return pd.DataFrame({"class": np.frombuffer(head["keys"], np.int64)[n - own >= needed(n, percent)]})
 
     counted = column_group(parts).applyInPandas(lone, "block long, keys binary, counts binary")
     return counted.groupBy("block").applyInPandas(settle, "class long").distinct()
@@ -197,24 +233,32 @@ def undecided(parts: DataFrame, percent: int) -> DataFrame:
 
 def prefixes(parts: DataFrame, percent: int) -> DataFrame:
     """(class, n, hashes, leaders) of the classes in these parts: the sorted shingles, and for each shingle of the prefix
-    that other classes have the smallest of these classes."""
+    that other classes have the smallest of these classes. A class in several blocks counts in each; that alters the
+    order of shingles for all alike."""
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         if part["col"].iloc[0] < 0:
-            return part[["block", "hashes", "rows", "keys"]].assign(df=b"", leaders=b"")
-        hashes, classes, _, ends = entries(part)
-        df, least = distinct_classes(hashes, classes)
-        df = np.minimum(df, 65535).astype(np.uint16)
-        rows = [np.frombuffer(o, np.uint16)[np.frombuffer(r, np.uint16)].tobytes() for o, r in zip(part["others"], part["rows"], strict=True)]
+            return part[["block", "col", "hashes", "rows", "keys"]].assign(df=b"", leaders=b"")
+        sets = [unpack_sorted(x) for x in part["hashes"]]
+        ends, hashes = np.cumsum([0, *map(len, sets)]), np.concatenate(sets)
+        number, least = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("rows", np.uint16), ("keys", np.uint64)))
+        order = np.argsort(hashes, kind="stable")
+        new = begins(hashes[order])
+        runs, which = np.flatnonzero(new), np.empty(len(hashes), np.int64)
+        which[order] = np.cumsum(new) - 1
+        df = np.minimum(np.add.reduceat(number[order].astype(np.int64), runs), 65535).astype(np.uint16)[which]
+        leaders = np.minimum.reduceat(least[order], runs)[which]
         cut = lambda x: [x[ends[i] : ends[i + 1]].tobytes() for i in range(len(part))]
-        return pd.DataFrame({"block": part["block"], "hashes": part["hashes"], "rows": rows, "keys": b"", "df": cut(df), "leaders": cut(least)})
+        return pd.DataFrame({"block": part["block"], "col": part["col"], "hashes": b"", "rows": b"", "keys": b"", "df": cut(df), "leaders": cut(leaders)})
 
     def assemble(part: pd.DataFrame) -> pd.DataFrame:
-        head = part["keys"].str.len() > 0
-        classes = np.frombuffer(part["keys"][head].iloc[0], np.int64)
-        part = part[~head]
-        join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in part[c]])
-        hashes, row, df, leaders = np.concatenate([unpack_sorted(x) for x in part["hashes"]]), join("rows", np.uint16), join("df", np.uint16), join("leaders", np.int64)
+        head = part["col"] < 0
+        own = part[head].iloc[0]
+        classes, hashes, row = np.frombuffer(own["keys"], np.int64), unpack_sorted(own["hashes"]), np.frombuffer(own["rows"], np.uint16)
+        part = part[~head].sort_values("col")
+        # column blocks are ranges, so that their parts in order are the block's shingles in order
+        which = np.cumsum(begins(hashes)) - 1
+        df, leaders = (np.concatenate([np.frombuffer(x, kind) for x in part[c]])[which] for c, kind in (("df", np.uint16), ("leaders", np.int64)))
         order = np.lexsort((hashes, df, row))
         hashes, row, df, leaders = hashes[order], row[order], df[order], leaders[order]
         ends = np.searchsorted(row, np.arange(len(classes) + 1))
@@ -225,7 +269,7 @@ def prefixes(parts: DataFrame, percent: int) -> DataFrame:
             out.append((own, b - a, np.sort(hashes[a:b]).tobytes(), np.unique(leaders[first][df[first] > 1]).tolist()))
         return pd.DataFrame(out, columns=["class", "n", "hashes", "leaders"])
 
-    counted = column_group(parts).applyInPandas(count, "block long, hashes binary, rows binary, keys binary, df binary, leaders binary")
+    counted = column_group(parts).applyInPandas(count, "block long, col int, hashes binary, rows binary, keys binary, df binary, leaders binary")
     return counted.groupBy("block").applyInPandas(assemble, "class long, n long, hashes binary, leaders array<long>")
 
 
@@ -307,11 +351,13 @@ def join(df: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", t
     total = full.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    open_classes = undecided(row_blocks(df, size, max(partitions, -(-total // COLUMN_ENTRIES)), text), percent)
+    open_classes = undecided(row_blocks(df, size, max(partitions, -(-total // COLUMN_ENTRIES)), text, sparse_parts), percent)
     chosen = stored(classes.join(open_classes, "class"), "open")
     total = chosen.agg(F.sum("n")).first()[0] or 0
     texts = df.select(F.col(key).alias("least"), F.col(text).alias("text")).join(chosen.select(F.col("least").alias("k")).distinct(), F.col("least").eqNullSafe(F.col("k")), "left_semi")
-    sets = stored(prefixes(row_blocks(texts, size, max(partitions, -(-total // COLUMN_ENTRIES)), "text"), percent), "sets")
+    # stored, so that a repeated task cuts its rows into the same blocks
+    texts = stored(texts.select("text"), "texts")
+    sets = stored(prefixes(row_blocks(texts, size, max(partitions, -(-total // COLUMN_ENTRIES)), "text", counted_parts), percent), "sets")
     edges = sets.select(F.col("class").alias("a"), F.explode("leaders").alias("b")).filter("a <> b")
     groups = components(edges)
     in_groups = sets.drop("leaders").dropDuplicates(["class"]).join(groups, F.col("class") == F.col("node")).join(classes.select("class", "copies"), "class")
