@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, token_counts, wrappers
+from . import centroids, decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, token_counts, wrappers
 from .common import crc_mod, session_dir, stored, table
 
 
@@ -84,6 +84,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -95,5 +99,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
+    "op11_centroids": op11_centroids,
 }
-ORACLES: dict[str, str] = {"op3_token_counts": token_counts.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_token_counts": token_counts.ORACLE_SQL, "op11_centroids": centroids.oracle()}
