@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, token_counts, wrappers
+from . import centroids, decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, repeats, token_counts, wrappers
 from .common import crc_mod, session_dir, stored, table
 
 
@@ -88,6 +88,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -100,5 +104,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
     "op11_centroids": op11_centroids,
+    "op13_repeats": op13_repeats,
 }
 ORACLES: dict[str, str] = {"op3_token_counts": token_counts.ORACLE_SQL, "op11_centroids": centroids.oracle()}
