@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, repeats, token_counts, wrappers
+from . import alignment, centroids, decontamination, fingerprints, language_id, licenses, ngram_join, packing, pii, quality, repeats, token_counts, wrappers
 from .common import crc_mod, session_dir, stored, table
 
 
@@ -88,6 +88,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"))
 
@@ -104,6 +111,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_fingerprints": op10_fingerprints,
     "op11_centroids": op11_centroids,
+    "op12_alignment": op12_alignment,
     "op13_repeats": op13_repeats,
 }
 ORACLES: dict[str, str] = {"op3_token_counts": token_counts.ORACLE_SQL, "op11_centroids": centroids.oracle()}
