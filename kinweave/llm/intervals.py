@@ -25,9 +25,14 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Places of the suffixes in their order; equal ones up to a terminator in the order of the texts."""
-    n, width = len(symbols), 7
+#: Symbols that one long holds: suffixes are first sorted by so many, and their common prefixes below that follow.
+WIDTH = 7
+
+
+def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes in their order, equal ones up to a terminator in the order of the texts; and the common
+    prefix of each suffix with the one before, if it is shorter than WIDTH symbols, else WIDTH."""
+    n, width = len(symbols), WIDTH
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for j in range(width):  # seven symbols of nine bits; nothing after a terminator
         ahead = np.zeros(n, np.int64)
@@ -38,6 +43,17 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     sorted_key = key[order]
     head = np.ones(n + 1, bool)
     head[1:n] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
+    common = np.full(n, WIDTH, np.int32)
+    differ = sorted_key[1:] ^ sorted_key[:-1]
+    for j in range(WIDTH - 1, -1, -1):
+        common[1:][(differ >> (9 * (WIDTH - 1 - j))) != 0] = j
+    ends = np.flatnonzero(~alive[order])  # terminators differ: two suffixes share what is before the nearer one
+    if len(ends):
+        left = np.zeros(n, np.int64)
+        for j in range(WIDTH):
+            left[ends] += (sorted_key[ends] >> (9 * (WIDTH - 1 - j)) & 511) != 0
+        common[ends] = np.minimum(common[ends], left[ends])
+    common[:1] = 0
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))
     open_ = np.flatnonzero(~(head[:n] & head[1:]))
@@ -51,7 +67,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         rank[at] = np.maximum.accumulate(np.where(head[open_], open_, 0))
         open_ = open_[~(head[open_] & head[open_ + 1])]
         width *= 2
-    return order
+    return order, common
 
 
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -60,9 +76,10 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
-def classes(symbols: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and last place, in the suffixes' order, of the intervals of two or more suffixes that share `least` symbols,
-    and the common prefixes of neighbours (with the one before), -1 where they are `least` or more."""
+    and the common prefixes of neighbours (with the one before), -1 where they are `least` or more. known: these as far as
+    they are below WIDTH, from where the expansion goes on."""
     n = len(order)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -78,13 +95,17 @@ def classes(symbols: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndar
     next_ = np.where(there & same[to + 1], back[np.minimum(to + 1, n - 1)], n)
     del back, place, before
 
+    done = min(least, WIDTH)
     common = np.full(n + 1, -1, np.int32)
+    common[:n][known < done] = known[known < done]
     common[0] = common[n] = 0
-    cuts = np.flatnonzero(~same[1:n] | (first[1:] == 0)) + 1
-    common[cuts] = 0
-    begin, right = np.zeros(1, np.int64), np.zeros(n, np.int64)
-    right[0] = n - 1
-    for length in range(1, least + 1):
+    cuts = np.flatnonzero(common[:n] == done - 1)
+    cuts = cuts[cuts > 0]
+    heads = np.union1d(np.flatnonzero((common[:n] >= 0) & (common[:n] < done - 1)), [0])
+    ends, right = np.append(heads[1:], n) - 1, np.zeros(n, np.int64)
+    begin = heads[ends > heads]
+    right[heads] = ends
+    for length in range(done, least + 1):
         if not len(cuts):
             break
         own = np.searchsorted(begin, cuts, "right") - 1
@@ -125,10 +146,10 @@ def repeated(texts: list[bytes], owned: np.ndarray, weights: np.ndarray, least:
 
     Only owned starts count, each as often as its text's weight says, and each has `least` bytes after it in its text."""
     symbols, begins = joined(texts)
-    order = suffix_order(symbols)
+    order, known = suffix_order(symbols)
     times = np.zeros(len(symbols), np.int64)
     times[spread(begins, owned)] = np.repeat(weights, owned)
-    begin, end, _ = classes(symbols, order, least)
+    begin, end, _ = classes(symbols, order, known, least)
     counted = times[order]
     hit = counted > 1
     if len(begin):

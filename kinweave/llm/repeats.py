@@ -3,9 +3,10 @@
 Each start of a `least`-byte string is named by an anchor, the string's k-byte window with the smallest hash, so equal
 strings have equal anchors at equal places. Consecutive starts of a text that share an anchor are one run, and the run's
 bytes all of its strings. Anchors that occur once in the corpus are settled. For all others equal runs are counted by a
-128-bit hash before any text moves, one of each is fetched, and the runs of an anchor meet in one task, which builds their
-Burrows-Wheeler transform and expands its intervals up to the minimum length (see `intervals`): a string is repeated if
-the starts in its interval count for two or more.
+128-bit hash before any text moves; where all runs of an anchor come more than once that says all. Else one of each is
+fetched, and the runs of an anchor meet in one task, which builds their Burrows-Wheeler transform and expands its
+intervals up to the minimum length (see `intervals`): a string is repeated if the starts in its interval count for two or
+more.
 
 An anchor with more distinct runs than MOST (a passage in very many surroundings) is parted: its runs are cut into blocks
 of fewer starts, and a block's key takes in all bytes that its strings must share. Blocks shrink to a single start, where
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,7 +208,7 @@ def compared(level: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             grp = batch.column(0).to_numpy()
-            sizes = np.cumsum(pa.compute.binary_length(batch.column(5)).to_numpy().astype(np.int64))
+            sizes = np.cumsum(pc.binary_length(batch.column(5)).to_numpy().astype(np.int64))
             begin, done = 0, 0
             for cut in [*(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist()]:
                 if size + int(sizes[cut - 1]) - done >= TOGETHER:
@@ -250,22 +252,31 @@ def parted(level: DataFrame, block: int, least: int) -> DataFrame:
 
 
 def with_size(contents: DataFrame, most: int) -> DataFrame:
-    """Distinct runs with `big`: whether their key has more than `most` of them."""
-    sizes = contents.groupBy("grp").agg(F.count("*").alias("g"))
-    return contents.join(sizes, "grp").withColumn("big", F.col("g") > most).drop("g")
+    """Distinct runs with `settled`, whether all runs of their key come as often, more than once or not, as their weight
+    says; and `big`, whether their key has more than `most` of them.
+
+    A string of a run never stands at another start of it, since the anchor would be at another place. So a run of weight
+    2 is repeated as a whole, and one that is alone with its key and comes once not at all."""
+    sizes = contents.groupBy("grp").agg(F.count("*").alias("g"), F.min("weight").alias("w"))
+    return contents.join(sizes, "grp").withColumn("settled", (F.col("g") == 1) | (F.col("w") > 1)).withColumn("big", F.col("g") > most).drop("g", "w")
+
+
+def as_a_whole(contents: DataFrame, n: Column) -> DataFrame:
+    """(grp, c1, c2, low, high) of the settled runs that are repeated, of n starts each."""
+    return contents.filter("settled AND weight > 1").select("grp", "c1", "c2", F.lit(0).cast("long").alias("low"), n.cast("long").alias("high"))
 
 
 def repeats(level: DataFrame, least: int, most: int, blocks: tuple[int, ...]) -> DataFrame:
-    """(grp, c1, c2, low, high) over all runs of a level: small keys are compared, large ones parted further."""
-    small = compared(level.filter("NOT big"), least)
-    big = level.filter("big")
+    """(grp, c1, c2, low, high) over all runs of a level that are not settled: small keys are compared, large ones parted."""
+    small, big = compared(level.filter("NOT big"), least), level.filter("big")
     if not blocks or big.isEmpty():
         return small if blocks else compared(level, least)
     cut = stored(parted(big, blocks[0], least), "blocks")
     links = cut.select("up_grp", "up1", "up2", "off", "grp", "c1", "c2")
     one = cut.groupBy("grp", "c1", "c2").agg(F.first("n").alias("n"), F.first("at").alias("at"), F.sum("weight").alias("weight"), F.first("bytes").alias("bytes"))
-    below = stored(with_size(stored(one, "contents"), most).select("grp", "c1", "c2", "n", "at", "weight", "big", "bytes"), "level")
-    found = repeats(below, least, most, blocks[1:]).join(links, ["grp", "c1", "c2"])
+    below = stored(with_size(stored(one, "contents"), most), "level")
+    rest = below.filter("NOT settled").select("grp", "c1", "c2", "n", "at", "weight", "big", "bytes")
+    found = as_a_whole(below, F.col("n")).unionByName(repeats(rest, least, most, blocks[1:])).join(links, ["grp", "c1", "c2"])
     up = found.select(F.col("up_grp").alias("grp"), F.col("up1").alias("c1"), F.col("up2").alias("c2"), (F.col("low") + F.col("off")).alias("low"), (F.col("high") + F.col("off")).alias("high"))
     return small.unionByName(up)
 
@@ -277,12 +288,14 @@ def spans(df: DataFrame, text: str = "text", least: int = 400, most: int = MOST,
     docs = df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= least)
     docs = docs.select(*two_hashes(F.col("text")), "text")
     copies = docs.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
-    live = all_runs(docs, least).join(anchor_counts(docs, least), "anchor")
+    live = all_runs(docs, least).join(stored(anchor_counts(docs, least), "anchors"), "anchor")
     live = stored(live.dropDuplicates(["t1", "t2", "place"]).join(copies, ["t1", "t2"]), "runs")
     contents = live.groupBy(F.col("anchor").alias("grp"), "c1", "c2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t1", "t2", "place")).alias("r"))
-    wanted = with_size(stored(contents, "contents"), most).select("r.*", "grp", "c1", "c2", "weight", "big")
+    sized = stored(with_size(stored(contents, "contents"), most), "sized")
+    wanted = sized.filter("NOT settled").select("r.*", "grp", "c1", "c2", "weight", "big")
     level = stored(fetched(docs, wanted, least), "level")
-    found = stored(repeats(level, least, most, blocks), "found").withColumnRenamed("grp", "anchor")
+    starts = F.shiftright("r.place", 12).bitwiseAND(4095)
+    found = stored(as_a_whole(sized, starts).unionByName(repeats(level, least, most, blocks)), "found").withColumnRenamed("grp", "anchor")
     start = F.shiftright("place", 24)
     hits = found.join(live.select("t1", "t2", "anchor", "place", "c1", "c2"), ["anchor", "c1", "c2"])
     return hits.groupBy("t1", "t2").agg(F.collect_list(F.struct((start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))).alias("hits"))

@@ -36,10 +36,10 @@ def test_expansion_gives_common_prefixes_up_to_the_minimum():
         symbols, begins = intervals.joined(texts)
         suffixes = [(t[i:], j) for j, t in enumerate(texts) for i in range(len(t) + 1)]
         turn = sorted(range(len(suffixes)), key=lambda i: suffixes[i])
-        order = intervals.suffix_order(symbols)
+        order, known = intervals.suffix_order(symbols)
         assert order.tolist() == turn
         least = int(rng.integers(1, 9))
-        begin, end, common = intervals.classes(symbols, order, least)
+        begin, end, common = intervals.classes(symbols, order, known, least)
         shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         want = [0] + [shared(suffixes[a][0], suffixes[b][0]) for a, b in zip(turn, turn[1:], strict=False)]
         assert common.tolist() == [x if x < least else -1 for x in want]
