@@ -25,8 +25,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,17 +35,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, stored
+from .intervals import spread
 from .words import mix
 
 #: Shards of the pairs, vectors that one step of the sums adds up, and pairs of a bucket on average.
 SHARDS, FAN, BUCKET = 256, 16, 3
-#: Pieces that a task remembers and their characters together, the longest that is looked up, and pieces encoded together.
-KNOWN, HELD, LONGEST, TOGETHER = 150_000, 1 << 23, 64, 4096
-_CUT = re.compile(r"(?<=[!-~]) ")
+#: Pieces that a task remembers and their characters together, the longest that is looked up; pieces and characters that
+#: are encoded together; links of a group from which its ids are counted before they are paired; and texts of a step.
+KNOWN, HELD, LONGEST, TOGETHER, CHARS, WIDE, STEP = 400_000, 1 << 23, 64, 8192, 1 << 16, 1024, 128
+#: Of a pair's key, the first id times 2^24 and the second; vocabularies are smaller than that.
+PAIR = (1 << 48) - 1
+_CUT, _OTHER = re.compile(r"(?<=[!-~]) "), re.compile(r"(?:^|[^!-~]) ")
+
+
+def cut(text: str) -> list[str]:
+    """The pieces of a text: parted at each space that follows a printable ASCII character."""
+    return _CUT.split(text) if _OTHER.search(text) else text.split(" ")
+
+
+class Numbers(dict):
+    """Numbers of strings; one that is new gets the next number and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.n = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.n
+        self.n += 1
+        self.new.append(word)
+        return n
+
+
+class Grown:
+    """An array of numbers that grows."""
+
+    def __init__(self, kind: type = np.int64):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, new: np.ndarray) -> None:
+        if self.n + len(new) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + len(new), self.room.dtype)])
+        self.room[self.n : self.n + len(new)] = new
+        self.n += len(new)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[: self.n][at]
+
+    def __len__(self) -> int:
+        return self.n
 
 
 class Pieces:
-    """The aligned pieces of texts. A piece is what stands between two cuts; both tokenizers read it with a space before."""
+    """The aligned pieces of texts. A piece is what stands between two cuts; both tokenizers read it with a space before.
+
+    New pieces that end in a printable ASCII character are joined again by spaces and read as one text; since no token
+    crosses a piece's end, the ids are those of each. What is not given back byte for byte is halved until the piece is
+    found that is to blame."""
 
     def __init__(self, bytes_path: str, pieces_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,93 +103,122 @@ class Pieces:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # byte-level alphabet: printable bytes are themselves
         other = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in vocabulary.items()}
+        vocabulary = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        tokens = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         inner = re.compile(rb"[!-~] ")
-        if any(inner.search(t) for t in (*self.a_bytes.values(), *self.b_bytes)):
+        if any(inner.search(t) for t in (*self.a_bytes, *self.b_bytes)):
             raise ValueError("a token crosses the end of a word; texts cannot be cut there")
+        self.a_size, self.b_size = (np.array([len(t) for t in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
+        self.text_of = np.array([str(i) for i in range(max(len(tokens), len(names)))], object)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held = 0
-        self.n_a, self.n_b, self.n_groups, self.n_links = [], [], [], []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.known, self.row, self.held = Numbers(), Grown(), 0
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.first, self.size, self.pairs, self.times = (Grown() for _ in range(8))
+        self.bad = Grown(bool)
         self.groups: list[str] = []
 
-    def aligned(self, piece: str, a: list[int], b: list[int]) -> None:
-        """Add a piece with its ids: counts, distinct pairs and how often each is linked, and the groups as text."""
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        text = b" " + piece.encode()
-        if b"".join(x) != text or b"".join(y) != text:
-            self.n_a.append(-1)
-            for own, none in ((self.n_b, 0), (self.n_groups, 0), (self.n_links, 0), (self.pairs, np.zeros(0, np.int64)), (self.times, np.zeros(0, np.int64)), (self.groups, "")):
-                own.append(none)
-            return
-        i = j = p = q = first_a = first_b = 0
-        found: dict[int, int] = {}
-        groups, links = [], 0
-        while i < len(a) or j < len(b):
-            if p <= q and i < len(a):
-                p += len(x[i])
-                i += 1
+    def add(self, n_a: np.ndarray, n_b: np.ndarray, n_groups: np.ndarray, n_links: np.ndarray, size: np.ndarray, pairs: np.ndarray, times: np.ndarray, groups: list[str], bad: bool = False) -> None:
+        self.first.extend(len(self.pairs) + np.cumsum(size) - size)
+        for own, new in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links), (self.size, size), (self.pairs, pairs), (self.times, times)):
+            own.extend(np.asarray(new, np.int64))
+        self.bad.extend(np.full(len(n_a), bad))
+        self.groups += groups
+
+    def learn(self, words: list[str]) -> None:
+        """Add these pieces, in their order."""
+        joined = " ".join(words)
+        raw = (" " + joined).encode()
+        a = np.array(self.a.encode_batch_fast([" " + joined], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(joined, num_threads=1) if joined else [self.space], np.int64)
+        good = b"".join([self.a_bytes[i] for i in a.tolist()]) == raw == b"".join([self.b_bytes[i] for i in b.tolist()])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        if not good or not np.isin(ends, both).all():
+            if len(words) > 1:
+                self.learn(words[: len(words) // 2])
+                self.learn(words[len(words) // 2 :])
             else:
-                q += len(y[j])
-                j += 1
-            if p == q and i > first_a and j > first_b:
-                own_a, own_b = a[first_a:i], b[first_b:j]
-                if len(own_a) == len(own_b) == 1:
-                    k = own_a[0] << 32 | own_b[0]
-                    found[k] = found.get(k, 0) + 1
-                else:
-                    for s, m in Counter(own_a).items():
-                        for t, n in Counter(own_b).items():
-                            found[s << 32 | t] = found.get(s << 32 | t, 0) + m * n
-                links += len(own_a) * len(own_b)
-                groups.append(",".join(map(str, own_a)) + "|" + ",".join(map(str, own_b)))
-                first_a, first_b = i, j
-        self.n_a.append(len(a))
-        self.n_b.append(len(b))
-        self.n_groups.append(len(groups))
-        self.n_links.append(links)
-        self.pairs.append(np.fromiter(found.keys(), np.int64, len(found)))
-        self.times.append(np.fromiter(found.values(), np.int64, len(found)))
-        self.groups.append(";".join(groups))
-
-    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
-        """For each text the numbers of its pieces, in order; null and empty texts have none. Numbers hold until the next
-        call."""
+                none = np.zeros(1, np.int64)
+                self.add(none, none, none, none, none, none[:0], none[:0], [""], True)
+            return
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        piece_a, piece_b, piece = (np.searchsorted(ends, x) for x in (end_a, end_b, both))
+        n = len(words)
+        links = np.zeros(n, np.int64)
+        np.add.at(links, piece, in_a * in_b)
+        wide = in_a * in_b > WIDE  # long groups of few ids: count these first
+        times = in_b[group_a] * ~wide[group_a]
+        first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        keys = [np.repeat(piece_a << 48 | a << 24, times) | b[spread(first_b[group_a], times)]]
+        weights = [np.ones(len(keys[0]), np.int64)]
+        for g in np.flatnonzero(wide).tolist():
+            x, m = np.unique(a[first_a[g] : first_a[g] + in_a[g]], return_counts=True)
+            y, k = np.unique(b[first_b[g] : first_b[g] + in_b[g]], return_counts=True)
+            keys.append((piece[g] << 48 | x[:, None] << 24 | y[None, :]).ravel())
+            weights.append((m[:, None] * k[None, :]).ravel())
+        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, at, np.concatenate(weights))
+        count = lambda x: np.bincount(x, minlength=n)
+        place_a, place_b = np.arange(len(a)) + first_b[group_a], np.arange(len(b)) + (first_a + in_a)[group_b]
+        out = np.full(2 * (len(a) + len(b)), ",", object)
+        out[2 * place_a[first_a]] = ";"
+        out[2 * place_b[first_b]] = "|"
+        cuts = np.cumsum(count(piece_a) + count(piece_b))
+        out[2 * (cuts - count(piece_a) - count(piece_b))] = ""
+        out[2 * place_a + 1], out[2 * place_b + 1] = self.text_of[a], self.text_of[b]
+        flat, bounds = out.tolist(), [0, *(2 * cuts).tolist()]
+        groups = ["".join(flat[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+        self.add(count(piece_a), count(piece_b), count(piece), links, count(pairs >> 48), pairs & PAIR, sums, groups)
+
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces of these texts, in order, and the text of each; null and empty texts have none.
+        Numbers hold until the next call."""
         if len(self.n_a) > KNOWN or self.held > HELD:
             self.forget()
-        own, later, new = [], [], {}
-        for t in texts:
-            words = _CUT.split(t) if t else []
-            got = []
-            for w in words:
-                n = self.known.get(w)
-                if n is None:
-                    n = new.get(w)
-                    if n is None:
-                        n = new[w] = len(self.n_a) + len(later)
-                        later.append(w)
-                got.append(n)
-            own.append(np.array(got, np.int64))
-        for k in range(0, len(later), TOGETHER):
-            part = later[k : k + TOGETHER]
-            for w, a, b in zip(part, self.a.encode_batch([" " + w for w in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                self.aligned(w, a.ids, b if w else [self.space])
-                self.held += len(w)
-                if len(w) <= LONGEST:
-                    self.known[w] = len(self.n_a) - 1
-        return own
+        parts = [cut(t) if t else [] for t in texts]
+        found = np.array(list(map(self.known.__getitem__, chain.from_iterable(parts))), np.int64)
+        new, self.known.new = self.known.new, []
+        if new:
+            plain = np.array([bool(w) and "!" <= w[-1] <= "~" for w in new])
+            order = np.argsort(~plain, kind="stable")
+            row = np.empty(len(new), np.int64)
+            row[order] = np.arange(len(new)) + len(self.n_a)
+            self.row.extend(row)
+            size, batch = 0, []
+            for i in order.tolist():
+                if batch and (size > CHARS or len(batch) == TOGETHER or not plain[i]):
+                    self.learn(batch)
+                    size, batch = 0, []
+                size += len(new[i])
+                batch.append(new[i])
+            self.learn(batch)
+            self.held += sum(map(len, new))
+            for w in new:
+                if len(w) > LONGEST:
+                    del self.known[w]
+        return self.row[found], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+_READY: dict[tuple[str, str], Pieces] = {}
+
+
+def pieces_of(paths: tuple[str, str]) -> Pieces:
+    """The pieces that this worker process remembers, over tasks and both passes."""
+    if paths not in _READY:
+        _READY[paths] = Pieces(*paths)
+    return _READY[paths]
 
 
 def shard_of(keys: np.ndarray) -> np.ndarray:
-    return (mix((keys >> 32).astype(np.uint64) + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
+    return (mix((keys >> 24).astype(np.uint64) + np.uint64(1)) % np.uint64(SHARDS)).astype(np.int64)
 
 
 def hashed(keys: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -169,28 +244,31 @@ class PerfectHash:
         for size in range(int(sizes.max(initial=0)), 0, -1):
             left = np.flatnonzero(sizes == size)
             members = keys[turn[(ends[left] - size)[:, None] + np.arange(size)]]
-            seed = 0
-            while len(left):  # all buckets of one size try the same displacement; of two that meet the first stays
-                seed += 1
+            seed = 1
+            while len(left):  # TRIES displacements at once; of buckets that meet the first stays, the others try again
                 if size == 1 and seed > 64:  # single keys take what is left, their place itself as a negative seed
                     at = np.flatnonzero(free)
                     seeds[left], placed[at], free[at] = -1 - at, members[:, 0], False
                     break
-                at = (hashed(members, np.full(members.shape, seed)) % np.uint64(n)).astype(np.int64)
-                ordered = np.sort(at, axis=1)
-                good = free[at].all(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-                rows = np.flatnonzero(good)
-                flat = at[rows].ravel()
-                _, first = np.unique(flat, return_index=True)
-                fresh = np.zeros(len(flat), bool)
-                fresh[first] = True
-                rows = rows[fresh.reshape(len(rows), size).all(axis=1)] if len(rows) else rows
-                seeds[left[rows]] = seed
-                placed[at[rows].ravel()] = members[rows].ravel()
-                free[at[rows].ravel()] = False
+                tries = np.arange(seed, seed + (1 if len(left) > 256 else 32))
+                at = (hashed(members[:, None, :], tries[None, :, None]) % np.uint64(n)).astype(np.int64)
+                ordered = np.sort(at, axis=2)
+                good = free[at].all(axis=2) & (ordered[:, :, 1:] != ordered[:, :, :-1]).all(axis=2)
+                rows = np.flatnonzero(good.any(axis=1))
+                pick = good[rows].argmax(axis=1)
+                flat = at[rows, pick]
+                fresh = np.zeros(flat.size, bool)
+                fresh[np.unique(flat.ravel(), return_index=True)[1]] = True
+                keep = fresh.reshape(flat.shape).all(axis=1)
+                rows, pick, flat = rows[keep], pick[keep], flat[keep]
+                seeds[left[rows]] = tries[pick]
+                placed[flat.ravel()] = members[rows].ravel()
+                free[flat.ravel()] = False
                 stay = np.ones(len(left), bool)
                 stay[rows] = False
                 left, members = left[stay], members[stay]
+                if not len(rows) or len(tries) == 1:
+                    seed += len(tries)
         return cls(seeds, placed)
 
     @staticmethod
@@ -226,12 +304,12 @@ class Tally:
             self.keys, self.counts, self.later, self.held = keys, counts, [], 0
 
 
-def distinct(pieces: Pieces, own: np.ndarray) -> np.ndarray | None:
-    """The distinct pairs of a document; None for one without tokens."""
-    used = np.unique(own)
-    if not len(used) or any(pieces.n_a[i] < 0 for i in used.tolist()):
-        return None
-    return np.unique(np.concatenate([pieces.pairs[i] for i in used.tolist()]))
+def used_pieces(pieces: Pieces, own: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, piece and how often, for each distinct piece of each text that is given back as a whole; by text."""
+    keys, often = np.unique(text << 40 | own, return_counts=True)
+    text, own = keys >> 40, keys & ((1 << 40) - 1)
+    fine = ~np.isin(text, text[pieces.bad[own]])
+    return text[fine], own[fine], often[fine]
 
 
 PARTS = "chunk int, shard int, keys array<long>, counts array<long>"
@@ -241,14 +319,15 @@ def chunk_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """PARTS: the distinct pairs of each chunk (chunk, text) by shards, with the number of the chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, tallies = Pieces(*paths), {}
+        pieces, tallies = pieces_of(paths), {}
         for batch in batches:
-            chunks = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 64):
-                for c, own in zip(chunks[a : a + 64], pieces.documents(texts[a : a + 64]), strict=True):
-                    if (keys := distinct(pieces, own)) is not None:
-                        tallies.setdefault(c, Tally()).add(keys)
+            chunks, texts = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_pylist()
+            for a in range(0, len(texts), STEP):
+                text, own, _ = used_pieces(pieces, *pieces.documents(texts[a : a + STEP]))
+                keys = np.unique(np.repeat(text, pieces.size[own]) << 48 | pieces.pairs[spread(pieces.first[own], pieces.size[own])])
+                chunk = chunks[a : a + STEP][keys >> 48]
+                for c in np.unique(chunk).tolist():
+                    tallies.setdefault(c, Tally()).add(keys[chunk == c] & PAIR)
         for c, tally in tallies.items():
             tally.settle()
             shard = shard_of(tally.keys)
@@ -311,7 +390,7 @@ def totals(parts: DataFrame, hashes: DataFrame, branches: int) -> DataFrame:
         for b in batches:
             flags = []
             for keys, counts in zip(b["keys"], b["counts"], strict=True):
-                c, (_, own) = np.frombuffer(counts, np.int64), np.unique(np.frombuffer(keys, np.int64) >> 32, return_inverse=True)
+                c, (_, own) = np.frombuffer(counts, np.int64), np.unique(np.frombuffer(keys, np.int64) >> 24, return_inverse=True)
                 top = np.zeros(own.max() + 1, np.int64)
                 np.maximum.at(top, own, c)
                 flags.append((c == top[own]).tobytes())
@@ -353,7 +432,7 @@ def align(df: DataFrame, bytes_path: str, pieces_path: str, key: str = "doc_id",
     found = looked_up(parts, tables, branches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, at, held = Pieces(*paths), None, None
+        pieces, at, held = pieces_of(paths), None, None
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
         def table(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -361,20 +440,24 @@ def align(df: DataFrame, bytes_path: str, pieces_path: str, key: str = "doc_id",
             turn = np.argsort(keys)
             return keys[turn], counts[turn], best[turn]
 
-        def about(own: np.ndarray, totals_of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
-            used, often = np.unique(own, return_counts=True)
-            ids = used.tolist()
-            if not ids or any(pieces.n_a[i] < 0 for i in ids):
-                return 0, 0, 0, 0, 0, 0, ""
-            keys = np.concatenate([pieces.pairs[i] for i in ids])
-            times = np.concatenate([pieces.times[i] * m for i, m in zip(ids, often.tolist(), strict=True)])
+        def about(texts: list[str | None], totals_of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple]:
+            numbers, of = pieces.documents(texts)
+            text, own, often = used_pieces(pieces, numbers, of)
+            out = np.zeros((6, len(texts)), np.int64)
+            for row, x in zip(out, (pieces.n_a, pieces.n_b, pieces.n_groups, pieces.n_links), strict=False):
+                np.add.at(row, text, x[own] * often)
+            size = pieces.size[own]
+            at = spread(pieces.first[own], size)
+            keys, times, of_pair = pieces.pairs[at], pieces.times[at] * np.repeat(often, size), np.repeat(text, size)
             all_keys, counts, best = totals_of
             place = np.searchsorted(all_keys, keys)
-            if (all_keys[place] != keys).any():
+            if len(keys) and (not len(all_keys) or (all_keys[np.minimum(place, len(all_keys) - 1)] != keys).any()):
                 raise ValueError("a pair of a document is missing from its chunk")
-            sums = [sum(x[i] * m for i, m in zip(ids, often.tolist(), strict=True)) for x in (pieces.n_a, pieces.n_b, pieces.n_groups, pieces.n_links)]
-            sha = hashlib.sha256(";".join([pieces.groups[i] for i in own.tolist()]).encode()).hexdigest()
-            return *sums, int(times[best[place]].sum()), int((times * counts[place]).sum()), sha
+            np.add.at(out[4], of_pair, times * best[place])
+            np.add.at(out[5], of_pair, times * counts[place])
+            ids, bounds = numbers.tolist(), np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+            sha = [hashlib.sha256(";".join([pieces.groups[i] for i in ids[x:y]]).encode()).hexdigest() if n else "" for x, y, n in zip(bounds, bounds[1:], out[0].tolist(), strict=False)]
+            return list(zip(*out.tolist(), sha, strict=True))
 
         waiting: list[tuple] = []
         for batch in batches:
@@ -391,9 +474,9 @@ def align(df: DataFrame, bytes_path: str, pieces_path: str, key: str = "doc_id",
                 if held is None:
                     held, waiting = table(waiting), []
                 b = a
-                while b < len(chunk) and b < a + 64 and chunk[b] == at:
+                while b < len(chunk) and b < a + STEP and chunk[b] == at:
                     b += 1
-                out += [about(own, held) for own in pieces.documents(texts[a:b])]
+                out += about(texts[a:b], held)
                 kept += range(a, b)
                 a = b
             if kept:

@@ -70,22 +70,27 @@ ODD = [
 ]
 
 
-def test_pieces_give_what_whole_texts_give(plain):
+@pytest.mark.parametrize("wide", [1024, 1])
+def test_pieces_give_what_whole_texts_give(plain, monkeypatch, wide):
+    monkeypatch.setattr(alignment, "WIDE", wide)
+    monkeypatch.setattr(alignment, "CHARS", 200)
     pieces = alignment.Pieces(*PATHS)
     rng = np.random.default_rng(5)
     signs = list("ab z.,'!?<>  \n\té▁日🙂1") + ["the ", "  ", " don't", "ing "]
     texts = ODD + ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(800)]
-    for text, own in zip(texts, pieces.documents(texts), strict=True):
-        want = plain.groups(text)
-        ids = own.tolist()
+    numbers, of = pieces.documents(texts)
+    for i, text in enumerate(texts):
+        want, ids = plain.groups(text), numbers[of == i]
         if not want:
-            assert not ids or any(pieces.n_a[i] < 0 for i in ids), text
+            assert not len(ids) or pieces.bad[ids].any(), text
             continue
-        assert ";".join(pieces.groups[i] for i in ids) == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want), text
+        assert ";".join(pieces.groups[i] for i in ids.tolist()) == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want), text
         links = Counter()
-        for i in ids:
-            links.update(dict(zip(pieces.pairs[i].tolist(), pieces.times[i].tolist(), strict=True)))
-        assert links == Counter(i << 32 | j for a, b in want for i in a for j in b), text
+        for i in ids.tolist():
+            part = slice(pieces.first[i], pieces.first[i] + pieces.size[i])
+            links.update(dict(zip(pieces.pairs[part].tolist(), pieces.times[part].tolist(), strict=True)))
+        assert links == Counter(i << 24 | j for a, b in want for i in a for j in b), text
+        assert (pieces.n_a[ids].sum(), pieces.n_b[ids].sum(), pieces.n_groups[ids].sum(), pieces.n_links[ids].sum()) == (sum(len(a) for a, _ in want), sum(len(b) for _, b in want), len(want), sum(len(a) * len(b) for a, b in want))
 
 
 def test_pieces_are_forgotten(monkeypatch):
