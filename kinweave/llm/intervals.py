@@ -39,16 +39,17 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead[: max(0, n - j)] = symbols[j:]
         key = (key << 9) | np.where(alive, ahead, 0)
         alive &= ahead != 0
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
+    ends = np.flatnonzero(~alive[order])  # suffixes with their terminator in the key: equal ones go by text
+    order[ends] = order[ends][np.lexsort((order[ends], sorted_key[ends]))]
     head = np.ones(n + 1, bool)
     head[1:n] = (sorted_key[1:] != sorted_key[:-1]) | ~alive[order[1:]]
     common = np.full(n, WIDTH, np.int32)
     differ = sorted_key[1:] ^ sorted_key[:-1]
     for j in range(WIDTH - 1, -1, -1):
         common[1:][(differ >> (9 * (WIDTH - 1 - j))) != 0] = j
-    ends = np.flatnonzero(~alive[order])  # terminators differ: two suffixes share what is before the nearer one
-    if len(ends):
+    if len(ends):  # terminators differ: two suffixes share what is before the nearer one
         left = np.zeros(n, np.int64)
         for j in range(WIDTH):
             left[ends] += (sorted_key[ends] >> (9 * (WIDTH - 1 - j)) & 511) != 0
@@ -60,7 +61,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while len(open_):
         at = order[open_]
         key = (rank[at] << 32) | rank[at + width]
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         at, key = at[turn], key[turn]
         order[open_] = at
         head[open_[1:]] |= key[1:] != key[:-1]
@@ -101,16 +102,16 @@ def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: in
     common[0] = common[n] = 0
     cuts = np.flatnonzero(common[:n] == done - 1)
     cuts = cuts[cuts > 0]
-    heads = np.union1d(np.flatnonzero((common[:n] >= 0) & (common[:n] < done - 1)), [0])
-    ends, right = np.append(heads[1:], n) - 1, np.zeros(n, np.int64)
-    begin = heads[ends > heads]
-    right[heads] = ends
+    bounds = np.union1d(np.flatnonzero((common[:n] >= 0) & (common[:n] < done - 1)), [0])
+    right, fresh = np.zeros(n, np.int64), np.zeros(0, np.int64)  # where the interval that begins there ends; bounds not merged yet
+    right[bounds] = np.append(bounds[1:], n) - 1
     for length in range(done, least + 1):
         if not len(cuts):
             break
-        own = np.searchsorted(begin, cuts, "right") - 1
-        touched = np.unique(own)
-        heads = begin[touched]
+        heads = bounds[np.searchsorted(bounds, cuts) - 1]
+        if len(fresh):
+            heads = np.maximum(heads, np.where(cuts > fresh[0], fresh[np.searchsorted(fresh, cuts) - 1], 0))
+        heads = np.unique(heads)
         parts = np.sort(np.concatenate([heads, cuts]), kind="stable")
         of = np.searchsorted(heads, parts, "right") - 1
         ends = np.empty(len(parts), np.int64)
@@ -131,13 +132,14 @@ def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: in
             found = np.concatenate([to[lower], to[upper] + 1])
             found = np.unique(found[common[found] == -1])
             common[found] = length
-        keep = np.ones(len(begin), bool)
-        keep[touched] = False
-        many = sizes > 1
-        right[parts[many]] = ends[many]
-        begin = np.sort(np.concatenate([begin[keep], parts[many]]), kind="stable")
+        right[parts] = ends
+        fresh = np.sort(np.concatenate([fresh, cuts]), kind="stable")
+        if len(fresh) > 4096 + len(bounds) // 8:
+            bounds, fresh = np.sort(np.concatenate([bounds, fresh]), kind="stable"), fresh[:0]
         if length < least:
             cuts = found
+    bounds = np.sort(np.concatenate([bounds, fresh]), kind="stable")
+    begin = bounds[right[bounds] > bounds]
     return begin, right[begin], common[:n]
 
 

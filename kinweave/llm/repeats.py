@@ -128,32 +128,15 @@ def whole(column: pa.Array) -> list[bytes]:
     return [x.as_py() if x.is_valid else b"" for x in column.cast(pa.binary())]
 
 
-def anchor_counts(docs: DataFrame, least: int) -> DataFrame:
-    """(anchor) of every anchor that occurs more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, anchor, _, _ in runs_of(whole(batch.column(0)), least):
-                values, times = np.unique(anchor, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times)], names=["anchor", "times"])
-
-    found = short_batches(docs).select("text").mapInArrow(run, "anchor long, times long")
-    return found.groupBy("anchor").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor")
-
-
 def all_runs(docs: DataFrame, least: int) -> DataFrame:
-    """(t1, t2, anchor, place, c1, c2) of every run of every distinct text; a text that comes again in a task is skipped."""
+    """(t1, t2, anchor, place, c1, c2) of every run of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            fresh = [i for i, t in enumerate(names) if not (t in seen or seen.add(t))]
-            texts = whole(batch.column(2).take(pa.array(fresh, pa.int64())))
-            own = np.array([names[i] for i in fresh], np.int64).reshape(-1, 2)
-            for text, place, anchor, ends, raw in runs_of(texts, least):
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for text, place, anchor, ends, raw in runs_of(whole(batch.column(2)), least):
                 c1, c2 = name_of([raw[a:b] for a, b in ends.T.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[text, 0], own[text, 1], anchor, place, c1, c2)], names=["t1", "t2", "anchor", "place", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[text], t2[text], anchor, place, c1, c2)], names=["t1", "t2", "anchor", "place", "c1", "c2"])
 
     return short_batches(docs).select("t1", "t2", "text").mapInArrow(run, f"t1 long, t2 long, {RUN}")
 
@@ -288,7 +271,9 @@ def spans(df: DataFrame, text: str = "text", least: int = 400, most: int = MOST,
     docs = df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= least)
     docs = docs.select(*two_hashes(F.col("text")), "text")
     copies = docs.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
-    live = all_runs(docs, least).join(stored(anchor_counts(docs, least), "anchors"), "anchor")
+    runs = stored(all_runs(docs, least), "all")
+    often = stored(runs.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
+    live = runs.join(often, "anchor")
     live = stored(live.dropDuplicates(["t1", "t2", "place"]).join(copies, ["t1", "t2"]), "runs")
     contents = live.groupBy(F.col("anchor").alias("grp"), "c1", "c2").agg(F.sum("copies").alias("weight"), F.min(F.struct("t1", "t2", "place")).alias("r"))
     sized = stored(with_size(stored(contents, "contents"), most), "sized")
