@@ -1,23 +1,19 @@
 """Assignment of faces to persons in two ordered passes.
 
 A candidate's decision depends on the faces within the distance and on whom these belong to by then. Faces that already
-have a person never change, so only candidates that are neighbours of each other need to be decided together and in
-order: the connected components of the candidates' neighbour graph. Each is one group of a grouped map; its rows hold
-their own neighbours, so the whole table is never in one place. A component that spans most candidates is decided by
-one task, which the semantics ask for; `component_sizes` shows this beforehand."""
+have a person never change, so a candidate depends on earlier candidates among its neighbours alone, and in the second
+pass on what the first decided. That is a graph without circles; it is worked off in rounds of joins over the table of
+neighbours, each written to the shared folder, and no list of neighbours and no component is ever in one place."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
 from ..sources.store import Store, stored
-from .graph import components
 from .neighbours import eps_pairs
 from .relational import orphan_rows, with_sets
 
@@ -36,83 +32,100 @@ def face_input(faces: DataFrame, assets: DataFrame, sources: DataFrame, embeddin
     return rows.select("id", F.struct("source_path", "absolute_path", "face_index").alias("sort_key"), "person", "excluded", "vector")
 
 
-def candidates(faces: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row for each face without a person: its order, exclusions, and its neighbours by distance.
+def with_edges(faces: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the faces without a person, with `ban`, their excluded persons or null; and a row for each of their
+    neighbours: its place `at` (distance, key, id), its person, and whether it is a candidate that comes before.
 
     faces: (id, sort_key, person, excluded); pairs: (query, neighbour, distance) over all faces, each with itself."""
-    near = faces.select(F.col("id").alias("neighbour"), F.col("sort_key").alias("near_key"), F.col("person").alias("near_person"))
-    listed = F.array_sort(F.collect_list(F.struct("distance", "near_key", F.col("neighbour").alias("id"), F.col("near_person").alias("person"))))
-    lists = pairs.join(near, "neighbour").groupBy("query").agg(listed.alias("near"))
-    return faces.filter("person IS NULL").join(lists, faces["id"] == lists["query"], "left").select("id", "sort_key", "excluded", "near")
-
-
-def with_components(rows: DataFrame) -> DataFrame:
-    """rows with the component of the graph that neighbouring candidates make."""
-    links = rows.select(F.col("id").alias("a"), F.explode("near").alias("n")).filter("n.person IS NULL").select("a", F.col("n.id").alias("b"))
-    return rows.join(components(links), rows["id"] == F.col("node"), "left").withColumn("component", F.coalesce("root", F.col("id").cast("string"))).drop("node", "root")
-
-
-def component_sizes(rows: DataFrame) -> DataFrame:
-    return with_components(rows).groupBy("component").agg(F.count("*").alias("faces"))
-
-
-def fold(rows: Iterable[tuple], faces: int, wanted: int, two_passes: bool) -> list[tuple]:
-    """Decisions (id, decision, person, new, deferred, evidence) of the candidates (id, excluded, near) of a component in
-    their order. near: (distance, id, person) by distance."""
-    rows = list(rows)
-    owner: dict[object, str] = {}
-    out: dict[object, list] = {}
-
-    def person_of(near: tuple) -> str | None:
-        return near[2] if near[2] is not None else owner.get(near[1])
-
-    def decide(face: object, excluded: set, near: list[tuple], last: bool) -> tuple[str, str | None, bool, list]:
-        allowed = [n for n in near if person_of(n) is None or person_of(n) not in excluded]
-        found = allowed[:wanted]
-        if faces > 1 and len(found) <= 1:
-            return "skipped", None, False, found
-        core = len(found) >= faces
-        if not core and not last:
-            return "deferred", None, False, found
-        chosen = next((p for n in [*found, *allowed] if (p := person_of(n)) is not None), None)
-        if chosen is not None:
-            return "assigned", chosen, False, found
-        if excluded:
-            return ("skipped" if last else "deferred"), None, False, found
-        return ("assigned", f"new:{face}", True, found) if core else ("skipped", None, False, found)
-
-    late = []
-    for face, excluded, near in rows:
-        got = decide(face, set(excluded), near, False)
-        if got[0] == "deferred":
-            late.append((face, excluded, near))
-            got = ("skipped", None, False, [])
-        elif got[1] is not None:
-            owner[face] = got[1]
-        out[face] = [*got, False]
-    for face, excluded, near in late:
-        got = decide(face, set(excluded), near, True) if two_passes else ("skipped", None, False, [])
-        if got[1] is not None:
-            owner[face] = got[1]
-        out[face] = [*got, True]
-    return [(f, d, p, new, was, json.dumps([[n[1], round(n[0], 6)] for n in ev], default=str)) for f, (d, p, new, ev, was) in out.items()]
+    ban = F.when(F.size("excluded") > 0, F.col("excluded"))
+    nodes = stored(faces.filter("person IS NULL").select("id", "sort_key", ban.alias("ban")))
+    near = faces.select(F.col("id").alias("n"), F.col("sort_key").alias("near_key"), F.col("person").alias("has"))
+    own = pairs.join(nodes, pairs["query"] == nodes["id"]).join(near, F.col("neighbour") == F.col("n"))
+    before = F.col("has").isNull() & (F.struct("near_key", "n") < F.struct("sort_key", "id"))
+    return nodes, stored(own.select("id", "n", F.struct("distance", "near_key", "n").alias("at"), "has", "ban", before.alias("before")))
+
+
+def first_few(edges: DataFrame, wanted: int) -> DataFrame:
+    """(id, found): of each face the first `wanted` of these neighbours, as structs (id, distance)."""
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("at"))
+    few = edges.select("id", "at", nth.alias("nth")).filter(F.col("nth") <= wanted)
+    return few.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: F.struct(x["n"].alias("face"), F.format_string("%.6f", x["distance"]).alias("distance"))).alias("found"))
+
+
+def settled(nodes: DataFrame, edges: DataFrame, faces: int, wanted: int, last: bool) -> DataFrame:
+    """nodes (id, ban, early, person, points, is_new, found) with `early`, or in the last pass `late`, decided for all.
+
+    In each round a candidate is decided once every earlier neighbour that could change its decision is; the first open
+    one always is. One without excluded persons knows from the number of its neighbours whether it will be assigned, and
+    joins the person of its first neighbour that is assigned by then, so it only points to that one, and pointers are
+    followed in doubling steps. One with excluded persons waits until its earlier neighbours' persons are known."""
+    own = "late" if last else "early"
+    opened = F.col(own).isNull() | ((F.col(own) == "assigned") & F.col("person").isNull() & F.col("points").isNull())
+    pending = F.col("person").isNull() & F.col("points").isNotNull()
+    mine = (F.col("early") == "deferred") if last else F.lit(True)
+    state = nodes if last else nodes.withColumn("late", F.lit(None).cast("string"))
+    while True:
+        state = stored(state)
+        left = state.agg(F.count_if(mine & opened).alias("open"), F.count_if(pending).alias("pending")).first()
+        if not left["open"] and not left["pending"]:
+            return state
+        todo = state.filter(mine & opened).select("id")
+        other = state.select(F.col("id").alias("n"), "early", "late", "person", "points")
+        rows = edges.join(todo, "id", "left_semi").join(other, "n", "left")
+        given = F.col("early") == "assigned"
+        if last:
+            owned = F.col("has").isNotNull() | given | (F.col("before") & (F.col("late") == "assigned"))
+            unknown = F.col("before") & (F.col("early") == "deferred") & F.col("late").isNull()
+        else:
+            owned, unknown = F.col("has").isNotNull() | (F.col("before") & given), F.col("before") & F.col("early").isNull()
+        owned, unknown = F.coalesce(owned, F.lit(False)), F.coalesce(unknown, F.lit(False))
+        who = F.when(owned, F.coalesce("has", "person"))
+        waits = unknown | (F.col("ban").isNotNull() & owned & who.isNull())
+        allowed = F.coalesce(~F.array_contains("ban", who), F.lit(True))
+        marked = rows.select("id", "n", "at", "ban", owned.alias("owned"), waits.alias("waits"), who.alias("who"), allowed.alias("allowed"), F.when(who.isNull(), F.coalesce("points", "n")).alias("next"))
+        first = lambda c: F.min(F.when(c, F.struct("at", "who", "next")))
+        sums = marked.groupBy("id").agg(F.count_if("allowed").alias("n"), first(F.col("owned") & F.col("allowed")).alias("chosen"), first(F.col("waits")).alias("waits"))
+        free = F.col("ban").isNull()
+        few = first_few(marked.filter(F.col("ban").isNotNull() & F.col("allowed")), wanted).withColumnRenamed("found", "few")
+        both = state.join(todo.join(sums, "id", "left").join(few, "id", "left").withColumn("todo", F.lit(True)), "id", "left")
+        ready = F.coalesce(F.col("todo"), F.lit(False)) & (F.col("waits").isNull() | (free & (F.col("chosen.at") < F.col("waits.at"))))
+        n = F.least(F.coalesce("n", F.lit(0)), F.lit(wanted))
+        core, none, some = n >= faces, F.col("chosen").isNull(), F.col("chosen").isNotNull()
+        verdict = F.when(F.lit(faces > 1) & (n <= 1), "skipped").when(~core & F.lit(not last), "deferred").when(some, "assigned").when(~free, "skipped" if last else "deferred").when(core, "assigned").otherwise("skipped")
+        founder = ready & (verdict == "assigned") & none
+        joins = ready & (verdict == "assigned") & some
+        to = state.filter(F.col("person").isNotNull() | F.col("points").isNotNull()).select(F.col("id").alias("to"), F.col("person").alias("to_person"), F.col("points").alias("to_points"))
+        decided = both.select(
+            "id", "ban",
+            *(F.when(ready, verdict).otherwise(F.col(c)).alias(c) if c == own else F.col(c) for c in ("early", "late")),
+            F.when(founder, F.concat(F.lit("new:"), F.col("id").cast("string"))).when(joins, F.col("chosen.who")).otherwise(F.col("person")).alias("person"),
+            F.when(joins & F.col("chosen.who").isNull(), F.col("chosen.next")).otherwise(F.col("points")).alias("points"),
+            (F.col("is_new") | F.coalesce(founder, F.lit(False))).alias("is_new"),
+            F.when(ready & ~free, F.coalesce("few", F.array().cast(state.schema["found"].dataType))).otherwise(F.col("found")).alias("found"),
+        )
+        step = decided.join(to, decided["points"] == to["to"], "left")
+        state = step.withColumn("person", F.coalesce("person", "to_person")).withColumn("points", F.when(F.col("person").isNull(), F.coalesce("to_points", "points"))).select(*state.columns)
 
 
 def assign(faces: DataFrame, pairs: DataFrame, min_faces: int = FACES, num_results: int = NEIGHBOURS, two_passes: bool = True, run_id: str = "run") -> DataFrame:
     """(id, decision, person, is_new, was_deferred, evidence) of every candidate; a new person's id is made from the run
-    and its founder, so a retry gives it again."""
-    rows = with_components(candidates(faces, pairs))
-    kind = faces.schema["id"].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(sort_key=[tuple(k.values()) if isinstance(k, dict) else k for k in part["sort_key"]]).sort_values(["sort_key", "id"])
-        near = [[(n["distance"], n["id"], n["person"]) for n in (x if x is not None else [])] for x in part["near"]]
-        got = fold(zip(part["id"].tolist(), [x if x is not None else [] for x in part["excluded"]], near, strict=True), min_faces, num_results, two_passes)
-        return pd.DataFrame(got, columns=["id", "decision", "person", "is_new", "was_deferred", "evidence"])
-
-    decided = rows.groupBy("component").applyInPandas(run, f"id {kind}, decision string, person string, is_new boolean, was_deferred boolean, evidence string")
+    and its founder, so a retry gives it again. Evidence is the neighbours that counted, as JSON."""
+    nodes, edges = with_edges(faces, pairs)
+    counts = edges.groupBy("id").agg(F.count("*").alias("n"))
+    few = first_few(edges.filter("ban IS NULL"), num_results)
+    n = F.least(F.coalesce("n", F.lit(0)), F.lit(num_results))
+    early = F.when(F.lit(min_faces > 1) & (n <= 1), "skipped").when(n >= min_faces, "assigned").otherwise("deferred")
+    text = F.lit(None).cast("string")
+    empty = F.array().cast(few.schema["found"].dataType)
+    start = nodes.join(counts, "id", "left").join(few, "id", "left").select(
+        "id", "ban", F.when(F.col("ban").isNull(), early).alias("early"), text.alias("late"), text.alias("person"),
+        F.lit(None).cast(faces.schema["id"].dataType).alias("points"), F.lit(False).alias("is_new"), F.coalesce("found", empty).alias("found"),
+    )
+    first = settled(start, edges, min_faces, num_results, False)
+    deferred = F.col("early") == "deferred"
+    done = settled(first, edges, min_faces, num_results, True) if two_passes else first.withColumn("late", F.when(deferred, "skipped")).withColumn("found", F.when(deferred, empty).otherwise(F.col("found")))
     made = F.when(F.col("person").startswith("new:"), stable_id(F.lit(run_id), F.substring(F.col("person"), F.lit(5), F.length("person")))).otherwise(F.col("person"))
-    return decided.withColumn("person", made)
+    return done.select("id", F.coalesce("late", "early").alias("decision"), made.alias("person"), "is_new", deferred.alias("was_deferred"), F.to_json("found").alias("evidence"))
 
 
 def run_counts(decisions: DataFrame) -> DataFrame:
@@ -166,7 +179,7 @@ def run(store: Store, session: int, distance: float = DISTANCE, dimension: int =
         if bad:
             raise ValueError(f"face {bad[0]['id']} has no vector of {dimension} numbers")
         orphans = orphan_rows(embeddings.select(F.col("face_id").alias("id")), faces, "id").count()
-        decided = stored(assign(loaded.drop("vector"), stored(eps_pairs(loaded, loaded, distance)), run_id=f"run-{number}", **params))
+        decided = stored(assign(loaded.drop("vector"), stored(eps_pairs(loaded.filter("person IS NULL"), loaded, distance)), run_id=f"run-{number}", **params))
         assignments, persons = committed(decided, store.read("assignments"), store.read("persons"), number)
         counts = run_counts(decided).first().asDict()
         store.commit({"assignments": assignments, "persons": persons, "assignment_runs": with_row(status="completed", orphan_embeddings=orphans, **counts)})

@@ -1,9 +1,11 @@
+import json
+
 import numpy as np
 import pytest
 
 from kinweave.operators import assignment, neighbours
 from kinweave.schemas import TABLES
-from kinweave.sources.store import Store
+from kinweave.sources.store import Store, stored
 
 
 def naive(faces, distance, wanted=3, least=3, two_passes=True):
@@ -125,8 +127,83 @@ def test_run_over_a_store(spark, tmp_path):
     assert (last["id"], last["status"]) == (3, "failed") and "no vector" in last["failure_reason"] and store.read("assignments").count() == 3
 
 
-def test_component_sizes(spark):
-    faces = make(3, 30)
-    df = spark.createDataFrame(faces, "id long, sort_key string, person string, excluded array<string>, vector array<double>")
-    sizes = assignment.component_sizes(assignment.candidates(df.drop("vector"), neighbours.eps_pairs(df, df, 0.15)))
-    assert sizes.agg({"faces": "sum"}).first()[0] == sum(f["person"] is None for f in faces)
+def folded(rows, faces=3, wanted=3):
+    """Decisions (decision, person, new, deferred, evidence) of (id, excluded, near) in order; near: (distance, id, person)."""
+    owner, out, late = {}, {}, []
+
+    def decide(face, excluded, near, last):
+        person = lambda x: x[2] if x[2] is not None else owner.get(x[1])
+        allowed = [x for x in near if person(x) is None or person(x) not in excluded]
+        found = allowed[:wanted]
+        if faces > 1 and len(found) <= 1:
+            return "skipped", None, False, found
+        if len(found) < faces and not last:
+            return "deferred", None, False, found
+        chosen = next((person(x) for x in allowed if person(x) is not None), None)
+        if chosen is not None:
+            return "assigned", chosen, False, found
+        if excluded:
+            return ("skipped" if last else "deferred"), None, False, found
+        return ("assigned", f"new:{face}", True, found) if len(found) >= faces else ("skipped", None, False, found)
+
+    for last in (False, True):
+        for face, excluded, near in late if last else rows:
+            got = decide(face, excluded, near, last)
+            if got[0] == "deferred":
+                late.append((face, excluded, near))
+                continue
+            if got[1] is not None:
+                owner[face] = got[1]
+            out[face] = (*got[:3], last, [(i, f"{d:.6f}") for d, i, _ in got[3]])
+    return out
+
+
+def in_rounds(spark, faces, pairs, **more):
+    df = spark.createDataFrame(faces, "id long, sort_key string, person string, excluded array<string>")
+    edges = spark.createDataFrame(pairs, "query long, neighbour long, distance double")
+    got = assignment.assign(df, edges, **more).collect()
+    return {r["id"]: (r["decision"], r["person"], r["is_new"], r["was_deferred"], [(e["face"], e["distance"]) for e in json.loads(r["evidence"])]) for r in got}
+
+
+def expected(people, pairs, **more):
+    about = {f[0]: f for f in people}
+    near = {f[0]: [] for f in people}
+    for q, n, d in pairs:
+        near[q].append((d, about[n][1], n, about[n][2]))
+    rows = [(f[0], set(f[3]), [(d, n, p) for d, _, n, p in sorted(near[f[0]])]) for f in sorted(people, key=lambda f: (f[1], f[0])) if f[2] is None]
+    return folded(rows, **more)
+
+
+def agree(got, want):
+    names = {}
+    assert set(got) == set(want)
+    for i, (decision, person, new, deferred, evidence) in want.items():
+        assert (got[i][0], *got[i][2:]) == (decision, new, deferred, evidence), i
+        if person is not None and person.startswith("new:"):
+            assert names.setdefault(person, got[i][1]) == got[i][1] and len(got[i][1]) == 32
+        else:
+            assert got[i][1] == person
+    assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize(("seed", "faces", "degree", "banned"), [(1, 3, 4, 0.3), (2, 5, 6, 0.6), (3, 1, 2, 0.2), (4, 4, 9, 0.0)])
+def test_rounds_equal_the_fold_on_random_graphs(spark, seed, faces, degree, banned):
+    rng = np.random.default_rng(seed)
+    n = 120
+    rows = [(i, f"{rng.integers(40):03d}", f"p{rng.integers(4)}" if rng.random() < 0.15 else None, [f"p{k}" for k in range(4) if rng.random() < 0.4] if rng.random() < banned else []) for i in range(n)]
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (n * degree // 2, 2)) if a != b}
+    pairs = [(i, i, 0.0) for i in range(n) if i % 17]
+    for a, b in links:
+        d = float(rng.integers(1, 9)) / 8
+        pairs += [(a, b, d)] if (b, a) in links else [(a, b, d), (b, a, d)]
+    agree(in_rounds(spark, rows, pairs, min_faces=faces, num_results=max(3, faces)), expected(rows, pairs, faces=faces, wanted=max(3, faces)))
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    n, written = 100_000, []
+    monkeypatch.setattr(assignment, "stored", lambda df: written.append(1) or stored(df))
+    rows = [(i, f"{i:06d}", None, ["p1"] if i in (500, 501) else []) for i in range(n)]
+    pairs = [(i, j, 0.1 * abs(i - j)) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]
+    got = in_rounds(spark, rows, pairs)
+    agree(got, expected(rows, pairs))
+    assert len(written) < 40 and len({v[1] for v in got.values()}) < 10
