@@ -59,6 +59,22 @@ def batches(rows: DataFrame, order: list[str], size: int, label: str = "batch")
     return ranked(rows, order, name="_rank").withColumn(f"{label}_index", (F.floor(at / size) + 1).cast("long")).withColumn("item_index", (at % size + 1).cast("long")).drop("_rank")
 
 
+def contained(sets: DataFrame, rows: DataFrame, key: str, group: str, member: str) -> DataFrame:
+    """(key, group, members) for every set (key, member) and every group of rows (group, member) that has all its members.
+
+    A set meets only the groups that have its rarest member, and is then compared as an array with all that they have; so
+    what is joined is bounded by the groups of rare members, not by sets times groups. A set whose member no row has, and
+    null members, meet nothing."""
+    own = rows.select(group, member).filter(F.col(member).isNotNull()).distinct()
+    often = own.groupBy(member).agg(F.count("*").alias("often"))
+    named = sets.select(key, member).distinct().join(often, member, "left")
+    rare = named.groupBy(key).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col(member).alias("member"))).alias("rare"), F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
+    rare = rare.filter((F.col("rare.often") > 0) & (F.size("members") == F.col("n"))).select(key, "members", F.col("rare.member").alias(member))
+    has = own.groupBy(group).agg(F.collect_list(member).alias("has"))
+    found = own.join(rare, member).select(group, key, "members").join(has, group)
+    return found.filter(F.size(F.array_except("members", "has")) == 0).select(key, group, "members")
+
+
 def in_nested(rows: DataFrame, key: str, *levels: tuple[DataFrame, str, str | None]) -> DataFrame:
     """Rows whose key is one of the first level's (table, key, pointer) with a pointer among the next level's keys, and
     so on; the last level has no pointer. A chain of semi joins."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import area
-from ..operators.relational import ranked
+from ..operators.relational import contained, ranked
+from ..sources.store import stored
 
 #: A face counts beside the chosen people if it is at least this share of the smallest of their largest faces.
 SHARE = 0.25
@@ -32,6 +33,19 @@ def bucketed(faces: DataFrame, chosen: DataFrame, n_chosen: int, share: float =
     return rows.filter(F.col("n") == n_chosen).select("asset_id", bucket.alias("bucket"), threshold.alias("threshold"))
 
 
+def bucketed_for_all(faces: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
+    """(template_id, asset_id, bucket, threshold) of `bucketed` for every template (template_id, person) in one pass: assets
+    are found by a containment join, and each carries its people's largest faces, as many as there are people on it."""
+    tops = faces.groupBy("asset_id", "person").agg(F.max("area").alias("top"))
+    by_asset = tops.groupBy("asset_id").agg(F.collect_list(F.struct("person", "top")).alias("tops"))
+    pairs = contained(templates, faces.filter("person IS NOT NULL"), "template_id", "asset_id", "person")
+    chosen = lambda x: F.coalesce(F.array_contains("members", x["person"]), F.lit(False))
+    least = F.array_min(F.transform(F.filter("tops", chosen), lambda x: x["top"]))
+    other = F.array_max(F.transform(F.filter("tops", lambda x: ~chosen(x)), lambda x: x["top"]))
+    rows = pairs.join(by_asset, "asset_id").select("template_id", "asset_id", (least * share).alias("threshold"), other.alias("other"))
+    return rows.select("template_id", "asset_id", F.when(F.coalesce(F.col("other") >= F.col("threshold"), F.lit(False)), "group").otherwise("only").alias("bucket"), "threshold")
+
+
 def face_rows(faces: DataFrame, assignments: DataFrame) -> DataFrame:
     """(asset_id, face_id, person, assignment_id, area) of every face with its active owner, null without one."""
     owners = assignments.filter("active").select("face_id", F.col("person_id").alias("person"), F.col("id").alias("assignment_id"))
@@ -63,50 +77,17 @@ def month_listing(rows: DataFrame) -> DataFrame:
     return ranked(rows, ["file_name", "asset_id"], ("month", "bucket"), "place").select("month", "bucket", "place", "asset_id", "file_name")
 
 
-def renamed(name: str, label: str, taken: set[str], seen_labels: set[str]) -> str:
-    """A name that is free: the name itself; with a label that is new for it the name with the label; else that with a number from 2."""
-    if name not in taken:
-        return name
-    dot = name.rfind(".")
-    stem, end = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-    plain = f"{stem}__{label}{end}"
-    if label not in seen_labels and plain not in taken:
-        return plain
-    n = 2
-    while f"{stem}__{label}-{n}{end}" in taken:
-        n += 1
-    return f"{stem}__{label}-{n}{end}"
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """Stem and ending of a file name; a leading dot begins no ending."""
+    end = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(end)), end
 
 
-def mov_name(mov: str | None, original: str, new: str) -> str | None:
+def mov_name(mov: Column, original: Column, new: Column) -> Column:
     """The paired MOV's name beside a renamed photo: the photo's new stem, its own ending, and a leading dot if it had one."""
-    if not mov:
-        return None
-    name = mov.rsplit("/", 1)[-1]
-    if new == original:
-        return name
-    dot, new_dot = name.rfind("."), new.rfind(".")
-    return ("." if name.startswith(".") else "") + (new[:new_dot] if new_dot > 0 else new) + (name[dot:] if dot > 0 else "")
-
-
-def plan_names(rows: Iterable[tuple], known: Iterable[str]) -> list[tuple]:
-    """(asset_id, file_name, mov_name) of new assets (id, name, label, mov, planned) in the order of ids, in one folder
-    whose names are known. Assets planned already only tell their label."""
-    taken, labels, out = set(known), {}, []
-    for asset, name, label, mov, planned in sorted(rows):
-        seen = labels.setdefault(name, set())
-        if not planned:
-            new = renamed(name, label, taken, seen)
-            taken.add(new)
-            out.append((asset, new, mov_name(mov, name, new)))
-        seen.add(label)
-    return out
-
-
-def family(name: Column) -> Column:
-    """What names that can meet have in common: all before the first two underscores of the stem, and the ending."""
-    end = F.regexp_extract(name, r"^.+(\.[^.]*)$", 1)
-    return F.concat_ws("/", F.substring_index(F.substring(name, F.lit(1), F.length(name) - F.length(end)), "__", 1), end)
+    name = F.substring_index(mov, "/", -1)
+    dot = F.when(name.startswith("."), ".").otherwise("")
+    return F.when(F.length(mov) > 0, F.when(new == original, name).otherwise(F.concat(dot, name_parts(new)[0], name_parts(name)[1])))
 
 
 def labelled(assets: DataFrame, sources: DataFrame) -> DataFrame:
@@ -115,29 +96,62 @@ def labelled(assets: DataFrame, sources: DataFrame) -> DataFrame:
     return named.withColumn("source_label", F.coalesce("source_label", F.lit("unknown")))
 
 
+FOLDER = ["bucket", "month"]
+
+
+def free_numbers(tails: DataFrame, known: DataFrame) -> DataFrame:
+    """tails (FOLDER, prefix, ending, asset_id, c) with the c-th number from 2, counted from 0, that no known name has."""
+    key = [*FOLDER, "prefix", "ending"]
+    parts = known.select(*FOLDER, F.regexp_extract("file_name", r"^(.*-)([1-9][0-9]{0,17})((?:\.[^.]*)?)$", 1).alias("prefix"), F.regexp_extract("file_name", r"^(.*-)([1-9][0-9]{0,17})((?:\.[^.]*)?)$", 3).alias("ending"), F.regexp_extract("file_name", r"^(.*-)([1-9][0-9]{0,17})((?:\.[^.]*)?)$", 2).alias("number"))
+    numbers = parts.filter("prefix <> ''").withColumn("number", F.col("number").cast("long")).filter("number > 1").distinct()
+    # of a known number, how many free ones are before it; so many of a prefix are known before the c-th free one
+    before = F.col("number") - 1 - F.row_number().over(Window.partitionBy(*key).orderBy("number"))
+    rows = numbers.select(*key, before.alias("v"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("asset_id")).unionByName(tails.select(*key, F.col("c").alias("v"), F.lit(1).alias("asks"), "asset_id"))
+    passed = F.sum(1 - F.col("asks")).over(Window.partitionBy(*key).orderBy("v", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("number", 2 + F.col("v") + passed).filter("asks = 1").select("asset_id", *FOLDER, "number")
+
+
+def named_in_rounds(new: DataFrame, known: DataFrame) -> DataFrame:
+    """new (FOLDER, asset_id, file_name, source_label, seen) with `given`, as if names were given one after the other by asset.
+
+    An asset takes the first name of its own list that is free: its file name; with its label, unless the same name came
+    with that label before; then that with numbers from 2. All propose at once; of those that propose one name the smallest
+    asset keeps it for now, and the others and those that meet a known name go on to their next one, until none has to.
+    Of assets with one name and label each comes after the last one's number, so ranks say at once where they begin."""
+    stem, ending = name_parts(F.col("file_name"))
+    family = [*FOLDER, "file_name"]
+    first = F.row_number().over(Window.partitionBy(*family).orderBy("asset_id")) == 1
+    later = F.when(F.col("seen"), 2).otherwise(1)
+    state = new.select("*", F.concat(stem, F.lit("__"), "source_label").alias("labelled"), ending.alias("ending"), F.when(first, 0).otherwise(later).alias("step"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("moved"))
+    while True:
+        # a number each: after the number of the asset before
+        w = Window.partitionBy(*family, "source_label").orderBy("asset_id")
+        tails = state.filter("step = 2").withColumn("nth", F.row_number().over(w)).withColumn("c", F.col("nth") + F.max(F.col("c") - F.col("nth")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        tails = tails.withColumn("c", F.greatest("c", F.col("nth") - 1)).select("asset_id", *FOLDER, F.concat("labelled", F.lit("-")).alias("prefix"), "ending", "c")
+        tails = tails.join(free_numbers(tails, known), ["asset_id", *FOLDER]).select("asset_id", *FOLDER, F.col("c").alias("own_c"), "number")
+        rows = state.join(tails, ["asset_id", *FOLDER], "left").withColumn("c", F.coalesce("own_c", "c"))
+        given = F.when(F.col("step") == 0, F.col("file_name")).when(F.col("step") == 1, F.concat("labelled", "ending")).otherwise(F.concat("labelled", F.lit("-"), F.col("number").cast("string"), "ending"))
+        rows = rows.withColumn("given", given)
+        taken = known.select(*FOLDER, F.col("file_name").alias("given"), F.lit(True).alias("taken")).distinct()
+        rows = rows.join(taken, [*FOLDER, "given"], "left").withColumn("moved", F.coalesce("taken", F.lit(False)) | (F.min("asset_id").over(Window.partitionBy(*FOLDER, "given")) < F.col("asset_id")))
+        rows = stored(rows.select(*state.columns, "given"))
+        if rows.filter("moved").isEmpty():
+            return rows.select(*new.columns, "given")
+        on = F.col("moved")
+        state = rows.drop("given").withColumn("c", F.when(on & (F.col("step") == 2), F.col("c") + 1).otherwise(F.col("c"))).withColumn("step", F.when(on & (F.col("step") == 0), later).when(on, 2).otherwise(F.col("step")))
+
+
 def plan_additions(found: DataFrame, assets: DataFrame, sources: DataFrame, plan: DataFrame, template: str) -> DataFrame:
     """Rows for the plan of a template that it lacks: (template_id, asset_id, bucket, month, file_name, mov_file_name,
-    source_label). Rows of the plan stay as they are; names depend on those given before, so the names of one family in a
-    folder of bucket and month are given in one ordered pass; names of two families never meet, so the families of a folder
-    are dealt over an eighth as many passes as there are shuffle partitions."""
-    passes = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    dealt = F.pmod(F.xxhash64(family(F.col("file_name"))), F.lit(passes)).alias("dealt")
+    source_label). Rows of the plan stay as they are, and their assets only tell that their label came with their name."""
     own = plan.filter(F.col("template_id") == template)
     rows = found.join(labelled(assets, sources).select(F.col("id").alias("asset_id"), "source_label", "live_photo_mov_path"), "asset_id")
     rows = rows.join(own.select("asset_id", F.lit(True).alias("planned")), "asset_id", "left")
-    todo = rows.select("bucket", "month", "asset_id", "file_name", "source_label", "live_photo_mov_path", F.coalesce("planned", F.lit(False)).alias("planned"), dealt)
-    known = own.select("bucket", "month", "file_name", dealt)
-
-    def name(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        new = new.astype({"live_photo_mov_path": object}).where(new.notna(), None)
-        got = plan_names(zip(new["asset_id"], new["file_name"], new["source_label"], new["live_photo_mov_path"], new["planned"], strict=True), old["file_name"])
-        out = pd.DataFrame(got, columns=["asset_id", "file_name", "mov_file_name"])
-        kept = new[["asset_id", "bucket", "month", "source_label"]]
-        return out.merge(kept, on="asset_id")[["bucket", "month", "asset_id", "file_name", "mov_file_name", "source_label"]]
-
-    keys = ["bucket", "month", "dealt"]
-    named_rows = todo.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInPandas(name, "bucket string, month string, asset_id long, file_name string, mov_file_name string, source_label string")
-    return named_rows.withColumn("template_id", F.lit(template))
+    seen = F.row_number().over(Window.partitionBy(*FOLDER, "file_name", "source_label").orderBy("asset_id")) > 1
+    new = rows.withColumn("seen", seen).filter("planned IS NULL").select(*FOLDER, F.col("asset_id").cast("long").alias("asset_id"), "file_name", "source_label", "live_photo_mov_path", "seen")
+    done = named_in_rounds(new, stored(own.select(*FOLDER, "file_name")))
+    name = mov_name(F.col("live_photo_mov_path"), F.col("file_name"), F.col("given"))
+    return done.select(F.lit(template).alias("template_id"), "asset_id", *FOLDER, F.col("given").alias("file_name"), name.alias("mov_file_name"), "source_label")
 
 
 def plan_sources(plan: DataFrame, assets: DataFrame) -> DataFrame:

@@ -499,6 +499,28 @@ def plan_names(spark: SparkSession, d: str) -> DataFrame:
     return first.unionByName(second)
 
 
+_TEMPLATES = "WITH t AS (SELECT p_partkey AS template_id, person FROM part, range(7) r(person) WHERE p_partkey % 128 >> person & 1 = 1), f AS (SELECT l_orderkey AS asset_id, CASE WHEN l_tax > 0 THEN l_suppkey % 7 END AS person, l_quantity AS area FROM lineitem), "
+
+
+def many_templates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as templates of the people whose bits their keys have, and lines as faces of one of seven people or nobody."""
+    people = F.explode(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: F.expr("p_partkey % 128").bitwiseAND(F.pow(F.lit(2), i).cast("long")) > 0))
+    templates = read(spark, d, "part").select(F.col("p_partkey").alias("template_id"), people.alias("person"))
+    return templates, read(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), F.when(F.col("l_tax") > 0, F.col("l_suppkey") % 7).cast("int").alias("person"), F.col("l_quantity").alias("area"))
+
+
+@query(
+    _TEMPLATES + "s AS (SELECT template_id, count(*) AS n FROM t GROUP BY 1), h AS (SELECT template_id, asset_id FROM t JOIN (SELECT DISTINCT asset_id, person FROM f) USING (person) JOIN s USING (template_id) GROUP BY 1, 2, n HAVING count(*) = n), "
+    "x AS (SELECT template_id, asset_id, max(CASE WHEN person IS NULL OR NOT EXISTS (SELECT 1 FROM t WHERE t.template_id = h.template_id AND t.person = f.person) THEN area END) AS other FROM h JOIN f USING (asset_id) GROUP BY 1, 2), "
+    "y AS (SELECT template_id, asset_id, min(top) * 0.25 AS threshold FROM h JOIN (SELECT asset_id, person, max(area) AS top FROM f GROUP BY 1, 2) USING (asset_id) JOIN t USING (template_id, person) GROUP BY 1, 2) "
+    "SELECT template_id, bucket, count(*) AS assets, sum(threshold) AS thresholds FROM (SELECT template_id, threshold, CASE WHEN other >= threshold THEN 'group' ELSE 'only' END AS bucket FROM x JOIN y USING (template_id, asset_id)) GROUP BY 1, 2"
+)
+def template_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Assets of each bucket for every template, templates of one to seven people."""
+    templates, faces = many_templates(spark, d)
+    return exports.bucketed_for_all(faces, templates).groupBy("template_id", "bucket").agg(F.count("*").alias("assets"), F.sum("threshold").alias("thresholds"))
+
+
 @query(
     _PREVIEW.rstrip() + ", a AS (SELECT asset_id, p.month, bucket, file_name, o_orderkey, CASE WHEN o_custkey % 5 = 4 THEN 'unknown' ELSE 'Phone' || CAST(o_custkey % 5 % 3 AS VARCHAR) END AS label FROM p JOIN orders ON o_orderkey = asset_id), "
     "n AS (SELECT *, row_number() OVER (PARTITION BY bucket, month, file_name ORDER BY asset_id) AS nth, row_number() OVER (PARTITION BY bucket, month, file_name, label ORDER BY asset_id) AS kth FROM a), "
