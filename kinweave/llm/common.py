@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +60,20 @@ def short_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that, once it is through, gives memory that it has freed back to the machine: Python workers live
+    on after a task, and what their allocators keep would add to what the next stage's tasks need."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        library = ctypes.CDLL(None)
+        if hasattr(library, "malloc_trim"):
+            library.malloc_trim(0)
+
+    return wrapped
+
+
 def crc_mod(col: str, mod: int):
     """crc32 of a key written as text, modulo mod; the split into folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod
@@ -114,4 +129,4 @@ def with_columns(df: DataFrame, fields: list[tuple[str, str]], make: Callable[[]
                 cols = [*batch.columns, *(pa.array(new[n]) if not isinstance(new[n], (pa.Array, pa.ChunkedArray)) else new[n] for n, _ in fields)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(n for n, _ in fields)])
 
-    return short_batches(df).select(*kept).mapInArrow(run, schema)
+    return short_batches(df).select(*kept).mapInArrow(released(run), schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, stored, text_bytes
+from .common import released, short_batches, slices, stored, text_bytes
 from .components import components
 from .words import LOWER, mix, words
 
@@ -81,7 +81,7 @@ def documents_of(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 _, ends, classes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends)), pa.array(classes.view(np.int64))], names=[key, "n_shingles", "class"])
 
-    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, class long")
+    return short_batches(df).select(key, text).mapInArrow(released(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, class long")
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -177,7 +177,7 @@ def row_blocks(df: DataFrame, size: int, columns: int, text: str, parts: Callabl
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["col", "block", "hashes", "rows", "keys", "others"])
                 block += 1
 
-    return short_batches(df).select(text).mapInArrow(run, _BLOCK)
+    return short_batches(df).select(text).mapInArrow(released(run), _BLOCK)
 
 
 def column_group(parts: DataFrame):
@@ -339,7 +339,7 @@ def tiles(sets: DataFrame, percent: int) -> DataFrame:
         if held is not None and len(held) > 1:
             yield solve(held)
 
-    return cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(run, "a long, b long, links long")
+    return cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(released(run), "a long, b long, links long")
 
 
 def join(df: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches, slices, stored, text_bytes
+from .common import released, short_batches, slices, stored, text_bytes
 from .words import LOWER, hashed, word_starts
 
 #: Words that a task remembers the ids of, and the most bytes of one of these.
@@ -150,7 +150,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, key: str =
                 salt += len(rows)
 
     kind = df.schema[key].dataType.simpleString()
-    return short_batches(df).select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, _salt long")
+    return short_batches(df).select(key, text).mapInArrow(released(run), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, _salt long")
 
 
 def filling(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -223,4 +223,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, k
             yield batch[names].assign(sequence_id=p["sequence"][row] + nth // each, offset=p["offset"][row] + nth % each * length)
 
     kind = df.schema[key].dataType.simpleString()
-    return ranked(parts, key).mapInPandas(place, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked(parts, key).mapInPandas(released(place), f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
