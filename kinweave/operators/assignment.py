@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import stable_id
@@ -128,33 +128,51 @@ def assign(faces: DataFrame, pairs: DataFrame, min_faces: int = FACES, num_resul
     return done.select("id", F.coalesce("late", "early").alias("decision"), made.alias("person"), "is_new", deferred.alias("was_deferred"), F.to_json("found").alias("evidence"))
 
 
-def run_counts(decisions: DataFrame) -> DataFrame:
+def counters() -> list[Column]:
     """Counters of a run; deferrals of the first pass are counted whatever the second made of them."""
     count = lambda c: F.count_if(c).alias
-    return decisions.agg(
-        F.count("*").alias("candidates"),
+    return [
+        F.count(F.lit(1)).alias("candidates"),
         count(F.col("decision") == "assigned")("assigned"),
         count(F.col("is_new"))("new_persons"),
         count(F.col("was_deferred"))("deferred"),
         count(F.col("decision") == "skipped")("skipped"),
-    )
+    ]
 
 
-def committed(decisions: DataFrame, assignments: DataFrame, persons: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
-    """(assignments, persons) after a run: a row for each assigned face, new persons, and revisions up by one a face."""
+def run_counts(decisions: DataFrame) -> DataFrame:
+    return decisions.agg(*counters())
+
+
+def with_counts(decisions: DataFrame) -> tuple[DataFrame, dict]:
+    """decisions stored, and their counters, observed while they are written."""
+    seen = Observation()
+    return stored(decisions.observe(seen, *counters())), seen.get
+
+
+def given_rows(decisions: DataFrame, assignments: DataFrame, run: int) -> DataFrame:
+    """A row for each assigned face, numbered on from the assignments there are."""
     given = decisions.filter("decision = 'assigned'")
     first = assignments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     numbered = given.select("id", "person", "evidence").withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id"))).withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(64)))
     sizes = numbered.groupBy("_s").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rows = numbered.join(F.broadcast(sizes), "_s").join(F.broadcast(first)).select(
+    return numbered.join(F.broadcast(sizes), "_s").join(F.broadcast(first)).select(
         (F.col("top") + F.col("_b") + F.col("_n")).cast("long").alias("id"), F.col("id").alias("face_id"), F.col("person").alias("person_id"), F.lit(run).cast("long").alias("run_id"), F.lit("auto").alias("source"), F.lit(True).alias("active"), "evidence", F.current_timestamp().alias("created_at")
     )
+
+
+def committed(decisions: DataFrame, assignments: DataFrame, persons: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+    """(assignments, persons) after a run: a row for each assigned face, new persons, and revisions up by one a face."""
+    return assignments.unionByName(given_rows(decisions, assignments, run)), persons_after(decisions, persons)
+
+
+def persons_after(decisions: DataFrame, persons: DataFrame) -> DataFrame:
+    given = decisions.filter("decision = 'assigned'")
     up = given.groupBy("person").agg(F.count("*").alias("up"))
     fresh = decisions.filter("is_new").select(F.col("person").alias("id")).distinct().join(persons.select("id"), "id", "left_anti")
     fresh = fresh.select("id", F.lit(None).cast("string").alias("display_name"), F.lit(False).alias("is_named"), F.lit("active").alias("status"), F.lit(0).cast("long").alias("write_revision"), F.current_timestamp().alias("created_at"))
     every = persons.unionByName(fresh)
-    after = every.join(up, every["id"] == up["person"], "left").withColumn("write_revision", F.col("write_revision") + F.coalesce("up", F.lit(0))).drop("up", "person")
-    return assignments.unionByName(rows), after
+    return every.join(up, every["id"] == up["person"], "left").withColumn("write_revision", F.col("write_revision") + F.coalesce("up", F.lit(0))).drop("up", "person")
 
 
 def run(store: Store, session: int, distance: float = DISTANCE, dimension: int = 512, **params: object) -> dict:
@@ -179,10 +197,9 @@ def run(store: Store, session: int, distance: float = DISTANCE, dimension: int =
         if bad:
             raise ValueError(f"face {bad[0]['id']} has no vector of {dimension} numbers")
         orphans = orphan_rows(embeddings.select(F.col("face_id").alias("id")), faces, "id").count()
-        decided = stored(assign(loaded.drop("vector"), stored(eps_pairs(loaded.filter("person IS NULL"), loaded, distance)), run_id=f"run-{number}", **params))
-        assignments, persons = committed(decided, store.read("assignments"), store.read("persons"), number)
-        counts = run_counts(decided).first().asDict()
-        store.commit({"assignments": assignments, "persons": persons, "assignment_runs": with_row(status="completed", orphan_embeddings=orphans, **counts)})
+        decided, counts = with_counts(assign(loaded.drop("vector"), stored(eps_pairs(loaded.filter("person IS NULL"), loaded, distance)), run_id=f"run-{number}", **params))
+        tables = {"persons": persons_after(decided, store.read("persons")), "assignment_runs": with_row(status="completed", orphan_embeddings=orphans, **counts)}
+        store.commit(tables, more={"assignments": given_rows(decided, store.read("assignments"), number)})
     except Exception as e:
         store.commit({"assignment_runs": with_row(status="failed", failure_reason=str(e)[:1000])})
         raise

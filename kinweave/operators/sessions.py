@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import set_key
+from ..sources.store import stored
 
 
 def list_sources(sources: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def template_error(persons: DataFrame, templates: DataFrame, name: str, root: st
 
 def write_artifacts(faces: DataFrame, render: Callable[[], Callable[[dict], bytes]], root: str) -> DataFrame:
     """(face_id, path) of a picture made for each row by render()(row): written beside its final name in a folder that
-    all executors see, then renamed, so a task that runs again replaces whole files."""
+    all executors see, then renamed, so a task that runs again replaces whole files. The pictures are made before this
+    returns, and once: the result is a stored table."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -94,4 +96,4 @@ def write_artifacts(faces: DataFrame, render: Callable[[], Callable[[dict], byte
                 out.append((row["face_id"], path))
             yield pd.DataFrame(out, columns=["face_id", "path"])
 
-    return faces.mapInPandas(run, "face_id long, path string")
+    return stored(faces.mapInPandas(run, "face_id long, path string"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import area
 from ..operators.relational import contained, ranked
+from ..sources.delivery import delivered
 from ..sources.store import stored
 
 #: A face counts beside the chosen people if it is at least this share of the smallest of their largest faces.
@@ -161,41 +159,14 @@ def plan_sources(plan: DataFrame, assets: DataFrame) -> DataFrame:
 
 def deliver(plan: DataFrame, assets: DataFrame, root: str, run_id: int) -> DataFrame:
     """Copy every planned file to root/bucket/month/name on a file system that all executors see, unless it is there, and
-    the paired MOV beside it; one row for each planned file. All of the plan is copied, whether or not it still matches."""
-    rows = plan_sources(plan, assets).select("id", "bucket", "month", "file_name", "mov_file_name", "absolute_path", "live_photo_mov_path")
-
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import shutil
-
-        def place(source: str, target: str) -> None:
-            part = f"{target}.part-{os.getpid()}"  # a lost task leaves no half file under the final name
-            shutil.copyfile(source, part)
-            os.replace(part, target)
-
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                folder = os.path.join(root, r.bucket, r.month)
-                os.makedirs(folder, exist_ok=True)
-                target, result, mov = os.path.join(folder, r.file_name), "copied", "not_applicable"
-                try:
-                    if os.path.exists(target):
-                        result = "skipped_exists"
-                    else:
-                        place(r.absolute_path, target)
-                        if r.mov_file_name and r.live_photo_mov_path:
-                            beside = os.path.join(folder, r.mov_file_name)
-                            if not os.path.exists(beside):
-                                place(r.live_photo_mov_path, beside)
-                            mov = "copied"
-                except OSError:
-                    result = "failed"
-                out.append((r.id, target, result, mov))
-            yield pd.DataFrame(out, columns=["plan_id", "target_path", "result", "mov_result"])
-
-    done = rows.mapInPandas(copy, "plan_id long, target_path string, result string, mov_result string")
-    return done.withColumn("run_id", F.lit(run_id).cast("long")).withColumn("delivered_at", F.current_timestamp())
+    the paired MOV beside it; one row for each planned file. All of the plan is copied, whether or not it still matches.
+
+    The files are delivered and their rows noted once, before this returns (see `sources.delivery`): a later action on the
+    result reads the notes, and the same run delivered again gives them again."""
+    to = F.concat_ws("/", F.lit(root.rstrip("/")), "bucket", "month", "file_name")
+    rows = plan_sources(plan, assets).select(F.col("id").alias("plan_id"), to.alias("target_path"), F.col("absolute_path").alias("source_path"), F.col("mov_file_name").alias("mov_path"), F.col("live_photo_mov_path").alias("mov_source"))
+    done = delivered(rows, root.rstrip("/"), run_id)
+    return done.select("plan_id", "target_path", "result", "mov_result", F.lit(run_id).cast("long").alias("run_id"), "delivered_at")
 
 
 def run_history(runs: DataFrame, deliveries: DataFrame) -> DataFrame:

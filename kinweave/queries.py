@@ -537,6 +537,26 @@ def phones(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, f"Phone{i % 3}") for i in range(4)], "id long, label string")
 
 
+@query(
+    "SELECT run_id, s_suppkey AS plan_id, CASE WHEN run_id = 2 AND s_nationkey % 5 <> 0 THEN 'skipped_exists' WHEN s_nationkey % 5 = 0 THEN 'failed' ELSE 'copied' END AS result, "
+    "CASE WHEN run_id = 1 AND s_nationkey % 5 <> 0 AND s_suppkey % 3 = 0 THEN 'copied' ELSE 'not_applicable' END AS mov_result FROM supplier, (VALUES (1), (2)) r(run_id)"
+)
+def delivered_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' names as pictures, of which some are lost, delivered by two runs, the first of which is sent twice."""
+    at = f"{shared_dir(spark).removeprefix('file://')}/delivery-{uuid.uuid4().hex}"
+    s = read(spark, d, "supplier")
+    made = sessions.write_artifacts(s.select(F.col("s_suppkey").alias("face_id"), "s_name"), lambda: lambda row: row["s_name"].encode(), f"{at}/made")
+    lost = F.when(F.col("s_nationkey") % 5 == 0, F.lit(f"{at}/lost")).otherwise(F.col("path"))
+    rows = s.join(made, s["s_suppkey"] == made["face_id"])
+    own = rows.select(F.col("s_suppkey").alias("id"), lost.alias("absolute_path"), F.when(F.col("s_suppkey") % 3 == 0, F.col("path")).alias("live_photo_mov_path"))
+    name = F.concat(F.lit("f"), F.col("s_suppkey"))
+    plan = rows.select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("asset_id"), F.lit("only").alias("bucket"), F.col("s_nationkey").cast("string").alias("month"), F.concat(name, F.lit(".jpg")).alias("file_name"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(name, F.lit(".MOV"))).alias("mov_file_name"))
+    first = exports.deliver(plan, own, f"{at}/out", 1)
+    again = exports.deliver(plan, own, f"{at}/out", 1)
+    second = exports.deliver(plan, own, f"{at}/out", 2)
+    return first.intersectAll(again).unionByName(second).select("run_id", "plan_id", "result", "mov_result").withColumn("run_id", F.col("run_id").cast("int"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 4 THEN 'unknown' ELSE 'Phone' || CAST(o_custkey % 5 % 3 AS VARCHAR) END AS source_label FROM orders")
 def labelled_assets(spark: SparkSession, d: str) -> DataFrame:
     return exports.labelled(assets(spark, d), phones(spark)).select("id", "source_label")
