@@ -77,6 +77,11 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
+def alone(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers without repeats."""
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and last place, in the suffixes' order, of the intervals of two or more suffixes that share `least` symbols,
     and the common prefixes of neighbours (with the one before), -1 where they are `least` or more. known: these as far as
@@ -111,7 +116,7 @@ def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: in
         heads = bounds[np.searchsorted(bounds, cuts) - 1]
         if len(fresh):
             heads = np.maximum(heads, np.where(cuts > fresh[0], fresh[np.searchsorted(fresh, cuts) - 1], 0))
-        heads = np.unique(heads)
+        heads = alone(heads)
         parts = np.sort(np.concatenate([heads, cuts]), kind="stable")
         of = np.searchsorted(heads, parts, "right") - 1
         ends = np.empty(len(parts), np.int64)
@@ -130,7 +135,7 @@ def classes(symbols: np.ndarray, order: np.ndarray, known: np.ndarray, least: in
             ok = there[at]
             lower, upper = at[ok & (last[at] < low)], at[ok & (next_[at] > high)]
             found = np.concatenate([to[lower], to[upper] + 1])
-            found = np.unique(found[common[found] == -1])
+            found = alone(np.sort(found[common[found] == -1]))
             common[found] = length
         right[parts] = ends
         fresh = np.sort(np.concatenate([fresh, cuts]), kind="stable")

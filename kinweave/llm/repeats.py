@@ -36,7 +36,7 @@ from .common import short_batches, stored
 from .words import mix
 
 #: Distinct runs of a key that a task compares at a time, bytes of runs in one transform, and bytes of a segment.
-MOST, TOGETHER, SEGMENT = 512, 1 << 20, 1 << 20
+MOST, TOGETHER, SEGMENT = 512, 1 << 18, 1 << 20
 #: Starts of the blocks that the runs of frequent anchors are cut into, and again.
 BLOCKS = (48, 8, 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
