@@ -806,6 +806,32 @@ def request_errors(spark: SparkSession, d: str) -> DataFrame:
 # ---- sinks ----
 
 
+@query(
+    "SELECT event_type, count(*) AS n_items, CAST(count(CASE WHEN value > 50 THEN 1 END) AS BIGINT) AS n_done, CAST(count(CASE WHEN value <= 10 THEN 1 END) AS BIGINT) AS n_failed, CAST(sum(user_id) AS BIGINT) AS n_faces FROM events GROUP BY 1"
+)
+def streamed_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Events that arrive in several files, taken some at a time by a scan that is lost in its second batch after it wrote,
+    started again, and goes on from its checkpoint; more files arrive then."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    status = F.when(F.col("value") > 50, "succeeded").when(F.col("value") <= 10, "failed").otherwise("pending")
+    e = read(spark, d, "events").select("event_type", status.alias("status"), F.col("user_id").alias("face_count"), (F.col("event_id") % 3 == 0).alias("late"))
+    early = e.filter("NOT late").drop("late")
+    early.repartition(4).write.parquet(f"{at}/in")
+    keep, lost = ingest.progress_once(f"{at}/progress", "event_type"), []
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        keep(rows, batch)
+        if batch == 1 and not lost:
+            lost.append(batch)
+            raise RuntimeError("lost")
+
+    start = lambda: ingest.scan_new(spark, f"{at}/in", early.schema, f"{at}/checkpoint", handle, 2)
+    ingest.resumed(start)
+    e.filter("late").drop("late").repartition(3).write.mode("append").parquet(f"{at}/in")
+    ingest.resumed(start)
+    return ingest.total_progress(spark, f"{at}/progress", "event_type")
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def logged_events(spark: SparkSession, d: str) -> DataFrame:
     """Events as JSON lines in a log, appended in two writes and read back."""

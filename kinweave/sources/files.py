@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
 import struct
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..functions import directory, file_name, stem, suffix
 from ..operators.relational import prefix_pairs
@@ -16,20 +23,52 @@ from ..operators.relational import prefix_pairs
 PHOTO_SUFFIXES = (".jpg", ".jpeg", ".png", ".heic", ".heif")
 
 
-def listing(spark: SparkSession, *folders: str) -> DataFrame:
-    """(path, length, modificationTime, mtime_ns, inode) of the regular files right inside folders that all executors see; hidden ones,
-    which Spark's own file sources leave out, included."""
+LISTED = "path string, length long, modificationTime timestamp, mtime_ns long, inode long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
 
-        for b in batches:
-            for folder in b["folder"]:
-                found = [(e.path, s.st_size, pd.Timestamp(s.st_mtime_ns // 1000, unit="us", tz="UTC"), s.st_mtime_ns, s.st_ino) for e in os.scandir(folder) if e.is_file() for s in [e.stat()]]
-                yield pd.DataFrame(found, columns=["path", "length", "modificationTime", "mtime_ns", "inode"])
+@dataclass
+class Share(InputPartition):
+    """The files of a folder whose names have this remainder."""
+
+    folder: str
+    number: int
+    of: int
+
+
+class FolderFiles(DataSource):
+    """`folder_files`: the regular files right inside the folders of option `folders` (a JSON list); `shares` tasks a folder."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder_files"
+
+    def schema(self) -> str:
+        return LISTED
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FolderReader(json.loads(self.options["folders"]), int(self.options.get("shares", "8")))
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, folders: list[str], shares: int):
+        self.folders, self.shares = folders, shares
+
+    def partitions(self) -> list[InputPartition]:
+        return [Share(f, i, self.shares) for f in self.folders for i in range(self.shares)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        """Names are read by every task of a folder, but what is asked about a file only by the one that it belongs to."""
+        for e in os.scandir(partition.folder):
+            if zlib.crc32(os.fsencode(e.name)) % partition.of == partition.number and e.is_file():
+                s = e.stat()
+                yield e.path, s.st_size, datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=s.st_mtime_ns // 1000), s.st_mtime_ns, s.st_ino
+
 
-    rows = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
-    return rows.mapInPandas(run, "path string, length long, modificationTime timestamp, mtime_ns long, inode long")
+def listing(spark: SparkSession, *folders: str, shares: int = 8) -> DataFrame:
+    """(path, length, modificationTime, mtime_ns, inode) of the regular files right inside folders that all executors see;
+    hidden ones, which Spark's own file sources leave out, included."""
+    spark.dataSource.register(FolderFiles)
+    return spark.read.format("folder_files").option("folders", json.dumps(folders)).option("shares", str(shares)).load()
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,6 +37,33 @@ def progress(items: DataFrame, key: str) -> DataFrame:
     return items.groupBy(key).agg(F.count("*").alias("n_items"), count("succeeded").alias("n_done"), count("failed").alias("n_failed"), F.coalesce(F.sum("face_count"), F.lit(0)).alias("n_faces"))
 
 
+def progress_once(path: str, key: str) -> Callable[[DataFrame, int], None]:
+    """A handler that keeps what a batch adds to the progress of its sessions, under the batch's number."""
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        progress(rows, key).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return handle
+
+
+def total_progress(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The progress of all sessions over the batches so far: rows for each session and batch, not for each item."""
+    counts = ("n_items", "n_done", "n_failed", "n_faces")
+    return spark.read.parquet(path).groupBy(key).agg(*(F.sum(c).cast("long").alias(c) for c in counts))
+
+
+def resumed(start: Callable[[], None], tries: int = 3) -> int:
+    """Run a scan until it ends without a failure, and say how many runs that took; the last failure is raised."""
+    for n in range(1, tries + 1):
+        try:
+            start()
+            return n
+        except Exception:
+            if n == tries:
+                raise
+    return 0
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """Events as JSON lines, one file for each task, beside those there are."""
     events.write.mode("append").json(path)
