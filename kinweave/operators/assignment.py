@@ -49,7 +49,7 @@ def first_few(edges: DataFrame, wanted: int) -> DataFrame:
     """(id, found): of each face the first `wanted` of these neighbours, as structs (id, distance)."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy("at"))
     few = edges.select("id", "at", nth.alias("nth")).filter(F.col("nth") <= wanted)
-    return few.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: F.struct(x["n"].alias("face"), F.format_string("%.6f", x["distance"]).alias("distance"))).alias("found"))
+    return few.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: F.struct(x["n"].alias("face"), F.format_string("%.6f", F.greatest(x["distance"], F.lit(0.0)) + F.lit(0.0)).alias("distance"))).alias("found"))
 
 
 def settled(nodes: DataFrame, edges: DataFrame, faces: int, wanted: int, last: bool) -> DataFrame:

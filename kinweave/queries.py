@@ -285,7 +285,33 @@ def assignable(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", F.lpad(F.col("id").cast("string"), 12, "0").alias("sort_key"), person.alias("person"), excluded.alias("excluded"))
 
 
-@query()
+_ASSIGNED = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN vec_id % 5 = 0 THEN 'p' || label END AS p,
+  CASE WHEN vec_id % 7 = 0 THEN 'p' || label END AS ban FROM embeddings),
+x AS MATERIALIZED (SELECT a.i, list({'i': b.i, 'face': b.id, 'd': d, 'p': b.p} ORDER BY d, b.i) AS near FROM (SELECT a, b, list_cosine_distance(a.e, b.e) AS d FROM v a, v b) WHERE d <= 0.7 GROUP BY a.i),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v.i) AS k, v.i, id, ban, coalesce(near, []) AS near FROM v LEFT JOIN x ON x.i = v.i WHERE p IS NULL),
+m AS MATERIALIZED (SELECT count(*) AS n FROM c),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS k, list_resize(CAST([] AS VARCHAR[]), (SELECT count(*) FROM v)) AS owners, list_resize(CAST([] AS BOOLEAN[]), (SELECT n FROM m), false) AS later, CAST(NULL AS BIGINT) AS id,
+    CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS person, false AS is_new, CAST(NULL AS VARCHAR) AS evidence
+  UNION ALL
+  SELECT k + 1, CASE WHEN person IS NULL THEN owners ELSE owners[:i - 1] || [person] || owners[i + 1:] END,
+    CASE WHEN decision = 'deferred' THEN later[:ck - 1] || [true] || later[ck + 1:] ELSE later END, id, decision, person, is_new, evidence
+  FROM (SELECT *, CASE WHEN decision = 'assigned' THEN coalesce(chosen, 'new:' || id) END AS person, decision = 'assigned' AND chosen IS NULL AS is_new,
+      CAST(to_json(list_transform(allowed[:3], lambda z: {'face': z.face, 'distance': printf('%.6f', greatest(z.d, 0.0) + 0.0)})) AS VARCHAR) AS evidence
+    FROM (SELECT *, CASE WHEN last AND NOT later[ck] THEN 'done' WHEN len(allowed) <= 1 THEN 'skipped' WHEN len(allowed) < 3 AND NOT last THEN 'deferred' WHEN chosen IS NOT NULL THEN 'assigned'
+        WHEN ban IS NOT NULL THEN CASE WHEN last THEN 'skipped' ELSE 'deferred' END WHEN len(allowed) >= 3 THEN 'assigned' ELSE 'skipped' END AS decision
+      FROM (SELECT *, list_filter(list_transform(allowed, lambda z: coalesce(z.p, owners[z.i])), lambda z: z IS NOT NULL)[1] AS chosen
+        FROM (SELECT s.k, s.owners, s.later, c.k AS ck, c.i, c.id, c.ban, s.k >= m.n AS last,
+            list_filter(c.near, lambda z: c.ban IS NULL OR coalesce(z.p, s.owners[z.i]) IS NULL OR coalesce(z.p, s.owners[z.i]) <> c.ban) AS allowed
+          FROM s, m, c WHERE s.k < 2 * m.n AND c.k = s.k % m.n + 1))))
+)
+SELECT id, decision, CASE WHEN person LIKE 'new:%' THEN substr(sha256('run' || chr(1) || substr(person, 5)), 1, 32) ELSE person END AS person, is_new, k > n AS was_deferred, evidence
+FROM s, m WHERE k > 0 AND decision NOT IN ('deferred', 'done')
+"""
+
+
+@query(_ASSIGNED)
 def online_assignment(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     return assignment.assign(assignable(spark, d), stored(neighbours.eps_pairs(v, v, 0.7)))

@@ -100,14 +100,6 @@ def test_reconcile(spark):
     assert left["embeddings"].count() == 0 and left["faces"].count() == 2
 
 
-def test_plan_names():
-    rows = [(1, "IMG.jpg", "A", None, False), (2, "IMG.jpg", "B", "/x/.IMG.MOV", False), (3, "IMG.jpg", "B", None, False), (4, "IMG.jpg", "A", None, False), (5, "noend", "A", None, False)]
-    assert exports.plan_names(rows, []) == [(1, "IMG.jpg", None), (2, "IMG__B.jpg", ".IMG__B.MOV"), (3, "IMG__B-2.jpg", None), (4, "IMG__A-2.jpg", None), (5, "noend", None)]
-    # a planned asset tells its label; names of the plan are taken
-    assert exports.plan_names([(1, "IMG.jpg", "A", None, True), (2, "IMG.jpg", "A", "/x/IMG.mov", False)], ["IMG.jpg"]) == [(2, "IMG__A-2.jpg", "IMG__A-2.mov")]
-    assert exports.plan_names([(7, "IMG.jpg", "B", None, False)], ["IMG.jpg", "IMG__B.jpg"]) == [(7, "IMG__B-2.jpg", None)]
-
-
 def test_preview_plan_delivery(spark, tmp_path):
     faces = spark.createDataFrame([(1, 1, "a", 1, 100.0), (1, 2, "b", 2, 80.0), (2, 3, "a", 3, 100.0), (2, 4, "b", 4, 100.0), (2, 5, None, None, 25.0), (3, 6, "a", 6, 9.0), (4, 7, "a", 7, 100.0), (4, 8, "b", 8, 100.0), (4, 9, "z", 9, 24.9)], "asset_id long, face_id long, person string, assignment_id long, area double")
     src = tmp_path / "in"

@@ -35,6 +35,24 @@ def one_by_one(rows, known):
     return out
 
 
+def given(spark, rows, known):
+    """What plan_additions names rows (id, name, label, mov, planned) in one folder with these names, all in one month."""
+    found = spark.createDataFrame([(i, "m", "only", f, None) for i, f, *_ in rows], "asset_id long, month string, bucket string, file_name string, cover_id long")
+    assets = spark.createDataFrame([(i, i, v) for i, _, _, v, _ in rows], "id long, source_id long, live_photo_mov_path string")
+    sources = spark.createDataFrame([(i, lab) for i, _, lab, _, _ in rows], "id long, label string")
+    planned = [("t", i, "only", "m", known[0]) for i, _, _, _, p in rows if p] + [("t", 10**6 + k, "only", "m", f) for k, f in enumerate(known)]
+    plan = spark.createDataFrame(planned, "template_id string, asset_id long, bucket string, month string, file_name string")
+    return sorted((r["asset_id"], r["file_name"], r["mov_file_name"]) for r in exports.plan_additions(found, assets, sources, plan, "t").collect())
+
+
+def test_the_rule_of_names(spark):
+    rows = [(1, "IMG.jpg", "A", None, False), (2, "IMG.jpg", "B", "/x/.IMG.MOV", False), (3, "IMG.jpg", "B", None, False), (4, "IMG.jpg", "A", None, False), (5, "noend", "A", None, False)]
+    assert given(spark, rows, []) == [(1, "IMG.jpg", None), (2, "IMG__B.jpg", ".IMG__B.MOV"), (3, "IMG__B-2.jpg", None), (4, "IMG__A-2.jpg", None), (5, "noend", None)]
+    # a planned asset tells its label; names of the plan are taken
+    assert given(spark, [(1, "IMG.jpg", "A", None, True), (2, "IMG.jpg", "A", "/x/IMG.mov", False)], ["IMG.jpg"]) == [(2, "IMG__A-2.jpg", "IMG__A-2.mov")]
+    assert given(spark, [(7, "IMG.jpg", "B", None, False)], ["IMG.jpg", "IMG__B.jpg"]) == [(7, "IMG__B-2.jpg", None)]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_names_in_rounds(spark, seed):
     rng = np.random.default_rng(seed)
