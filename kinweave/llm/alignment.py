@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same bytes, and in how many documents each pair of their ids is linked.
 
 Both tokenizers cut a text into ranges of bytes; where both end, a group ends, and all ids of one side in a group are
-linked with all of the other. No token of either crosses the place between a printable ASCII character and a space, so a
-text is cut there into pieces, each distinct piece is encoded and aligned once in a task, and a document is the list of
-its pieces. (`Pieces` refuses tokenizer files for which that does not hold.)
+linked with all of the other. No token of either crosses the place between a character that is no white space and a
+space, so a text is cut there into pieces, each distinct piece is encoded and aligned once in a task, and a document is
+the list of its pieces. (`Pieces` refuses tokenizer files for which that does not hold.)
 
 First pass: documents are dealt into chunks by a hash; a task gathers each chunk's distinct pairs and in how many of the
 chunk's documents each is linked. The distinct pairs of the corpus are cut into SHARDS by their first id, and each shard
@@ -48,11 +48,11 @@ KNOWN, HELD, LONGEST, TOGETHER, CHARS, WIDE, STEP = 400_000, 1 << 23, 64, 8192,
 PAIR = (1 << 48) - 1
 #: Fixed value: the pattern of words that byte-level vocabularies of this kind are split by.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CUT, _OTHER = re.compile(r"(?<=[!-~]) "), re.compile(r"(?:^|[^!-~]) ")
+_CUT, _OTHER = re.compile(r"(?<=[^\s▁]) "), re.compile(r"(?:^|[\s▁]) ")
 
 
 def cut(text: str) -> list[str]:
-    """The pieces of a text: parted at each space that follows a printable ASCII character."""
+    """The pieces of a text: parted at each space that follows neither white space nor the sign that stands for a space."""
     return _CUT.split(text) if _OTHER.search(text) else text.split(" ")
 
 
@@ -92,7 +92,7 @@ class Grown:
 class Pieces:
     """The aligned pieces of texts. A piece is what stands between two cuts; both tokenizers read it with a space before.
 
-    New pieces that end in a printable ASCII character are joined again by spaces and read as one text; since no token
+    New pieces that end in no white space are joined again by spaces and read as one text; since no token
     crosses a piece's end, the ids are those of each. What is not given back byte for byte is halved until the piece is
     found that is to blame."""
 
@@ -109,8 +109,7 @@ class Pieces:
         self.a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        inner = re.compile(rb"[!-~] ")
-        if any(inner.search(t) for t in (*self.a_bytes, *self.b_bytes)):
+        if any(re.search(rb"[!-~] ", t) for t in self.a_bytes) or any(re.search(rb"[^ ] ", t) for t in self.b_bytes):
             raise ValueError("a token crosses the end of a word; texts cannot be cut there")
         self.a_size, self.b_size = (np.array([len(t) for t in own], np.int64) for own in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
@@ -206,7 +205,7 @@ class Pieces:
         found = np.array(list(map(self.known.__getitem__, chain.from_iterable(parts))), np.int64)
         new, self.known.new = self.known.new, []
         if new:
-            plain = np.array([bool(w) and "!" <= w[-1] <= "~" for w in new])
+            plain = np.array([bool(w) and not w[-1].isspace() and w[-1] != "▁" for w in new])
             order = np.argsort(~plain, kind="stable")
             row = np.empty(len(new), np.int64)
             row[order] = np.arange(len(new)) + len(self.n_a)
