@@ -513,7 +513,16 @@ def result_errors(spark: SparkSession, d: str) -> DataFrame:
     return bad.select(F.col("absolute_path").cast("long").alias("id"), "error")
 
 
-@query()
+@query(
+    _PREVIEW.rstrip().replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT asset_id, p.month, bucket, file_name, o_orderkey, CASE WHEN o_custkey % 5 = 4 THEN 'unknown' ELSE 'Phone' || CAST(o_custkey % 5 % 3 AS VARCHAR) END AS label FROM p JOIN orders ON o_orderkey = asset_id), "
+    "z AS MATERIALIZED (SELECT *, bucket || '/' || month AS f, substr(file_name, 1, 8) AS stem, row_number() OVER (PARTITION BY bucket, month, own ORDER BY asset_id % 2, asset_id) AS j, "
+    "count(CASE WHEN asset_id % 2 = 0 OR own THEN 1 END) OVER (PARTITION BY bucket, month, file_name, label, own ORDER BY asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS seen FROM a, (VALUES (true), (false)) o(own) QUALIFY own = (asset_id % 2 = 1)), "
+    "r AS (SELECT f, CAST(0 AS BIGINT) AS j, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS asset_id, CAST(NULL AS VARCHAR) AS name FROM (SELECT DISTINCT f FROM z) UNION ALL "
+    "SELECT f, j + 1, list_append(taken, name), asset_id, name FROM (SELECT r.f, r.j, r.taken, z.asset_id, CASE WHEN NOT list_contains(taken, file_name) THEN file_name "
+    "WHEN NOT seen AND NOT list_contains(taken, stem || '__' || label || '.jpg') THEN stem || '__' || label || '.jpg' "
+    "ELSE stem || '__' || label || '-' || list_filter(range(2, len(taken) + 3), lambda n: NOT list_contains(r.taken, z.stem || '__' || z.label || '-' || n || '.jpg'))[1] || '.jpg' END AS name FROM r JOIN z ON z.f = r.f AND z.j = r.j + 1)) "
+    "SELECT 't' AS template_id, asset_id, bucket, month, name AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN '.' || substr(name, 1, len(name) - 4) || '.MOV' END AS mov_file_name, label AS source_label FROM r JOIN z USING (asset_id)"
+)
 def plan_names(spark: SparkSession, d: str) -> DataFrame:
     """The plan of a template after a first preview of half of the assets and a second one of all of them."""
     sources = phones(spark)
