@@ -61,18 +61,24 @@ def batches(rows: DataFrame, order: list[str], size: int, label: str = "batch")
 
 def contained(sets: DataFrame, rows: DataFrame, key: str, group: str, member: str) -> DataFrame:
     """(key, group, members) for every set (key, member) and every group of rows (group, member) that has all its members.
+    A set whose member no row has, and null members, meet nothing."""
+    own = rows.select(group, member).filter(F.col(member).isNotNull())
+    has = own.groupBy(group).agg(F.collect_set(member).alias("has"))
+    return contained_in(sets, has, own.groupBy(member).agg(F.count("*").alias("often")), key, member).select(key, group, "members")
 
-    A set meets only the groups that have its rarest member, and is then compared as an array with all that they have; so
-    what is joined is bounded by the groups of rare members, not by sets times groups. A set whose member no row has, and
-    null members, meet nothing."""
-    own = rows.select(group, member).filter(F.col(member).isNotNull()).distinct()
-    often = own.groupBy(member).agg(F.count("*").alias("often"))
+
+def contained_in(sets: DataFrame, groups: DataFrame, often: DataFrame, key: str, member: str) -> DataFrame:
+    """`contained` for groups (has, ...) whose distinct members stand in an array; often: (member, often), about how many
+    groups have each member there is. Gives the groups' columns with key and members.
+
+    A set meets only the groups that have its rarest member, and is compared there with all that they have: a group is met
+    as a row that carries its array, so what is found goes through no further shuffle."""
     named = sets.select(key, member).distinct().join(often, member, "left")
     rare = named.groupBy(key).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col(member).alias("member"))).alias("rare"), F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
     rare = rare.filter((F.col("rare.often") > 0) & (F.size("members") == F.col("n"))).select(key, "members", F.col("rare.member").alias(member))
-    has = own.groupBy(group).agg(F.collect_list(member).alias("has"))
-    found = own.join(rare, member).select(group, key, "members").join(has, group)
-    return found.filter(F.size(F.array_except("members", "has")) == 0).select(key, group, "members")
+    # stored, so that its true size says whether it is sent to the groups
+    found = groups.withColumn(member, F.explode("has")).join(stored(rare), member)
+    return found.filter((F.size("members") <= F.size("has")) & (F.size(F.array_except("members", "has")) == 0)).drop(member)
 
 
 def in_nested(rows: DataFrame, key: str, *levels: tuple[DataFrame, str, str | None]) -> DataFrame:

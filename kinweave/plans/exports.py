@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import area
-from ..operators.relational import contained, ranked
+from ..operators.relational import contained_in, ranked
 from ..sources.delivery import delivered
 from ..sources.store import stored
 
@@ -31,17 +31,44 @@ def bucketed(faces: DataFrame, chosen: DataFrame, n_chosen: int, share: float =
     return rows.filter(F.col("n") == n_chosen).select("asset_id", bucket.alias("bucket"), threshold.alias("threshold"))
 
 
-def bucketed_for_all(faces: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
-    """(template_id, asset_id, bucket, threshold) of `bucketed` for every template (template_id, person) in one pass: assets
-    are found by a containment join, and each carries its people's largest faces, as many as there are people on it."""
-    tops = faces.groupBy("asset_id", "person").agg(F.max("area").alias("top"))
+def template_classes(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(template_id, class_id) and (class_id, person): templates of the same people are one class, named by its smallest
+    template. One with a null person matches nothing and has no class."""
+    listed = templates.groupBy("template_id").agg(F.array_sort(F.collect_set("person")).alias("people"), F.count_if(F.col("person").isNull()).alias("odd")).filter("odd = 0").drop("odd")
+    listed = stored(listed)
+    named = stored(listed.groupBy("people").agg(F.min("template_id").alias("class_id")))
+    return listed.join(named, "people").select("template_id", "class_id"), named.select("class_id", F.explode("people").alias("person"))
+
+
+def bucketed_by_class(faces: DataFrame, classes: DataFrame, share: float = SHARE) -> DataFrame:
+    """(class_id, asset_id, bucket, threshold) of `bucketed` for every class (class_id, person) of templates in one pass: an
+    asset carries its people's largest faces, as many as there are people on it, and meets classes by containment."""
+    # dealt by asset once, which serves both groupings
+    tops = faces.select("asset_id", "person", "area").repartition("asset_id").groupBy("asset_id", "person").agg(F.max("area").alias("top"))
     by_asset = tops.groupBy("asset_id").agg(F.collect_list(F.struct("person", "top")).alias("tops"))
-    pairs = contained(templates, faces.filter("person IS NOT NULL"), "template_id", "asset_id", "person")
+    by_asset = by_asset.withColumn("has", F.transform(F.filter("tops", lambda x: x["person"].isNotNull()), lambda x: x["person"]))
+    often = faces.filter("person IS NOT NULL").groupBy("person").agg(F.count("*").alias("often"))
+    pairs = contained_in(classes, by_asset, often, "class_id", "person")
     chosen = lambda x: F.coalesce(F.array_contains("members", x["person"]), F.lit(False))
     least = F.array_min(F.transform(F.filter("tops", chosen), lambda x: x["top"]))
     other = F.array_max(F.transform(F.filter("tops", lambda x: ~chosen(x)), lambda x: x["top"]))
-    rows = pairs.join(by_asset, "asset_id").select("template_id", "asset_id", (least * share).alias("threshold"), other.alias("other"))
-    return rows.select("template_id", "asset_id", F.when(F.coalesce(F.col("other") >= F.col("threshold"), F.lit(False)), "group").otherwise("only").alias("bucket"), "threshold")
+    rows = pairs.select("class_id", "asset_id", (least * share).alias("threshold"), other.alias("other"))
+    return rows.select("class_id", "asset_id", F.when(F.coalesce(F.col("other") >= F.col("threshold"), F.lit(False)), "group").otherwise("only").alias("bucket"), "threshold")
+
+
+def bucketed_for_all(faces: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
+    """(template_id, asset_id, bucket, threshold) of `bucketed` for every template (template_id, person). As many rows as
+    templates match assets; what is asked of each template alone is had from its class, see `totals_for_all`."""
+    of, classes = template_classes(templates)
+    return bucketed_by_class(faces, classes, share).join(of, "class_id").select("template_id", "asset_id", "bucket", "threshold")
+
+
+def totals_for_all(faces: DataFrame, templates: DataFrame, share: float = SHARE) -> DataFrame:
+    """(template_id, bucket, assets, thresholds): per template and bucket the assets and the sum of their thresholds. They
+    are summed for each class of templates, and every template takes its class's sums."""
+    of, classes = template_classes(templates)
+    sums = bucketed_by_class(faces, classes, share).groupBy("class_id", "bucket").agg(F.count("*").alias("assets"), F.sum("threshold").alias("thresholds"))
+    return of.join(stored(sums), "class_id").select("template_id", "bucket", "assets", "thresholds")
 
 
 def face_rows(faces: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -96,3 +96,25 @@ def test_containment(spark):
     of = lambda pairs, k: {m for i, m in pairs if i == k}
     want = {(t, g) for t in {t for t, _ in sets} for g in {g for g, _ in rows} if None not in of(sets, t) and of(sets, t) <= of(rows, g)}
     assert got == want and want
+
+
+def test_previews_of_equal_templates_are_made_once(spark):
+    """Templates of the same people cost one preview; their rows are those of every template by itself."""
+    rng = np.random.default_rng(6)
+    templates = [(t, p) for t in range(300) for p in ((0, 1), (1,), (0, 2, 3), (9,))[t % 4]] + [(300, 0), (300, None), (301, None)]
+    faces = [(a, None if p == 4 else int(p), float(rng.integers(1, 50))) for a in range(60) for p in rng.integers(0, 5, 4)]
+    t, f = spark.createDataFrame(templates, "template_id long, person int"), spark.createDataFrame(faces, "asset_id long, person int, area double")
+    _, classes = exports.template_classes(t)
+    assert exports.bucketed_by_class(f, classes).count() <= 4 * 60
+    want, sums = set(), {}
+    for i, people in ((i, {p for k, p in templates if k == i}) for i in range(302)):
+        for a in range(60):
+            own = [(p, x) for k, p, x in faces if k == a]
+            if None not in people and people <= {p for p, _ in own}:
+                least = min(max(x for p, x in own if p == m) for m in people) * 0.25
+                bucket = "group" if any(x >= least for p, x in own if p not in people) else "only"
+                want.add((i, a, bucket, least))
+                n, x = sums.get((i, bucket), (0, 0.0))
+                sums[i, bucket] = n + 1, x + least
+    assert set(map(tuple, exports.bucketed_for_all(f, t).collect())) == want and want
+    assert {(r[0], r[1]): (r[2], r[3]) for r in exports.totals_for_all(f, t).collect()} == sums
