@@ -261,3 +261,19 @@ def test_sessions(spark, tmp_path):
         sessions.active_sources(sources, folders).collect()
     made = sessions.write_artifacts(spark.createDataFrame([(1,), (2,)], "face_id long"), lambda: lambda row: b"jpg", str(tmp_path / "art"))
     assert sorted(r["face_id"] for r in made.collect()) == [1, 2] and (tmp_path / "art" / "face_2.jpg").read_bytes() == b"jpg"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_are_ordered_before_they_get_names(spark):
+    runs = spark.createDataFrame([(i, i % 3, "done") for i in range(20)], "id long, template_id long, status string")
+    templates = spark.createDataFrame([(0, "a", 1), (1, "b", 2)], "id long, name string, created_at long")
+    members = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "template_id long, person_id long")
+    persons = spark.createDataFrame([(1, "Zoe"), (2, "adam")], "id long, display_name string")
+    df = gallery.run_headers(runs, templates, members, persons)
+    plan = plan_of(df)
+    own = {0: ("a", 2, "adam,Zoe"), 1: ("b", 1, "adam"), 2: (None, None, None)}
+    assert list(map(tuple, df.collect())) == [(i, i % 3, "done", *own[i % 3]) for i in range(19, -1, -1)]
+    assert plan.index("BroadcastHashJoin") < plan.index("Exchange rangepartitioning")
