@@ -31,8 +31,9 @@ def latest_open_parent(parents: DataFrame, children: DataFrame, key: str, done:
 
 
 def all_of(rows: DataFrame, wanted: DataFrame, group: str, member: str, n: int) -> DataFrame:
-    """Groups that have every one of n wanted members (relational division)."""
-    found = rows.join(wanted, member, "left_semi").select(group, member).distinct()
+    """Groups that have every one of n wanted members (relational division). The few wanted ones go to the rows, which are
+    dealt by group, never by member."""
+    found = rows.join(F.broadcast(wanted.select(member).distinct()), member, "left_semi").select(group, member).repartition(group).distinct()
     return found.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") == n).select(group)
 
 

@@ -277,3 +277,15 @@ def test_headers_are_ordered_before_they_get_names(spark):
     own = {0: ("a", 2, "adam,Zoe"), 1: ("b", 1, "adam"), 2: (None, None, None)}
     assert list(map(tuple, df.collect())) == [(i, i % 3, "done", *own[i % 3]) for i in range(19, -1, -1)]
     assert plan.index("BroadcastHashJoin") < plan.index("Exchange rangepartitioning")
+
+
+def test_chosen_people_go_to_the_faces(spark):
+    """Rows are never dealt by person: a few people would put all faces into as many tasks."""
+    faces = spark.createDataFrame([(a, a * 4 + p, "xyz"[p], a * 4 + p, float(p + 1)) for a in range(30) for p in range(a % 4)], "asset_id long, face_id long, person string, assignment_id long, area double")
+    assets = spark.createDataFrame([(a, "2020-01", f"{a}.jpg") for a in range(30)], "id long, capture_month string, file_name string")
+    chosen = spark.createDataFrame([("x",), ("y",)], "person string")
+    divided, shown = relational.all_of(faces, chosen, "asset_id", "person", 2), exports.preview(assets, faces, chosen, 2)
+    want = {a for a in range(30) if a % 4 >= 2}
+    assert {r[0] for r in divided.collect()} == {r["asset_id"] for r in shown.collect()} == want
+    assert {(r["asset_id"], r["bucket"], r["cover_id"]) for r in shown.collect()} == {(a, "group" if a % 4 == 3 else "only", a * 4) for a in want}
+    assert not [x for df in (divided, shown) for x in plan_of(df).splitlines() if "SortMergeJoin [person" in x]
