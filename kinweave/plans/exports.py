@@ -18,10 +18,11 @@ def bucketed(faces: DataFrame, chosen: DataFrame, n_chosen: int, share: float =
     """(asset_id, bucket, threshold) of the assets that show every chosen person.
 
     faces: (asset_id, person, area), person null for a face that nobody owns; chosen: (person). The bucket is `group` if
-    any face from the threshold on belongs to nobody or to somebody else, else `only`. One shuffle by asset: its faces
-    are summed up for each chosen person first, and once more for the asset."""
-    picked = chosen.select("person").distinct().withColumn("mine", F.lit(True))
-    marked = faces.join(picked, "person", "left").withColumn("mine", F.coalesce("mine", F.lit(False)))
+    any face from the threshold on belongs to nobody or to somebody else, else `only`. The few chosen people go to the
+    faces, which are never dealt by person. One shuffle by asset: its faces are summed up for each chosen person first,
+    and once more for the asset."""
+    picked = F.broadcast(chosen.select("person").distinct().withColumn("mine", F.lit(True)))
+    marked = faces.join(picked, "person", "left").withColumn("mine", F.coalesce("mine", F.lit(False))).repartition("asset_id")
     # of an asset, each person's largest face; of all others the largest one
     who = F.when(F.col("mine"), F.col("person"))
     tops = marked.groupBy("asset_id", who.alias("who")).agg(F.max("area").alias("top"))
@@ -86,7 +87,7 @@ def preview(assets: DataFrame, faces: DataFrame, chosen: DataFrame, n_chosen: in
     """(asset_id, month, bucket, file_name, cover_id): cover is the assignment of the first face of the smallest chosen person."""
     found = bucketed(faces, chosen, n_chosen)
     first = chosen.agg(F.min("person").alias("person"))
-    cover = faces.filter("assignment_id IS NOT NULL").join(first, "person").groupBy("asset_id").agg(F.min_by("assignment_id", "face_id").alias("cover_id"))
+    cover = faces.filter("assignment_id IS NOT NULL").join(F.broadcast(first), "person").groupBy("asset_id").agg(F.min_by("assignment_id", "face_id").alias("cover_id"))
     rows = found.join(assets.select(F.col("id").alias("asset_id"), month_of(F.col("capture_month")).alias("month"), "file_name"), "asset_id")
     return rows.join(cover, "asset_id", "left").select("asset_id", "month", "bucket", "file_name", "cover_id")
 
