@@ -3,7 +3,11 @@
 A candidate's decision depends on the faces within the distance and on whom these belong to by then. Faces that already
 have a person never change, so a candidate depends on earlier candidates among its neighbours alone, and in the second
 pass on what the first decided. That is a graph without circles; it is worked off in rounds of joins over the table of
-neighbours, each written to the shared folder, and no list of neighbours and no component is ever in one place."""
+neighbours, each written to the shared folder, and no list of neighbours and no component is ever in one place.
+
+A candidate is sure to pass over neighbours of excluded persons, and to find its person and its evidence no further than
+at the nth neighbour that has another person from the start, n being the number of neighbours that count. So neighbours
+are kept up to that one, and where a share of the faces has a person, their number grows with the faces alone."""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stable_id
 from ..sources.store import Store, stored
-from .neighbours import eps_pairs
+from .neighbours import upto_owned
 from .relational import orphan_rows, with_sets
 
 DISTANCE, FACES, NEIGHBOURS = 0.5, 3, 3
@@ -32,17 +36,28 @@ def face_input(faces: DataFrame, assets: DataFrame, sources: DataFrame, embeddin
     return rows.select("id", F.struct("source_path", "absolute_path", "face_index").alias("sort_key"), "person", "excluded", "vector")
 
 
-def with_edges(faces: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_faces(faces: DataFrame, distance: float, wanted: int = NEIGHBOURS) -> DataFrame:
+    """(query, neighbour, distance): all that `assign` needs of the pairs of faces with vectors within the distance."""
+    none = F.coalesce("excluded", F.array().cast("array<string>"))
+    return upto_owned(faces.filter("person IS NULL").withColumn("excluded", none), faces, max(1, wanted), distance, "sort_key", owner="person")
+
+
+def with_edges(faces: DataFrame, pairs: DataFrame, wanted: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): the faces without a person, with `ban`, their excluded persons or null; and a row for each of their
-    neighbours: its place `at` (distance, key, id), its person, and whether it is a candidate that comes before.
+    neighbours: its place `at` (distance, key, id), its person, and whether it is a candidate that comes before. Neighbours
+    of excluded persons and those after the first `wanted` of other persons are left out.
 
-    faces: (id, sort_key, person, excluded); pairs: (query, neighbour, distance) over all faces, each with itself."""
+    faces: (id, sort_key, person, excluded); pairs: (query, neighbour, distance) over all faces, each with itself, or
+    those of `near_faces`."""
     ban = F.when(F.size("excluded") > 0, F.col("excluded"))
     nodes = stored(faces.filter("person IS NULL").select("id", "sort_key", ban.alias("ban")))
     near = faces.select(F.col("id").alias("n"), F.col("sort_key").alias("near_key"), F.col("person").alias("has"))
     own = pairs.join(nodes, pairs["query"] == nodes["id"]).join(near, F.col("neighbour") == F.col("n"))
     before = F.col("has").isNull() & (F.struct("near_key", "n") < F.struct("sort_key", "id"))
-    return nodes, stored(own.select("id", "n", F.struct("distance", "near_key", "n").alias("at"), "has", "ban", before.alias("before")))
+    rows = own.select("id", "n", F.struct("distance", "near_key", "n").alias("at"), "has", "ban", before.alias("before"))
+    rows = rows.filter(F.coalesce(~F.array_contains("ban", F.col("has")), F.lit(True)))
+    closer = F.count("has").over(Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    return nodes, stored(rows.withColumn("closer", closer).filter(F.col("closer") < max(1, wanted)).drop("closer"))
 
 
 def first_few(edges: DataFrame, wanted: int) -> DataFrame:
@@ -58,7 +73,8 @@ def settled(nodes: DataFrame, edges: DataFrame, faces: int, wanted: int, last: b
     In each round a candidate is decided once every earlier neighbour that could change its decision is; the first open
     one always is. One without excluded persons knows from the number of its neighbours whether it will be assigned, and
     joins the person of its first neighbour that is assigned by then, so it only points to that one, and pointers are
-    followed in doubling steps. One with excluded persons waits until its earlier neighbours' persons are known."""
+    followed in doubling steps. One with excluded persons waits until the persons of its earlier neighbours are known, up
+    to the first that it can join and the `wanted` ones that count."""
     own = "late" if last else "early"
     opened = F.col(own).isNull() | ((F.col(own) == "assigned") & F.col("person").isNull() & F.col("points").isNull())
     pending = F.col("person").isNull() & F.col("points").isNotNull()
@@ -83,12 +99,14 @@ def settled(nodes: DataFrame, edges: DataFrame, faces: int, wanted: int, last: b
         waits = unknown | (F.col("ban").isNotNull() & owned & who.isNull())
         allowed = F.coalesce(~F.array_contains("ban", who), F.lit(True))
         marked = rows.select("id", "n", "at", "ban", owned.alias("owned"), waits.alias("waits"), who.alias("who"), allowed.alias("allowed"), F.when(who.isNull(), F.coalesce("points", "n")).alias("next"))
+        sure = F.min(F.when(F.col("waits"), F.col("at"))).over(Window.partitionBy("id"))  # all before it is known
+        marked = marked.withColumn("sure", F.col("allowed") & (F.col("at") < F.coalesce(sure, F.col("at"))))
         first = lambda c: F.min(F.when(c, F.struct("at", "who", "next")))
-        sums = marked.groupBy("id").agg(F.count_if("allowed").alias("n"), first(F.col("owned") & F.col("allowed")).alias("chosen"), first(F.col("waits")).alias("waits"))
+        sums = marked.groupBy("id").agg(F.count_if("allowed").alias("n"), F.count_if("sure").alias("sure"), first(F.col("owned") & F.col("allowed")).alias("chosen"), first(F.col("waits")).alias("waits"))
         free = F.col("ban").isNull()
         few = first_few(marked.filter(F.col("ban").isNotNull() & F.col("allowed")), wanted).withColumnRenamed("found", "few")
         both = state.join(todo.join(sums, "id", "left").join(few, "id", "left").withColumn("todo", F.lit(True)), "id", "left")
-        ready = F.coalesce(F.col("todo"), F.lit(False)) & (F.col("waits").isNull() | (free & (F.col("chosen.at") < F.col("waits.at"))))
+        ready = F.coalesce(F.col("todo"), F.lit(False)) & (F.col("waits").isNull() | ((free | (F.col("sure") >= wanted)) & (F.col("chosen.at") < F.col("waits.at"))))
         n = F.least(F.coalesce("n", F.lit(0)), F.lit(wanted))
         core, none, some = n >= faces, F.col("chosen").isNull(), F.col("chosen").isNotNull()
         verdict = F.when(F.lit(faces > 1) & (n <= 1), "skipped").when(~core & F.lit(not last), "deferred").when(some, "assigned").when(~free, "skipped" if last else "deferred").when(core, "assigned").otherwise("skipped")
@@ -110,7 +128,7 @@ def settled(nodes: DataFrame, edges: DataFrame, faces: int, wanted: int, last: b
 def assign(faces: DataFrame, pairs: DataFrame, min_faces: int = FACES, num_results: int = NEIGHBOURS, two_passes: bool = True, run_id: str = "run") -> DataFrame:
     """(id, decision, person, is_new, was_deferred, evidence) of every candidate; a new person's id is made from the run
     and its founder, so a retry gives it again. Evidence is the neighbours that counted, as JSON."""
-    nodes, edges = with_edges(faces, pairs)
+    nodes, edges = with_edges(faces, pairs, num_results)
     counts = edges.groupBy("id").agg(F.count("*").alias("n"))
     few = first_few(edges.filter("ban IS NULL"), num_results)
     n = F.least(F.coalesce("n", F.lit(0)), F.lit(num_results))
@@ -197,7 +215,7 @@ def run(store: Store, session: int, distance: float = DISTANCE, dimension: int =
         if bad:
             raise ValueError(f"face {bad[0]['id']} has no vector of {dimension} numbers")
         orphans = orphan_rows(embeddings.select(F.col("face_id").alias("id")), faces, "id").count()
-        decided, counts = with_counts(assign(loaded.drop("vector"), stored(eps_pairs(loaded.filter("person IS NULL"), loaded, distance)), run_id=f"run-{number}", **params))
+        decided, counts = with_counts(assign(loaded.drop("vector"), stored(near_faces(loaded, distance, params.get("num_results", NEIGHBOURS))), run_id=f"run-{number}", **params))
         tables = {"persons": persons_after(decided, store.read("persons")), "assignment_runs": with_row(status="completed", orphan_embeddings=orphans, **counts)}
         store.commit(tables, more={"assignments": given_rows(decided, store.read("assignments"), number)})
     except Exception as e:

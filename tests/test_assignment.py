@@ -207,3 +207,17 @@ def test_a_chain_takes_few_rounds(spark, monkeypatch):
     got = in_rounds(spark, rows, pairs)
     agree(got, expected(rows, pairs))
     assert len(written) < 40 and len({v[1] for v in got.values()}) < 10
+
+
+def test_near_faces_give_what_all_pairs_give_with_fewer_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)  # several blocks and cells
+    faces = make(4, 120, groups=3, size=4)
+    for f in faces[:30]:
+        f["vector"] = faces[0]["vector"]  # equal ones go by their keys
+    df = spark.createDataFrame(faces, "id long, sort_key string, person string, excluded array<string>, vector array<double>")
+    every, few = neighbours.eps_pairs(df, df, 0.7), stored(assignment.near_faces(df, 0.7))
+    rows = lambda pairs: sorted(tuple(r) for r in assignment.assign(df.drop("vector"), pairs).select("id", "decision", "person", "is_new", "was_deferred", "evidence").collect())
+    assert rows(few) == rows(every)
+    assert few.count() * 2 < every.count()
+    _, edges = assignment.with_edges(df.drop("vector"), few, 3)
+    assert edges.groupBy("id").agg({"has": "count"}).filter("`count(has)` > 3").isEmpty()
