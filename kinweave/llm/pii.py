@@ -3,7 +3,8 @@
 The tagger learns from labelled spans: windows of a sample of whole documents in which the patterns' spans are labelled,
 and into which other ways to write the four kinds are set (addresses with "at" and "dot", national telephone numbers,
 parts in brackets or apart), and numbers that are none of them. It reads every character of every text in overlapping
-windows. A window whose best path is outside for sure, by a bound on scores and transitions, is done; of the others
+windows, but for those that no span can come from: whatever is added holds a digit, an @ or the word "at", so a window is
+passed over if neither it nor one beside it has any. A window whose best path is outside for sure, by a bound on scores and transitions, is done; of the others
 together with their neighbours the scores of a character in all its windows are averaged, and one best path over all of
 them gives the spans. A span that the tagger adds must not meet one of the patterns and must pass the kind's own test
 (Luhn, parts of an address, numbers of digits), so the patterns' rejects are not brought back.
@@ -211,19 +212,35 @@ def windows_of(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat, unit, first[unit] + nth * STRIDE
 
 
+def possible(flat: np.ndarray, unit: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The windows that hold a digit, an @ or the word "at", without which nothing matches _WRITTEN, and those beside them."""
+    letter = (flat >= _CODES[ord("a")]) & (flat <= _CODES[ord("z")])
+    marks = (flat == _CODES[ord("0")]) | (flat == _CODES[ord("1")]) | (flat == _CODES[ord("@")])
+    marks[1:-2] |= (flat[1:-2] == _CODES[ord("a")]) & (flat[2:-1] == _CODES[ord("t")]) & ~letter[:-3] & ~letter[3:]
+    before = np.concatenate([[0], np.cumsum(marks)])
+    return beside(before[starts + WINDOW] > before[starts], unit)
+
+
+def beside(chosen: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The chosen windows and those next to them in the same unit."""
+    out = chosen.copy()
+    out[1:] |= chosen[:-1] & (unit[1:] == unit[:-1])
+    out[:-1] |= chosen[1:] & (unit[1:] == unit[:-1])
+    return out
+
+
 def tag_units(units: list[np.ndarray], reader: Reader, block: int = 1024) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) of each unit of codes."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in units]
     flat, unit, starts = windows_of(units)
     steps = np.arange(WINDOW)
     open_ = np.zeros(len(starts), bool)
-    for x in range(0, len(starts), block):
-        codes = flat[starts[x : x + block] + steps[:, None]]
-        open_[x : x + block] = reader.undecided(reader.scores(codes), codes)
-    near = open_.copy()
-    near[1:] |= open_[:-1] & (unit[1:] == unit[:-1])
-    near[:-1] |= open_[1:] & (unit[1:] == unit[:-1])
-    need = np.flatnonzero(near)
+    asked = np.flatnonzero(possible(flat, unit, starts))
+    for x in range(0, len(asked), block):
+        some = asked[x : x + block]
+        codes = flat[starts[some] + steps[:, None]]
+        open_[some] = reader.undecided(reader.scores(codes), codes)
+    need = np.flatnonzero(beside(open_, unit))
     # runs of neighbouring windows of one unit: where each begins in the flat codes, and the sums of its characters
     runs = np.split(need, np.flatnonzero((np.diff(need) > 1) | (np.diff(unit[need]) > 0)) + 1) if len(need) else []
     sums = [np.zeros((int(starts[own[-1]] - starts[own[0]]) + WINDOW, TAGS + 1), np.float32) for own in runs]

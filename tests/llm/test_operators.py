@@ -516,6 +516,21 @@ def test_pii_reads_whole_texts(tagger_weights):
         assert found["spans"].to_pylist() == [f"email:{len(word) * n}:{len(word) * n + len(mail)}"]
 
 
+def test_pii_passes_over_windows_that_no_span_can_come_from(tagger_weights, monkeypatch):
+    plain = "words of a plain text without any of them, nat attic. " * 60
+    texts = [plain, plain + "mail jane.doe at example dot org or 555 123 4567 " + plain, "jane (AT) example (dot) org", "", "a" * 255 + " at example.org " + plain]
+    reader, read = pii.Reader(tagger_weights), []
+    scores = reader.scores
+    monkeypatch.setattr(reader, "scores", lambda codes: read.append(codes.shape[1]) or scores(codes))
+    spans = lambda: [pii.added(t, f, pii.base_spans(t)) for t, f in zip(texts, pii.tagged(texts, reader), strict=True)]
+    got, few = spans(), sum(read)
+    assert not pii.tagged([plain], reader)[0] and sum(read) == few  # nothing of it was scored
+    read.clear()
+    monkeypatch.setattr(pii, "possible", lambda flat, unit, starts: np.ones(len(starts), bool))
+    assert spans() == got and any(got)
+    assert 2 * few < sum(read)
+
+
 def test_pii_query(spark, docs):
     got = run(spark, "op8_pii").set_index("doc_id").loc[docs.doc_id]
     for r, t in zip(got.itertuples(), docs.text, strict=True):
