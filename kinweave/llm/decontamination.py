@@ -62,8 +62,8 @@ def row_of(key: str, text: str) -> Column:
 
 
 def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, n_words, all): the words of each row."""
-    return docs.select(row_of(key, text), word_array(F.col(text)).alias("all")).select("row", F.size("all").cast("long").alias("n_words"), "all")
+    """(row, all): the words of each row."""
+    return docs.select(row_of(key, text), word_array(F.col(text)).alias("all"))
 
 
 def postings(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -118,17 +118,17 @@ def near(index: DataFrame, rare: DataFrame, n_rare: int, span: int) -> DataFrame
 
 
 class Index:
-    """The stored words of the rows, the postings of those that occur in the items' windows, and each window's rarest."""
+    """The postings of the words of rows that occur in the items' windows, and each window's rarest. Words of rows, which
+    are as long as their texts, are not stored."""
 
     def __init__(self, rows: DataFrame, items: DataFrame):
-        self.rows = stored(rows, "words")
         every = stored(items, "items")
         self.items = every.select("window", "item")
         self.windows = stored(every.select("window", "words").dropDuplicates(["window", "words"]), "windows")
         words = self.windows.select("window", F.posexplode("words").alias("offset", "word")).select("window", "offset", F.xxhash64("word").alias("term"))
         terms = stored(words.select("term").distinct(), "terms")
         n_terms = terms.count()
-        self.index = stored(postings(self.rows, terms, n_terms), "postings")
+        self.index = stored(postings(rows, terms, n_terms), "postings")
         self.rare = stored(rarest(words, self.index.groupBy("term").agg(F.count("*").alias("n")), n_terms, "window"), "rare")
         self.n_rare = self.rare.count()
 
@@ -156,10 +156,10 @@ def judged(
     found = Index(rows_of(docs, key, text), items_of(items, size, item, item_text))
     places = found.phrases().distinct().join(found.windows, "window")
     asked = places.groupBy("row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("asked"))
-    # texts move once, and only those with places are split into words again
+    # texts move once and are split into words again to be counted; only those with places keep the words
     kept = [F.struct(*keep).alias("kept")] if keep else []
-    counts = found.rows.select("row", "n_words").dropDuplicates(["row"])
-    read = docs.select(row_of(key, text), F.col(key), F.col(text).alias("text"), *kept).join(asked, "row", "left").join(counts, "row")
+    n_words = F.size(word_array(F.col(text))).cast("long").alias("n_words")
+    read = docs.select(row_of(key, text), F.col(key), F.col(text).alias("text"), n_words, *kept).join(asked, "row", "left")
     every = F.when(F.col("asked").isNotNull(), word_array(F.col("text")))
     hits = F.filter(F.coalesce("asked", F.array().cast(read.schema["asked"].dataType)), lambda a: F.slice(F.col("all"), a["start"] + 1, a["length"]) == a["words"])
     spots = F.transform(F.array_sort(hits), lambda a: F.struct(a["start"].alias("start"), a["length"].alias("length"), a["window"].alias("window")))

@@ -742,3 +742,16 @@ def test_fingerprint_odd(spark, odd, none):
     assert one["near_next"] == 1.0
     plain = fingerprints.fingerprints(spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string"), ["doc_id"])
     assert {r["doc_id"]: fingerprints.signed(int(one["fingerprint"], 16)) for r in [{"doc_id": 1}]}[1] == plain.filter("doc_id = 1").first()["fingerprint"]
+
+
+def test_decontamination_stores_no_words_of_whole_texts(spark, monkeypatch):
+    from kinweave.llm import decontamination
+
+    seen, stored = [], decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df, label: seen.append((label, df.columns)) or stored(df, label))
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"{words} more"), (2, "other words"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", words)], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.judged(docs, items).collect()}
+    assert got == {1: (21, 20, 1), 2: (2, 0, 0), 3: (0, 0, 0)}
+    assert seen and not any("all" in columns for _, columns in seen)
