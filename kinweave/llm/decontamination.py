@@ -27,6 +27,9 @@ LISTS = 3
 #: most. Beyond these Spark joins by shuffle, the rows of a term dealt over SALTS parts.
 SMALL_ROWS, SALTS = 200_000, 16
 
+#: Stands after the last word of each row; no word is empty. Its place is the number of words.
+END = ""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,8 +65,8 @@ def row_of(key: str, text: str) -> Column:
 
 
 def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, all): the words of each row."""
-    return docs.select(row_of(key, text), word_array(F.col(text)).alias("all"))
+    """(row, all): the words of each row, and END."""
+    return docs.select(row_of(key, text), F.array_append(word_array(F.col(text)), F.lit(END)).alias("all"))
 
 
 def postings(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -118,20 +121,25 @@ def near(index: DataFrame, rare: DataFrame, n_rare: int, span: int) -> DataFrame
 
 
 class Index:
-    """The postings of the words of rows that occur in the items' windows, and each window's rarest. Words of rows, which
-    are as long as their texts, are not stored."""
+    """The postings of END and of the words of rows that occur in the items' windows, and each window's rarest. Words of
+    rows, which are as long as their texts, are not stored."""
 
     def __init__(self, rows: DataFrame, items: DataFrame):
         every = stored(items, "items")
         self.items = every.select("window", "item")
         self.windows = stored(every.select("window", "words").dropDuplicates(["window", "words"]), "windows")
         words = self.windows.select("window", F.posexplode("words").alias("offset", "word")).select("window", "offset", F.xxhash64("word").alias("term"))
-        terms = stored(words.select("term").distinct(), "terms")
+        end = self.items.sparkSession.range(1).select(F.xxhash64(F.lit(END)).alias("term"))
+        terms = stored(words.select("term").unionByName(end).distinct(), "terms")
         n_terms = terms.count()
         self.index = stored(postings(rows, terms, n_terms), "postings")
         self.rare = stored(rarest(words, self.index.groupBy("term").agg(F.count("*").alias("n")), n_terms, "window"), "rare")
         self.n_rare = self.rare.count()
 
+    def lengths(self) -> DataFrame:
+        """(row, n_words) of every row."""
+        return self.index.filter(F.col("term") == F.xxhash64(F.lit(END))).groupBy("row").agg(F.max("pos").cast("long").alias("n_words"))
+
     def phrases(self) -> DataFrame:
         return intersected(self.index, self.rare, self.n_rare)
 
@@ -156,12 +164,14 @@ def judged(
     found = Index(rows_of(docs, key, text), items_of(items, size, item, item_text))
     places = found.phrases().distinct().join(found.windows, "window")
     asked = places.groupBy("row").agg(F.collect_list(F.struct("start", F.size("words").alias("length"), "window", "words")).alias("asked"))
-    # texts move once and are split into words again to be counted; only those with places keep the words
+    # texts move once; only those with places are split into words again, once each: as the argument of a function they
+    # are not split anew for each place
     kept = [F.struct(*keep).alias("kept")] if keep else []
-    n_words = F.size(word_array(F.col(text))).cast("long").alias("n_words")
-    read = docs.select(row_of(key, text), F.col(key), F.col(text).alias("text"), n_words, *kept).join(asked, "row", "left")
-    every = F.when(F.col("asked").isNotNull(), word_array(F.col("text")))
-    hits = F.filter(F.coalesce("asked", F.array().cast(read.schema["asked"].dataType)), lambda a: F.slice(F.col("all"), a["start"] + 1, a["length"]) == a["words"])
+    texts = docs.select(row_of(key, text), F.col(key), F.col(text).alias("text"), *kept)
+    read = texts.join(found.lengths().join(asked, "row", "left"), "row")
+    standing = lambda words: F.filter("asked", lambda a: F.slice(words, a["start"] + 1, a["length"]) == a["words"])
+    confirmed = F.when(F.col("asked").isNotNull(), F.transform(F.array(word_array(F.col("text"))), standing)[0])
+    hits = F.coalesce(confirmed, F.array().cast(read.schema["asked"].dataType))
     spots = F.transform(F.array_sort(hits), lambda a: F.struct(a["start"].alias("start"), a["length"].alias("length"), a["window"].alias("window")))
     # places of matches in order: each adds what lies beyond the end of those before it
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -169,7 +179,7 @@ def judged(
         (acc["n"] + F.greatest(F.lit(0), h["start"] + h["length"] - F.greatest(acc["end"], h["start"]))).alias("n"), F.greatest(acc["end"], h["start"] + h["length"]).alias("end")
     )
     others = ["kept"] if keep else []
-    read = read.withColumn("all", every).select("row", key, *others, "n_words", spots.alias("hits"))
+    read = read.select("row", key, *others, "n_words", spots.alias("hits"))
     counted = stored(read.select("row", key, *others, "n_words", F.aggregate("hits", none, step)["n"].cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("windows")), "judged")
     # equal rows have the same windows, so that one of them stands for all
     hit = counted.filter(F.size("windows") > 0).select("row", F.explode("windows").alias("window")).distinct()

@@ -755,3 +755,15 @@ def test_decontamination_stores_no_words_of_whole_texts(spark, monkeypatch):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.judged(docs, items).collect()}
     assert got == {1: (21, 20, 1), 2: (2, 0, 0), 3: (0, 0, 0)}
     assert seen and not any("all" in columns for _, columns in seen)
+
+
+def test_decontamination_splits_texts_with_places_once_more_and_others_not(spark, monkeypatch):
+    plans, stored = {}, decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or stored(df, label))
+    words = " ".join(f"w{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"{words} x {words}"), (2, "other words"), (2, "other words"), (3, None), (None, words)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", words), ("b", "x")], "item_id string, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["n_items"]) for r in decontamination.judged(docs, items).collect()))
+    assert got == [(0, 13, 13, 1), (1, 27, 27, 2), (2, 2, 0, 0), (2, 2, 0, 0), (3, 0, 0, 0)]
+    # once for each text with places, not for each place, and not to count words
+    assert plans["judged"].count("regexp_extract_all(") == 1 and "slice(regexp_extract_all(" not in plans["judged"]
