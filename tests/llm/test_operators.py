@@ -386,6 +386,35 @@ def test_wrapper_is_inferred():
     assert wrappers.aligned([["+", "<p", "#x", ">p"]], ["<p", "#x", ">p"]) in ([["+", "<p", "#x", ">p"]], [["?", ["+", "<p", "#x", ">p"]], ["?", "<p", "#x", ">p"]])
 
 
+def test_html_notice_at_changing_places_is_template_by_its_slot(spark, monkeypatch):
+    lead, notice, end = "<div>Lead {0}, <i>{0}</i></div>", "<div>Read <b>our</b> terms</div>", "<div>End <u>{0}</u></div>"
+    pages = [("http://h/", "<body>" + (lead.format(i) if i % 2 else "") + (notice if i < 5 else "") + (end.format(i) if i % 3 else "") + f"<p>Body {i}</p></body>") for i in range(7)]
+    want = [" ".join(([f"Lead {i}, {i}"] if i % 2 else []) + ([f"End {i}"] if i % 3 else []) + [f"Body {i}"]) for i in range(7)]
+    assert texts_of(spark, pages) == want
+    # the rows depend on the wrapper: pages of skeletons that it has not learnt keep the notice
+    monkeypatch.setattr(wrappers, "LEARNT", 1)
+    assert sum("terms" in x for x in texts_of(spark, pages)) > 2
+
+
+def test_html_article_is_never_template(spark):
+    assert texts_of(spark, [("http://h/", f"<body><article><h1>Weekly report</h1><p>Body {i}</p></article></body>") for i in range(5)]) == [f"Weekly report Body {i}" for i in range(5)]
+
+
+def test_wrapper_matches_what_it_was_inferred_from():
+    assert wrappers.joined(["?", ["+", "#x"]], "#x") == ["?", ["+", "#x"]]
+    assert wrappers.Matcher(["<p", ["?", "<b", "#x", ">b"], ["+", "#x"]]).match(["<p", "#x", "#x"]) == [0, 5, 5]
+    draw = np.random.default_rng(5)
+    parts = ["<p>x</p>", "<p>x<b>y</b></p>", "<div>x</div>", "<div>x<div>z</div></div>", "<li>x", "<li><b>y</b>"]
+    for _ in range(60):
+        read = [wrappers.read("<body>" + "".join(draw.choice(parts, draw.integers(1, 14))))[0] for _ in range(draw.integers(2, 12))]
+        wrapper = wrappers.folded(read[0])
+        for tokens in read[1:]:
+            wrapper = wrappers.aligned(wrapper, wrappers.folded(tokens))
+        matcher = wrappers.Matcher(wrapper)
+        assert all([matcher.token[i] for i in matcher.match(tokens)] == tokens for tokens in read)
+    assert matcher.match(["<unknown"]) is None
+
+
 # ---- op7 ----
 
 
