@@ -279,6 +279,24 @@ def test_headers_are_ordered_before_they_get_names(spark):
     assert plan.index("BroadcastHashJoin") < plan.index("Exchange rangepartitioning")
 
 
+def test_long_names_are_written_in_short_pages(spark, tmp_path):
+    """A task that writes headers holds a few rows of long names at a time, and as many tasks as a shuffle has parts make them."""
+    runs = spark.range(100).selectExpr("id", "0L AS template_id", "'done' AS status")
+    templates = spark.createDataFrame([(0, "a", 1)], "id long, name string, created_at long")
+    persons = spark.range(8).selectExpr("id", "repeat(cast(id AS string), 65536) AS display_name")
+    names = ["parquet.page.size.row.check.min", "parquet.block.size.row.check.min"]
+    df = gallery.run_headers(runs, templates, persons.selectExpr("0L AS template_id", "id AS person_id"), persons)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and [r["id"] for r in df.select("id").collect()] == list(range(99, -1, -1))
+    df.coalesce(1).write.parquet(f"{tmp_path}/out")
+    for name in names:
+        spark.conf.unset(name)
+    j, (file,) = spark._jvm.org.apache.parquet.hadoop, (tmp_path / "out").glob("*.parquet")
+    reader = j.ParquetFileReader.open(j.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration()))
+    pages = [reader.readOffsetIndex(c).getPageCount() for b in reader.getFooter().getBlocks() for c in b.getColumns() if c.getPath().toDotString() == "names"]
+    reader.close()
+    assert sum(pages) >= 25  # half a megabyte a row
+
+
 def test_chosen_people_go_to_the_faces(spark):
     """Rows are never dealt by person: a few people would put all faces into as many tasks."""
     faces = spark.createDataFrame([(a, a * 4 + p, "xyz"[p], a * 4 + p, float(p + 1)) for a in range(30) for p in range(a % 4)], "asset_id long, face_id long, person string, assignment_id long, area double")
