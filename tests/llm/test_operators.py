@@ -415,6 +415,35 @@ def test_wrapper_matches_what_it_was_inferred_from():
     assert matcher.match(["<unknown"]) is None
 
 
+def test_html_all_skeletons_of_a_host_are_learnt(spark, monkeypatch):
+    """However many there are, and however long: each page here has a tag of its own, or thousands."""
+    monkeypatch.setattr(wrappers, "TOGETHER", 8)
+    notice, long = "<div>Read our terms</div>", "".join(f"<y{j}>{{0}} {j}</y{j}>" for j in range(900))
+    pages = [("http://h/", f"<body><x{i}>Lead {i}</x{i}>{notice}<p>Body {i}</p></body>") for i in range(150)]
+    pages += [("http://g/", f"<body>{f'<i{i}>Own {i}</i{i}>' * (i % 2)}{long.format(i)}{notice}<p>Body {i}</p></body>") for i in range(6)]
+    want = [f"Lead {i} Body {i}" for i in range(150)] + [" ".join([f"Own {i}"] * (i % 2) + [f"{i} {j}" for j in range(900)] + [f"Body {i}"]) for i in range(6)]
+    assert texts_of(spark, pages) == want
+
+
+def test_wrappers_merge_into_one_that_covers_them(monkeypatch):
+    draw = np.random.default_rng(6)
+    parts = ["<p>x</p>", "<p>x<b>y</b></p>", "<div>x</div>", "<div>x<div>z</div></div>", "<li>x", "<li><b>y</b>", "<u1>o</u1>", "<u2>o</u2>"]
+    for pairs in (4_000_000, 20, 0):
+        monkeypatch.setattr(wrappers, "PAIRS", pairs)
+        for _ in range(30):
+            read = [wrappers.read("<body>" + "".join(draw.choice(parts, draw.integers(1, 14))))[0] for _ in range(12)]
+            own = [wrappers.merged(map(wrappers.folded, read[i : i + 4])) for i in (0, 4, 8)]
+            matcher = wrappers.Matcher(wrappers.merged(own))
+            assert all([matcher.token[i] for i in matcher.match(tokens)] == tokens for tokens in read)
+            assert all(matcher.covers(wrappers.Matcher(wrappers.folded(tokens))) for tokens in read)
+            a, b = ([str(t) for t in x] for x in read[:2])
+            ops = list(wrappers.opcodes(a, b))
+            assert [t for _, i, j, _, _ in ops for t in a[i:j]] == a and [t for _, _, _, x, y in ops for t in b[x:y]] == b
+            assert all(a[i:j] == b[x:y] for op, i, j, x, y in ops if op == "equal")
+    assert not wrappers.Matcher(["<p", ["?", "#x"]]).covers(wrappers.Matcher(["<p", ["+", "#x"]]))
+    assert wrappers.increasing([(0, 3), (1, 1), (2, 2), (3, 9), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
+
+
 # ---- op7 ----
 
 
